@@ -239,21 +239,22 @@ def t_table(max_df: int, p: float = 0.975) -> list[tuple[int, float]]:
 
 
 def t_interval(df: DataFrame, value_col: str, keys: Sequence[str], confidence: float = 0.95,
-               max_n: int = 1000) -> DataFrame:
+               max_n: int = 1000, digits: int | None = 6) -> DataFrame:
     """mean +- t(1 - a/2, n - 1) * sd / sqrt(n) per group; n <= 1 -> mean for both ends.
 
     Meant for fold-level scores (n = number of folds); t values come from a
-    literal map for n - 1 up to ``max_n``.
+    literal map for n - 1 up to ``max_n``.  ``digits=None`` keeps full precision.
     """
     tmap = F.create_map(*[x for d, t in t_table(max_n, 1 - (1 - confidence) / 2) for x in (F.lit(d), F.lit(t))])
     g = df.groupBy(*keys).agg(F.count(value_col).alias("n"), F.avg(value_col).alias("mean"),
                               F.stddev_samp(value_col).alias("sd"))
     half = tmap[(F.col("n") - 1).cast("int")] * F.col("sd") / F.sqrt(F.col("n"))
     many = F.col("n") > 1
+    rnd = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     return g.select(
-        *keys, "n", F.round("mean", 6).alias("mean"),
-        F.round(F.when(many, F.col("mean") - half).otherwise(F.col("mean")), 6).alias("ci_lower"),
-        F.round(F.when(many, F.col("mean") + half).otherwise(F.col("mean")), 6).alias("ci_upper"),
+        *keys, "n", rnd(F.col("mean")).alias("mean"),
+        rnd(F.when(many, F.col("mean") - half).otherwise(F.col("mean"))).alias("ci_lower"),
+        rnd(F.when(many, F.col("mean") + half).otherwise(F.col("mean"))).alias("ci_upper"),
     )
 
 
