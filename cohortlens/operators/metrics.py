@@ -8,6 +8,7 @@ replicates are keys of one job; nothing loops on the driver.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -220,6 +221,7 @@ def t_cdf(t: float, df: float) -> float:
     return 1.0 - tail if t > 0 else tail
 
 
+@functools.lru_cache(maxsize=4096)
 def t_ppf(p: float, df: float) -> float:
     """Student-t quantile by bisection on the CDF (p in (0.5, 1))."""
     lo, hi = 0.0, 1.0
@@ -227,6 +229,8 @@ def t_ppf(p: float, df: float) -> float:
         hi *= 2.0
     for _ in range(200):
         mid = (lo + hi) / 2.0
+        if mid in (lo, hi):
+            break
         if t_cdf(mid, df) < p:
             lo = mid
         else:
@@ -238,18 +242,27 @@ def t_table(max_df: int, p: float = 0.975) -> list[tuple[int, float]]:
     return [(d, t_ppf(p, d)) for d in range(1, max_df + 1)]
 
 
+MAX_DISTINCT_N = 10_000
+
+
 def t_interval(df: DataFrame, value_col: str, keys: Sequence[str], confidence: float = 0.95,
-               max_n: int = 1000, digits: int | None = 6) -> DataFrame:
+               digits: int | None = 6) -> DataFrame:
     """mean +- t(1 - a/2, n - 1) * sd / sqrt(n) per group; n <= 1 -> mean for both ends.
 
-    Meant for fold-level scores (n = number of folds); t values come from a
-    literal map for n - 1 up to ``max_n``.  ``digits=None`` keeps full precision.
+    t values are computed on the driver for the group sizes that occur (one
+    small job lists them; at most ``MAX_DISTINCT_N`` distinct sizes) and
+    applied as a literal map.  ``digits=None`` keeps full precision.
     """
-    tmap = F.create_map(*[x for d, t in t_table(max_n, 1 - (1 - confidence) / 2) for x in (F.lit(d), F.lit(t))])
     g = df.groupBy(*keys).agg(F.count(value_col).alias("n"), F.avg(value_col).alias("mean"),
-                              F.stddev_samp(value_col).alias("sd"))
-    half = tmap[(F.col("n") - 1).cast("int")] * F.col("sd") / F.sqrt(F.col("n"))
+                              F.stddev_samp(value_col).alias("sd")).cache()
+    ns = [r[0] for r in g.select("n").distinct().limit(MAX_DISTINCT_N + 1).collect()]
+    if len(ns) > MAX_DISTINCT_N:
+        raise ValueError("too many distinct group sizes for a t table")
+    q = 1 - (1 - confidence) / 2
+    pairs = [(int(n) - 1, t_ppf(q, int(n) - 1)) for n in ns if n and n > 1]
+    tmap = F.create_map(*[x for d, t in pairs for x in (F.lit(d), F.lit(t))]) if pairs else None
     many = F.col("n") > 1
+    half = (tmap[(F.col("n") - 1).cast("int")] if tmap is not None else F.lit(0.0)) * F.col("sd") / F.sqrt(F.col("n"))
     rnd = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     return g.select(
         *keys, "n", rnd(F.col("mean")).alias("mean"),

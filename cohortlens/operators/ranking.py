@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 256
+SMALL_DISTINCT = 100_000  # per-group distinct values handled by one exact percentile aggregate
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
@@ -86,6 +87,14 @@ def running_totals(
     first).  Bucket bounds are approximate percentiles of the distinct keys,
     so each bucket holds about 1/n_buckets of them whatever the row skew.
     """
+    # size check: groups with few distinct sort keys finish with one window per group
+    if keys:
+        max_rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
+    else:
+        max_rows = df.count()
+    if max_rows is not None and max_rows <= SMALL_DISTINCT:
+        w = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({f"_cum_{v}": F.sum(v).over(w) for v in value_cols})
     probs = [i / n_buckets for i in range(1, n_buckets)]
     acc = max(accuracy, 4 * n_buckets)
     approx = F.percentile_approx(F.col(order_col).cast("double"), probs, acc).alias("_bounds")
@@ -136,6 +145,16 @@ def exact_quantiles(
     long = unpivot(df, cols, by).where(F.col("value").isNotNull() & ~F.isnan("value"))
     keys = [*by, "feature"]
     vc = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
+    # size check: when every group has few distinct values, Spark's exact percentile over the
+    # (value, count) table holds at most that many entries per group - one aggregate suffices
+    max_nd = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("nd")).agg(F.max("nd")).first()[0]
+    if max_nd is None:
+        return vc.select(*keys, F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("q")).limit(0)
+    if max_nd <= SMALL_DISTINCT:
+        arr = F.percentile(F.col("value"), [float(p) for p in probs], F.col("c"))
+        res = vc.groupBy(*keys).agg(arr.alias("_qs"))
+        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_qs").alias("q"))
+        return res.select(*keys, F.explode(pairs).alias("_z")).select(*keys, "_z.p", "_z.q")
     gb = None if (by or n_groups_bound) else len(cols)
     if n_groups_bound is not None:
         gb = n_groups_bound * len(cols)

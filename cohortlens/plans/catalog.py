@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlens.plans import catalog_analysis, catalog_prep  # noqa: F401
+from cohortlens.plans import catalog_analysis, catalog_models, catalog_prep  # noqa: F401
 from cohortlens.plans.registry import REGISTRY
 
 
