@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 256
-SMALL_DISTINCT = 100_000  # per-group distinct values handled by one exact percentile aggregate
+SMALL_DISTINCT = 1_000_000  # per-group distinct values (tens of MB) handled by one exact aggregate / window
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
@@ -147,10 +147,12 @@ def exact_quantiles(
     vc = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
     # size check: when every group has few distinct values, Spark's exact percentile over the
     # (value, count) table holds at most that many entries per group - one aggregate suffices
-    max_nd = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("nd")).agg(F.max("nd")).first()[0]
-    if max_nd is None:
+    # (an HLL estimate from one scan with partial aggregation; both paths are exact, the
+    # check only picks the memory-safe one, so a 25% margin covers the estimate's error)
+    est = long.groupBy(*keys).agg(F.approx_count_distinct("value", 0.02).alias("nd")).agg(F.max("nd")).first()[0]
+    if est is None:
         return vc.select(*keys, F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("q")).limit(0)
-    if max_nd <= SMALL_DISTINCT:
+    if est * 1.25 <= SMALL_DISTINCT:
         arr = F.percentile(F.col("value"), [float(p) for p in probs], F.col("c"))
         res = vc.groupBy(*keys).agg(arr.alias("_qs"))
         pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_qs").alias("q"))

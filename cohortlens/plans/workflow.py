@@ -9,6 +9,7 @@ uses ``CrossValidator(foldCol=...)`` with our exact stratified inner folds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -96,14 +97,19 @@ def _with_pred(scored: DataFrame) -> DataFrame:
 
 def fold_predictions(df: DataFrame, learner_name: str, features: Sequence[str], params: dict | None = None,
                      label: str = "label", fold_col: str = "fold", k: int = 5, id_col: str = "id_anon",
-                     impute: Sequence[str] = ()) -> DataFrame:
+                     impute: Sequence[str] = (), parallelism: int = 5) -> DataFrame:
     """Out-of-fold predictions (id, fold, label, score, pred) for every fold (simple CV, no search)."""
     cached = df.cache()
-    parts = []
-    for f in range(k):
+
+    def one(f):
         scored = fit_score(cached.where(F.col(fold_col) != f), cached.where(F.col(fold_col) == f),
                            learner_name, features, params, label, impute)
-        parts.append(scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred"))
+        # materialise the fold's predictions while the fold's model is at hand
+        return scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred").cache()
+
+    # independent folds are fitted concurrently (Spark schedules jobs from several threads)
+    with ThreadPoolExecutor(max_workers=min(parallelism, k)) as pool:
+        parts = list(pool.map(one, range(k)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
