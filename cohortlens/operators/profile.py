@@ -144,15 +144,19 @@ def value_counts(df: DataFrame, col: str, include_missing: bool = True, missing_
 
 
 def top_k_others(df: DataFrame, col: str, k: int, others: str = "others") -> DataFrame:
-    """Top-k categories by count (ties: smaller value first); the rest pooled as ``others``."""
+    """Top-k categories by count (ties: smaller value first); the rest pooled as ``others``.
+
+    The top k come from a distributed top-k (``orderBy().limit(k)``: k rows reach the
+    driver); all other categories are relabelled in one grouped pass.
+    """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    # one row per category: the window sees the category table, not the data rows
-    w = Window.orderBy(F.desc("n"), F.asc(col))
-    ranked = counts.withColumn("_r", F.row_number().over(w))
-    label = F.when(F.col("_r") <= k, F.col(col).cast("string")).otherwise(F.lit(others))
-    return ranked.groupBy(label.alias("category")).agg(
-        F.sum("n").alias("n"), F.min("_r").alias("rank")
-    ).select("category", F.col("n").cast("long").alias("n"), F.col("rank").cast("int").alias("rank"))
+    top = [r[col] for r in counts.orderBy(F.desc("n"), F.asc(col)).limit(k).collect()]
+    rank_map = F.create_map(*[x for i, v in enumerate(top) for x in (F.lit(v), F.lit(i + 1))]) if top else None
+    in_top = F.col(col).isin(top) if top else F.lit(False)
+    label = F.when(in_top, F.col(col).cast("string")).otherwise(F.lit(others))
+    rank = F.when(in_top, rank_map[F.col(col)]).otherwise(F.lit(len(top) + 1)) if top else F.lit(1)
+    return counts.groupBy(label.alias("category")).agg(F.sum("n").alias("n"), F.min(rank).alias("rank")).select(
+        "category", F.col("n").cast("long").alias("n"), F.col("rank").cast("int").alias("rank"))
 
 
 def iqr_outliers(df: DataFrame, col: str) -> DataFrame:
@@ -308,10 +312,11 @@ def target_mean_encode(df: DataFrame, cat_col: str, label_col: str, out_col: str
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct non-missing values with their position."""
+    """Sorted distinct non-missing values with their 1-based position (distributed ordering)."""
+    from cohortlens.operators.ranking import ordered_positions
+
     d = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
-    w = Window.orderBy("value")  # distinct values of one column
-    return d.withColumn("position", F.row_number().over(w))
+    return ordered_positions(d, "value").withColumn("position", (F.col("_pos") + 1).cast("int")).drop("_pos")
 
 
 def group_summary(df: DataFrame, group_col: str, value_col: str, flag_col: str) -> DataFrame:

@@ -28,6 +28,41 @@ SMALL_DISTINCT = 1_000_000  # per-group distinct values (tens of MB) handled by
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
+ROWS_PER_BUCKET = 500_000
+MAX_HASH_BUCKETS = 1 << 20
+
+
+def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    if keys:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+    return df.count()
+
+
+def buckets_for(n_rows: int, per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_HASH_BUCKETS) -> int:
+    """Power-of-two bucket count so that each bucket holds about ``per_bucket`` rows."""
+    need = max(1, math.ceil(n_rows / per_bucket))
+    return min(max_buckets, 1 << (need - 1).bit_length())
+
+
+def ordered_positions(df: DataFrame, order_col: str, n_parts: int | None = None) -> DataFrame:
+    """``_pos`` = 0-based position in ``order_col`` order for any orderable type (unique values).
+
+    Range partitioning gives ordered buckets; the partition sizes give offsets (a
+    table with one row per partition); a window inside each partition finishes
+    the rank.  The partitioned rows are cached so both uses see one partitioning.
+    """
+    spark = df.sparkSession
+    if n_parts is None:
+        n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = df.repartitionByRange(n_parts, order_col).withColumn("_pid", F.spark_partition_id()).cache()
+    sizes = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offs = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    wi = Window.partitionBy("_pid").orderBy(order_col)
+    out = part.join(F.broadcast(offs), "_pid").withColumn("_pos", F.row_number().over(wi) - 1 + F.col("_off"))
+    return out.drop("_pid", "_off")
+
+
 def maybe_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
     """Broadcast hint only when the caller can bound the row count."""
     if row_bound is not None and row_bound <= BROADCAST_ROW_LIMIT:
@@ -56,14 +91,18 @@ def rank_by_hash(
     keys: Sequence[str],
     hash_col: str,
     id_col: str,
-    n_buckets: int = 1024,
+    n_buckets: int | None = None,
     n_groups_bound: int | None = None,
 ) -> DataFrame:
     """Add ``_pos`` = 0-based position of each row within ``keys`` ordered by (hash, id).
 
     Equal to ``row_number() over (partition by keys order by hash, id) - 1``.
-    ``hash_col`` must be a uniform non-negative 32-bit hash.
+    ``hash_col`` must be a uniform non-negative 32-bit hash.  Without ``n_buckets``
+    the bucket count is sized from the largest group (one small job) so that a
+    window sees about ``ROWS_PER_BUCKET`` rows.
     """
+    if n_buckets is None:
+        n_buckets = buckets_for(_largest_group(df, keys))
     b = df.withColumn("_bucket", hash_bucket(F.col(hash_col), n_buckets)).withColumn("_one", F.lit(1))
     offs = _bucket_offsets(b, keys, ["_one"]).select(*keys, "_bucket", F.col("_off__one").alias("_offset"))
     bound = None if n_groups_bound is None else n_groups_bound * n_buckets
@@ -95,20 +134,34 @@ def running_totals(
     if max_rows is not None and max_rows <= SMALL_DISTINCT:
         w = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({f"_cum_{v}": F.sum(v).over(w) for v in value_cols})
+    if max_rows:
+        # grouped bounds are searched linearly per row, so cap them; one group uses a binary search
+        cap = 1024 if keys else 65536
+        n_buckets = max(n_buckets, min(cap, buckets_for(max_rows, 1_000_000, cap)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     acc = max(accuracy, 4 * n_buckets)
     approx = F.percentile_approx(F.col(order_col).cast("double"), probs, acc).alias("_bounds")
     if keys:
         bounds = df.groupBy(*keys).agg(approx)
         b = df.join(maybe_broadcast(bounds, n_groups_bound), list(keys))
+        b = b.withColumn(
+            "_bucket", F.size(F.filter("_bounds", lambda x: x < F.col(order_col).cast("double")))
+        ).drop("_bounds")
     else:
-        # one group: the n_buckets - 1 bounds come back as a literal array
+        # one group: the bounds come back to the driver (n_buckets values) and MLlib's
+        # Bucketizer places each row by binary search
+        from pyspark.ml.feature import Bucketizer
+
         row = df.agg(approx).first()
-        lit_bounds = [float(x) for x in (row["_bounds"] or [])]
-        b = df.withColumn("_bounds", F.array(*[F.lit(x) for x in lit_bounds]).cast("array<double>"))
-    b = b.withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda x: x < F.col(order_col).cast("double")))
-    ).drop("_bounds")
+        cuts = sorted(set(float(x) for x in (row["_bounds"] or [])))
+        splits = [-math.inf] + cuts + [math.inf]
+        if len(splits) < 3:
+            b = df.withColumn("_bucket", F.lit(0))
+        else:
+            b = Bucketizer(splits=splits, inputCol="_ordd", outputCol="_bk", handleInvalid="keep").transform(
+                df.withColumn("_ordd", F.col(order_col).cast("double")))
+            # bucket = number of cuts <= value: monotone in the value, which is all the offsets need
+            b = b.withColumn("_bucket", F.col("_bk").cast("int")).drop("_bk", "_ordd")
     offs = _bucket_offsets(b, keys, value_cols).drop(*[f"_bt_{v}" for v in value_cols])
     obound = None if n_groups_bound is None else n_groups_bound * n_buckets
     b = b.join(maybe_broadcast(offs, obound), [*keys, "_bucket"])

@@ -177,10 +177,14 @@ def block_whitelist(names: DataFrame, dictionary: DataFrame, allowed_blocks: Seq
 
 
 def dictionary_first(dictionary: DataFrame) -> DataFrame:
-    """One dictionary row per lower-cased name: the first by dictionary order."""
-    w = Window.partitionBy(F.lower("variavel")).orderBy("ordem")
-    return (dictionary.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-            .select(F.lower("variavel").alias("_k"), "descricao", "bloco"))
+    """One dictionary row per lower-cased name: the first by dictionary order.
+
+    A grouped min over (ordem, descricao, bloco) with partial aggregation, so a name
+    repeated in a large share of the dictionary is combined map-side.
+    """
+    first = dictionary.groupBy(F.lower("variavel").alias("_k")).agg(
+        F.min(F.struct("ordem", "descricao", "bloco")).alias("_f"))
+    return first.select("_k", "_f.descricao", "_f.bloco")
 
 
 def dictionary_match(names: DataFrame, dictionary: DataFrame, name_col: str = "variavel") -> DataFrame:

@@ -68,3 +68,18 @@ def test_rank_by_hash_equals_window(spark):
     w = Window.partitionBy("g").orderBy("h", "id")
     b = h.select("id", (F.row_number().over(w) - 1).alias("_pos"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_ordered_positions_strings(spark):
+    words = ["pear", "apple", "fig", "kiwi", "date", "banana", "cherry", "lime", "plum", "grape"] * 1
+    d = spark.createDataFrame([(w,) for w in words], "w string").repartition(4)
+    got = {r.w: r._pos for r in ranking.ordered_positions(d, "w", n_parts=3).collect()}
+    assert got == {w: i for i, w in enumerate(sorted(words))}
+
+
+def test_top_k_others_ties(spark):
+    from cohortlens.operators.profile import top_k_others
+
+    d = spark.createDataFrame([(c,) for c in "aabbccddde"], "c string")
+    got = {r.category: (r.n, r.rank) for r in top_k_others(d, "c", 2).collect()}
+    assert got == {"d": (3, 1), "a": (2, 2), "others": (5, 3)}
