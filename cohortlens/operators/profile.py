@@ -86,30 +86,32 @@ def _dtype_name(t) -> str:
 
 
 def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Per column: n_missing, pct_missing, dtype, n_distinct, has_missing (one row per column)."""
+    """Per column: n_missing, pct_missing, dtype, n_distinct, has_missing (one row per column).
+
+    One scan and one shuffle: values are unpivoted as strings (float NaN turned to
+    NULL first), counted per (feature, value) with map-side combine, and the
+    per-feature missing and distinct counts are read off that table.
+    """
     cols = list(cols or df.columns)
     spark = df.sparkSession
-    agg = df.agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.sum(_is_missing(df, c).cast("long")).alias(f"m{i}") for i, c in enumerate(cols)],
+    prepared = df.select(*[
+        (F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) if df.schema[c].dataType.typeName() in ("double", "float")
+         else F.col(f"`{c}`")).cast("string").alias(c) for c in cols])
+    long = prepared.unpivot([], cols, "feature", "value")
+    pairs = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    per = pairs.groupBy("feature").agg(
+        F.sum("c").alias("_n"),
+        F.sum(F.when(F.col("value").isNull(), F.col("c")).otherwise(0)).alias("n_missing"),
+        F.count("value").alias("n_distinct"),
     )
-    stacked = agg.select(
-        "__n",
-        F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("n_missing")) for i, c in enumerate(cols)
-        ])).alias("s"),
-    ).select("__n", "s.feature", "s.n_missing")
-    types = spark.createDataFrame([(c, _dtype_name(df.schema[c].dataType)) for c in cols], "feature string, dtype string")
-    dc = distinct_counts_df(df, cols)
-    return (
-        stacked.join(types, "feature").join(dc, "feature")
-        .select(
-            "feature", "ordinal", "dtype",
-            F.coalesce("n_missing", F.lit(0)).cast("long").alias("n_missing"),
-            F.round(F.coalesce("n_missing", F.lit(0)) * 100.0 / F.col("__n"), 6).alias("pct_missing"),
-            "n_distinct",
-            (F.coalesce("n_missing", F.lit(0)) > 0).cast("int").alias("has_missing"),
-        )
+    meta = spark.createDataFrame([(c, i, _dtype_name(df.schema[c].dataType)) for i, c in enumerate(cols)],
+                                 "feature string, ordinal int, dtype string")
+    return F.broadcast(meta).join(per, "feature").select(
+        "feature", "ordinal", "dtype",
+        F.col("n_missing").cast("long").alias("n_missing"),
+        F.round(F.col("n_missing") * 100.0 / F.col("_n"), 6).alias("pct_missing"),
+        F.col("n_distinct").cast("long").alias("n_distinct"),
+        (F.col("n_missing") > 0).cast("int").alias("has_missing"),
     )
 
 
@@ -229,10 +231,19 @@ def variable_advice(profile: DataFrame) -> DataFrame:
 
 
 def class_distribution(df: DataFrame, class_col: str, source: DataFrame | None = None,
-                       source_class_col: str | None = None) -> DataFrame:
-    """Count and % per class; with a source, also the source count and retention %."""
-    c = df.groupBy(F.col(class_col).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+                       source_class_col: str | None = None, kept: "F.Column | None" = None) -> DataFrame:
+    """Count and % per class; with a source, also the source count and retention %.
+
+    With ``kept`` (a row condition on ``df``) the kept table is ``df.where(kept)`` and
+    both counts come from one grouped pass over ``df``.
+    """
     w = Window.partitionBy()  # over the per-class table (a handful of rows)
+    if kept is not None:
+        g = df.groupBy(F.col(class_col).alias("class")).agg(
+            F.sum(F.coalesce(kept, F.lit(False)).cast("long")).alias("n"), F.count(F.lit(1)).alias("n_source"))
+        return g.select("class", "n", F.round(F.col("n") * 100.0 / F.sum("n").over(w), 6).alias("pct"), "n_source",
+                        F.round(F.col("n") * 100.0 / F.col("n_source"), 6).alias("retention_pct"))
+    c = df.groupBy(F.col(class_col).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     c = c.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(w), 6))
     if source is None:
         return c

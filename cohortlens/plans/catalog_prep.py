@@ -570,10 +570,11 @@ WITH {fx.PREPARED_CTE},
 src AS (SELECT classe AS class, count(*) AS n_source FROM prep GROUP BY 1),
 kept AS (SELECT classe AS class, count(*) AS n FROM prep WHERE prenatal_bin IS NOT NULL AND semanas IS NOT NULL GROUP BY 1),
 tot AS (SELECT sum(n) AS t FROM kept)
-SELECT src.class, COALESCE(kept.n, 0) AS n, round(kept.n * 100.0 / tot.t, 6) AS pct, src.n_source,
+SELECT src.class, COALESCE(kept.n, 0) AS n, round(COALESCE(kept.n, 0) * 100.0 / tot.t, 6) AS pct, src.n_source,
   round(COALESCE(kept.n, 0) * 100.0 / src.n_source, 6) AS retention_pct
 FROM src LEFT JOIN kept ON src.class = kept.class, tot""")
 def q_class_distribution(spark, sf):
     p = fx.prepared(spark, sf)
-    model = select.complete_cases(p, ["prenatal_bin", "semanas"])
-    return class_distribution(model, "classe", source=p, source_class_col="classe")
+    # model dataset = complete cases of the recoded columns; both counts in one grouped pass
+    kept = F.col("prenatal_bin").isNotNull() & F.col("semanas").isNotNull()
+    return class_distribution(p, "classe", kept=kept)
