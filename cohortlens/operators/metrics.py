@@ -127,11 +127,17 @@ def _sum_if(c: Column) -> Column:
     return F.sum(c.cast("long"))
 
 
-def confusion_counts(df: DataFrame, pred_col: str, label_col: str, keys: Sequence[str] = ()) -> DataFrame:
+def confusion_counts(df: DataFrame, pred_col: str, label_col: str, keys: Sequence[str] = (),
+                     weight_col: str | None = None) -> DataFrame:
     p, y = F.col(pred_col), F.col(label_col)
+    if weight_col:
+        w = F.col(weight_col).cast("double")
+        s = lambda c: F.sum(F.when(c, w).otherwise(0.0))
+    else:
+        s = _sum_if
     return df.groupBy(*keys).agg(
-        _sum_if((p == 1) & (y == 1)).alias("tp"), _sum_if((p == 1) & (y == 0)).alias("fp"),
-        _sum_if((p == 0) & (y == 1)).alias("fn"), _sum_if((p == 0) & (y == 0)).alias("tn"),
+        s((p == 1) & (y == 1)).alias("tp"), s((p == 1) & (y == 0)).alias("fp"),
+        s((p == 0) & (y == 1)).alias("fn"), s((p == 0) & (y == 0)).alias("tn"),
     )
 
 
@@ -152,13 +158,15 @@ def confusion_metrics(df: DataFrame, pred_col: str, label_col: str, keys: Sequen
     )
 
 
-def holdout_metrics(df: DataFrame, pred_col: str, label_col: str, keys: Sequence[str] = ()) -> DataFrame:
+def holdout_metrics(df: DataFrame, pred_col: str, label_col: str, keys: Sequence[str] = (),
+                    weight_col: str | None = None) -> DataFrame:
     """Confusion metrics plus accuracy, specificity, NPV, PPV.
 
     One-class cases: only negatives -> specificity 1, NPV 1, PPV 0;
-    only positives -> specificity 0, NPV 0, PPV 1 (as the reference).
+    only positives -> specificity 0, NPV 0, PPV 1 (as the reference).  ``weight_col``
+    counts each row with its (e.g. Poisson bootstrap) weight.
     """
-    c = confusion_counts(df, pred_col, label_col, keys)
+    c = confusion_counts(df, pred_col, label_col, keys, weight_col)
     tp, fp, fn, tn = F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")
     n_pos, n_neg = tp + fn, fp + tn
     prec, rec = _div0(tp, tp + fp), _div0(tp, tp + fn)

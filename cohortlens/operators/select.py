@@ -28,23 +28,19 @@ def age_filter(df: DataFrame, col: str, values: Sequence) -> DataFrame:
 def retention_report(original: DataFrame, col: str, values: Sequence) -> DataFrame:
     """Per kept value: n and % of kept rows, with original size, kept size, removed and retention %.
 
-    One grouped pass over the original table; the per-value table is then
-    small (one row per distinct value of the filter column).
+    One grouped pass gives the per-value counts; the two totals are fitted scalars
+    read off that (small, cached) per-value table.
     """
-    per = original.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    per = original.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")).cache()
     kept = F.col("value").isin(list(values))
-    w = Window.partitionBy()  # over the per-value table
-    tot = per.select(
-        "value", "n", kept.alias("_kept"),
-        F.sum("n").over(w).alias("n_original"),
-        F.sum(F.when(kept, F.col("n")).otherwise(0)).over(w).alias("n_filtered"),
-    )
-    return tot.where("_kept").select(
+    t = per.agg(F.sum("n").alias("o"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("f")).first()
+    n_original, n_filtered = int(t["o"] or 0), int(t["f"] or 0)
+    return per.where(kept).select(
         "value", "n",
-        F.round(F.col("n") * 100.0 / F.col("n_filtered"), 6).alias("pct"),
-        "n_original", "n_filtered",
-        (F.col("n_original") - F.col("n_filtered")).alias("n_removed"),
-        F.round(F.col("n_filtered") * 100.0 / F.col("n_original"), 6).alias("retention_pct"),
+        F.round(F.col("n") * 100.0 / F.lit(n_filtered), 6).alias("pct"),
+        F.lit(n_original).cast("long").alias("n_original"), F.lit(n_filtered).cast("long").alias("n_filtered"),
+        F.lit(n_original - n_filtered).cast("long").alias("n_removed"),
+        F.round(F.lit(n_filtered * 100.0) / F.lit(n_original), 6).alias("retention_pct"),
     )
 
 

@@ -191,19 +191,31 @@ def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: d
     return summarize_folds(fm, model, learner_name)
 
 
+EXACT_BOOTSTRAP_ROWS = 50_000_000  # above this many drawn rows, Poisson weights replace copies
+
+
 def holdout_validate(df: DataFrame, learner_name: str, features: Sequence[str], params: dict | None = None,
                      model: str = "M", label: str = "label", split_col: str = "split", id_col: str = "id_anon",
                      n_boot: int = 100, seed: int = 42, impute: Sequence[str] = ()) -> DataFrame:
     """Fit on train, score test; metrics with percentile intervals over B bootstrap resamples of the test rows.
 
-    Resamples with one class only are skipped for AUC (``n_boot_effective``).
+    Resamples with one class only are skipped for AUC (``n_boot_effective``).  Exact
+    resampling draws B x n rows; beyond ``EXACT_BOOTSTRAP_ROWS`` each test row gets a
+    Poisson(1) weight per replicate instead (replicate sizes then vary around n).
     """
     scored = fit_score(df.where(F.col(split_col) == "train"), df.where(F.col(split_col) == "test"),
                        learner_name, features, params, label, impute)
-    preds = scored.select(id_col, label, "score", "pred")
-    drawn = resample.bootstrap_rows(preds, id_col, n_boot, seed)
-    auc = metrics.roc_auc(drawn, "score", label, ["replicate"], n_groups_bound=n_boot).select("replicate", "auc")
-    hm = metrics.holdout_metrics(drawn, "pred", label, ["replicate"])
+    preds = scored.select(id_col, label, "score", "pred").cache()
+    n_test = preds.count()
+    if n_test * n_boot <= EXACT_BOOTSTRAP_ROWS:
+        # exact resampling: B copies of n drawn rows
+        drawn, wcol = resample.bootstrap_rows(preds, id_col, n_boot, seed), None
+    else:
+        # at volume: Poisson(1) weight per (row, replicate); no row index, no join
+        drawn, wcol = resample.poisson_bootstrap_weights(preds, id_col, n_boot, seed), "weight"
+    auc = metrics.roc_auc(drawn, "score", label, ["replicate"], n_groups_bound=n_boot,
+                          weight_col=wcol).select("replicate", "auc")
+    hm = metrics.holdout_metrics(drawn, "pred", label, ["replicate"], weight_col=wcol)
     per = hm.join(auc, "replicate", "left")
     cols = ["auc", "precision", "recall", "f1", "specificity", "accuracy", "npv", "ppv"]
     long = per.unpivot(["replicate"], cols, "metric", "value").where(F.col("value").isNotNull())

@@ -97,3 +97,21 @@ def test_univariate_auc_rules(spark):
     out = {r.feature: r for r in metrics.univariate_auc(d, "y", ["x"], ["cat"], min_n=55, min_pos=5).collect()}
     assert "x" in out and "cat" not in out  # cat has 51 complete rows < 55
     assert out["x"].auc_folded >= 0.5
+
+
+def test_weighted_confusion_equals_replicated_rows(spark):
+    rows = [(1, 1, 2), (0, 1, 1), (1, 0, 3), (0, 0, 1)]
+    d = spark.createDataFrame(rows, "p int, y int, w int")
+    weighted = metrics.holdout_metrics(d, "p", "y", weight_col="w").first()
+    rep = spark.createDataFrame([(p, y) for p, y, w in rows for _ in range(w)], "p int, y int")
+    plain = metrics.holdout_metrics(rep, "p", "y").first()
+    for c in ("precision", "recall", "f1", "accuracy", "specificity", "npv", "ppv"):
+        assert weighted[c] == pytest.approx(plain[c])
+
+
+def test_weighted_auc_equals_replicated_rows(spark):
+    rows = [(0.1, 0, 2), (0.4, 1, 1), (0.4, 0, 3), (0.9, 1, 2)]
+    d = spark.createDataFrame(rows, "s double, y int, w int")
+    rep = spark.createDataFrame([(s, y) for s, y, w in rows for _ in range(w)], "s double, y int")
+    a = metrics.roc_auc(d, "s", "y", weight_col="w").first().auc
+    assert a == pytest.approx(metrics.roc_auc(rep, "s", "y").first().auc)
