@@ -81,6 +81,28 @@ def category_counts_capped(df: DataFrame, cols: Sequence[str], cap: int) -> dict
     return out
 
 
+def low_card_value_counts(df: DataFrame, cols: Sequence[str], cap: int) -> dict:
+    """{column: {value: count}} for string columns with at most ``cap`` categories; None above.
+
+    One HLL scan settles the clearly-high columns; one unpivoted count pass over the
+    rest returns at most about (2 cap + 10) values per column to the driver.
+    """
+    if not cols:
+        return {}
+    approx = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.01).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    low = [c for i, c in enumerate(cols) if approx[f"a{i}"] <= 2 * cap + 10]
+    out: dict = {c: None for c in cols}
+    if low:
+        long = unpivot(df, low, value_type="string").where(F.col("value").isNotNull())
+        rows = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).collect()
+        counts: dict = {c: {} for c in low}
+        for r in rows:
+            counts[r["feature"]][r["value"]] = r["n"]
+        for c in low:
+            out[c] = counts[c] if len(counts[c]) <= cap else None
+    return out
+
+
 def _dtype_name(t) -> str:
     return t.simpleString()
 

@@ -156,11 +156,19 @@ def candidate_columns(names: DataFrame, rules: Mapping[str, Sequence[str]], name
     return names.where(~name_rule_expr(F.col(name_col), rules))
 
 
+def name_excluded(name: str, rules: Mapping[str, Sequence[str]]) -> bool:
+    """Python twin of :func:`name_rule_expr` for a schema's column names."""
+    n = name.lower()
+    return (any(n == v.lower() for v in rules.get("exact", ()))
+            or any(n.startswith(v.lower()) for v in rules.get("prefix", ()))
+            or any(n.endswith(v.lower()) for v in rules.get("suffix", ()))
+            or any(v.lower() in n for v in rules.get("contains", ()))
+            or any(v.lower() in n.split("_") for v in rules.get("token", ())))
+
+
 def candidate_column_list(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> list[str]:
-    """Same rules over ``df.columns`` (driver-side list algebra on the schema)."""
-    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "variavel string")
-    keep = {r[0] for r in candidate_columns(names, rules).collect()}
-    return [c for c in df.columns if c in keep]
+    """Same rules over ``df.columns`` (list algebra on the schema, no job)."""
+    return [c for c in df.columns if not name_excluded(c, rules)]
 
 
 def block_whitelist(names: DataFrame, dictionary: DataFrame, allowed_blocks: Sequence[str],

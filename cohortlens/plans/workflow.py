@@ -281,24 +281,31 @@ def nonzero_selection(df: DataFrame, features: Sequence[str], label: str = "labe
 def expanded_features(base: DataFrame, extra: DataFrame, id_col: str, exclude_rules: dict,
                       max_categories: int = 20) -> DataFrame:
     """Base features + every valid extra column: numeric kept (median-imputed), strings with at most
-    ``max_categories`` categories mode-imputed and one-hot encoded (first category dropped)."""
+    ``max_categories`` categories mode-imputed and one-hot encoded (first category dropped).
+
+    Fitted values come from three small jobs: one HLL scan, one value-count pass over
+    the low-cardinality strings (which gives their categories and modes), one median fit.
+    """
     from pyspark.sql.types import NumericType, StringType
 
-    from cohortlens.operators.impute import median_impute, mode_impute
-    from cohortlens.operators.profile import category_counts_capped
-    from cohortlens.operators.recode import one_hot_drop_first
+    from cohortlens.operators.impute import apply_fill, fit_median
+    from cohortlens.operators.profile import low_card_value_counts
+    from cohortlens.operators.recode import one_hot
     from cohortlens.operators.select import candidate_column_list
 
     cand = candidate_column_list(extra.drop(id_col), exclude_rules)
     numeric = [c for c in cand if isinstance(extra.schema[c].dataType, NumericType)]
     strings = [c for c in cand if isinstance(extra.schema[c].dataType, StringType)]
-    counts = category_counts_capped(extra, strings, max_categories)
-    strings = [c for c in strings if counts[c] <= max_categories]
-    x = base.join(extra.select(id_col, *numeric, *strings), id_col, "left")
-    if numeric:
-        x = median_impute(x, numeric)
-    if strings:
-        x = mode_impute(x, strings)
+    # the fits below read the joined matrix three times: persist it (spills to disk if needed)
+    x = base.join(extra.select(id_col, *numeric, *strings), id_col, "left").cache()
+    vc = low_card_value_counts(x, strings, max_categories)
+    strings = [c for c in strings if vc[c] is not None]
+    x = x.drop(*[c for c in cand if c not in numeric and c not in strings])
+    fills = fit_median(x, numeric) if numeric else {}
+    for c in strings:
+        # mode: highest count, ties to the smallest value; a column with no values gets "missing"
+        fills[c] = min(vc[c].items(), key=lambda kv: (-kv[1], kv[0]))[0] if vc[c] else "missing"
+    x = apply_fill(x, fills)
     for c in strings:
-        x = one_hot_drop_first(x, c)
+        x = one_hot(x, c, sorted(vc[c])[1:] if vc[c] else [])
     return x

@@ -175,3 +175,12 @@ def test_skewness_corrected(spark):
     m2, m3 = ((a - a.mean()) ** 2).mean(), ((a - a.mean()) ** 3).mean()
     g1 = m3 / m2 ** 1.5
     assert got == pytest.approx(g1 * math.sqrt(n * (n - 1)) / (n - 2), abs=1e-6)
+
+
+def test_name_rules_python_matches_column_rules(spark):
+    names = ["b04_idade", "id_anon", "s01_x", "peso_mae", "k_sexo", "abc_id", "idade"]
+    rules = {"exact": ["id_anon"], "prefix": ["s01"], "suffix": ["_mae"], "contains": ["sex"], "token": ["id"]}
+    d = spark.createDataFrame([(n,) for n in names], "variavel string")
+    via_cols = sorted(r.variavel for r in select.candidate_columns(d, rules).collect())
+    via_py = sorted(n for n in names if not select.name_excluded(n, rules))
+    assert via_cols == via_py == ["b04_idade", "idade"]
