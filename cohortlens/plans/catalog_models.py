@@ -120,11 +120,16 @@ def _smote_fold(train, test, learner, params, k_nb=5, seed=42):
 
 @query("smote_cv")
 def q_smote_cv(spark, sf):
+    from concurrent.futures import ThreadPoolExecutor
+
     m = model_table(spark, sf).cache()
-    parts = []
-    for f in range(5):
+
+    def one(f):
         s = _smote_fold(m.where(F.col("fold") != f), m.where(F.col("fold") == f), "logreg_ridge", {"C": 1.0})
-        parts.append(s.select("id_anon", F.lit(f).alias("fold"), "label", "score", "pred"))
+        return s.select("id_anon", F.lit(f).alias("fold"), "label", "score", "pred").cache()
+
+    with ThreadPoolExecutor(max_workers=5) as pool:  # independent folds, fitted concurrently
+        parts = list(pool.map(one, range(5)))
     preds = parts[0]
     for p in parts[1:]:
         preds = preds.unionByName(p)

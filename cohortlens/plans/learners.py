@@ -149,9 +149,10 @@ def make_learner(name: str, params: dict | None = None, features: str = "feature
     if name in ("logreg_ridge", "logreg_lasso", "logreg_elastic"):
         C = p.get("C", 1.0)
         enet = {"logreg_ridge": 0.0, "logreg_lasso": 1.0}.get(name, p.get("l1_ratio", 0.5))
-        # reference objective: 1/2 |w|^2 + C sum w_i loss_i;  MLlib: mean weighted loss + reg * penalty
+        # reference objective: 1/2 |w|^2 + C sum w_i loss_i;  MLlib: mean weighted loss + reg * penalty;
+        # tolerance 1e-4 as the reference learner's default
         lr = LogisticRegression(**common, regParam=1.0 / (C * sum_weights), elasticNetParam=enet,
-                                standardization=False, maxIter=p.get("maxIter", 100))
+                                standardization=False, maxIter=p.get("maxIter", 100), tol=p.get("tol", 1e-4))
         return lr.setWeightCol(weight) if weight else lr
     if name == "random_forest":
         rf = RandomForestClassifier(**common, numTrees=p.get("numTrees", 100), maxDepth=p.get("maxDepth", 5),

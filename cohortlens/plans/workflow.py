@@ -160,8 +160,7 @@ def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: d
     """
     inner = resample.nested_folds(df, label, id_col, "fold", k_outer, k_inner, seed=7).cache()
     base = df.cache()
-    parts, failed = [], []
-    for f in range(k_outer):
+    def outer(f):
         train = base.join(inner.where(F.col("outer_fold") == f).select(id_col, "inner_fold"), id_col)
         train = _with_weights(train, learner_name, label)
         n = train.count()
@@ -175,9 +174,15 @@ def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: d
         try:
             best = cv.fit(train).bestModel
             scored = _with_pred(positive_score(best.transform(base.where(F.col("fold") == f)), learner_name))
-            parts.append(scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred"))
+            return f, scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred").cache()
         except Exception:  # noqa: BLE001 - the reference scores a failed fit as chance
-            failed.append(f)
+            return f, None
+
+    # outer folds are independent: fit them concurrently (each runs its own inner search)
+    with ThreadPoolExecutor(max_workers=k_outer) as pool:
+        results = list(pool.map(outer, range(k_outer)))
+    parts = [p for _, p in results if p is not None]
+    failed = [f for f, p in results if p is None]
     if not parts:
         raise RuntimeError("every outer fit failed")
     preds = parts[0]
@@ -246,14 +251,19 @@ def bootstrap_coefficients(df: DataFrame, features: Sequence[str], label: str =
     rows = [(0, f, float(c)) for f, c in zip(features, original)]
     weighted = resample.poisson_bootstrap_weights(scaled, id_col, n_boot, seed).withColumn(
         "bw", F.col("weight") * F.col("cw")).cache()
-    for b in range(1, n_boot + 1):
+    def replicate(b):
         rep = weighted.where(F.col("replicate") == b)
         try:
             lr = make_learner("logreg_ridge", {"C": C}, weight="bw", sum_weights=float(n))
             coefs = list(lr.fit(rep).coefficients.toArray())
         except Exception:  # noqa: BLE001
             coefs = original
-        rows += [(b, f, float(c)) for f, c in zip(features, coefs)]
+        return [(b, f, float(c)) for f, c in zip(features, coefs)]
+
+    # replicate fits are independent: run them concurrently
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        for part in pool.map(replicate, range(1, n_boot + 1)):
+            rows += part
     tab = spark.createDataFrame(rows, "replicate int, feature string, coef double")
     orig = tab.where("replicate = 0").select("feature", F.round("coef", 6).alias("coef"))
     boot = tab.where("replicate > 0").groupBy("feature").agg(
