@@ -13,11 +13,12 @@ from cohortlens.sources.tables import load, survey
 
 
 # ------------------------------------------------------------------ SQL helpers
-def auc_ctes(src: str, keys: list[str], p: str) -> str:
-    """CTEs {p}_cnt, {p}_cum, {p}_auc computing grouped AUC from (keys, score, label) rows of ``src``."""
+def auc_ctes(src: str, keys: list[str], p: str, w: str = "1") -> str:
+    """CTEs {p}_cnt, {p}_cum, {p}_auc computing grouped AUC from (keys, score, label) rows of ``src``
+    (each row counted with weight ``w``)."""
     k = ", ".join(keys)
-    return f"""{p}_cnt AS (SELECT {k}, CAST(score AS DOUBLE) AS score, sum(CAST(label AS DOUBLE)) AS pos,
-  sum(1 - CAST(label AS DOUBLE)) AS neg FROM {src} WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
+    return f"""{p}_cnt AS (SELECT {k}, CAST(score AS DOUBLE) AS score, sum(CAST({w} AS DOUBLE) * CAST(label AS DOUBLE)) AS pos,
+  sum(CAST({w} AS DOUBLE) * (1 - CAST(label AS DOUBLE))) AS neg FROM {src} WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
 {p}_cum AS (SELECT *, COALESCE(sum(neg) OVER (PARTITION BY {k} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM {p}_cnt),
 {p}_auc AS (SELECT {k}, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (nb + 0.5 * neg)) / (sum(pos) * sum(neg)) END AS auc,
   CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
@@ -576,6 +577,36 @@ SELECT feature, n_pos + n_neg AS n, n_pos, round(auc, 6) AS auc, round(greatest(
 WHERE n_pos + n_neg >= 50 AND n_pos >= 5 AND n_neg > 0"""
 
 
+N_BOOT_UNI = 20
+
+
+def _uni_ci_sql():
+    from cohortlens.operators.resample import _poisson1_cdf
+
+    cdf = _poisson1_cdf()
+    u = f"(CAST({portable_hash_sql(42, 'id_anon', 'r.replicate')} AS DOUBLE) / CAST(4294967296 AS DOUBLE))"
+    pois = "CASE " + " ".join(f"WHEN {u} < {c!r} THEN {k}" for k, c in enumerate(cdf)) + f" ELSE {len(cdf)} END"
+    num = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS score, label, id_anon FROM lab WHERE {c} IS NOT NULL"
+                             for c in UNI_NUM)
+    cat = " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CAST(label AS DOUBLE)) OVER (PARTITION BY {c}) AS score, label, id_anon "
+                             f"FROM lab WHERE {c} IS NOT NULL" for c in UNI_CAT)
+    return f"""WITH {fx.LABELLED_CTE}, ul AS ({num} UNION ALL {cat}), {auc_ctes('ul', ['feature'], 'ua')},
+bw AS (SELECT ul.feature, ul.score, ul.label, CAST(r.replicate AS INT) AS replicate, {pois} AS w
+       FROM ul, range(1, {N_BOOT_UNI + 1}) r(replicate)),
+bw2 AS (SELECT * FROM bw WHERE w > 0), {auc_ctes('bw2', ['feature', 'replicate'], 'ub', 'w')},
+ci AS (SELECT feature, round(quantile_cont(auc, 0.025), 6) AS ci_lower, round(quantile_cont(auc, 0.975), 6) AS ci_upper
+       FROM ub_auc WHERE auc IS NOT NULL GROUP BY feature)
+SELECT a.feature, a.n_pos + a.n_neg AS n, a.n_pos, round(a.auc, 6) AS auc, round(greatest(a.auc, 1 - a.auc), 6) AS auc_folded,
+  ci.ci_lower, ci.ci_upper FROM ua_auc a LEFT JOIN ci ON a.feature = ci.feature
+WHERE a.n_pos + a.n_neg >= 50 AND a.n_pos >= 5 AND a.n_neg > 0"""
+
+
+@query("univariate_auc_ci", _uni_ci_sql())
+def q_univariate_auc_ci(spark, sf):
+    return metrics.univariate_auc(fx.labelled(spark, sf), "label", UNI_NUM, UNI_CAT, n_boot=N_BOOT_UNI,
+                                  id_col="id_anon", seed=42)
+
+
 @query("univariate_auc", _uni_sql())
 def q_univariate_auc(spark, sf):
     return metrics.univariate_auc(fx.labelled(spark, sf), "label", UNI_NUM, UNI_CAT)
