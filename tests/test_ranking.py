@@ -83,3 +83,20 @@ def test_top_k_others_ties(spark):
     d = spark.createDataFrame([(c,) for c in "aabbccddde"], "c string")
     got = {r.category: (r.n, r.rank) for r in top_k_others(d, "c", 2).collect()}
     assert got == {"d": (3, 1), "a": (2, 2), "others": (5, 3)}
+
+
+def test_count_below_matches_linear(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = []
+    for n in (0, 1, 5, 37, 200):
+        bounds = sorted(rnd.uniform(-5, 5) for _ in range(n))
+        bounds[n // 2: n // 2] = [bounds[n // 2]] * 3 if n else []  # repeated bounds
+        for v in [-6.0, 6.0] + [rnd.uniform(-5, 5) for _ in range(20)] + bounds[:3]:
+            rows.append((bounds, v, sum(1 for b in bounds if b < v), len(bounds)))
+    d = spark.createDataFrame(rows, "b array<double>, v double, exp int, n int")
+    for n in sorted({r[3] for r in rows}):
+        sub = d.where(F.col("n") == n)
+        got = sub.select((ranking.count_below(F.col("b"), F.col("v"), n) == F.col("exp")).alias("ok")).collect()
+        assert all(r.ok for r in got), n
