@@ -49,12 +49,16 @@ def ordered_positions(df: DataFrame, order_col: str, n_parts: int | None = None)
 
     Range partitioning gives ordered buckets; the partition sizes give offsets (a
     table with one row per partition); a window inside each partition finishes
-    the rank.  The partitioned rows are cached so both uses see one partitioning.
+    the rank.  The partitioned rows are checkpointed so both uses see one partitioning.
     """
     spark = df.sparkSession
     if n_parts is None:
         n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n_parts, order_col).withColumn("_pid", F.spark_partition_id()).cache()
+    from cohortlens.session import work_dir
+
+    work_dir(spark)  # checkpoint folder: the cluster's shared one, or a private one in tests
+    # written once to the checkpoint folder: both uses below read the same partition ids
+    part = df.repartitionByRange(n_parts, order_col).withColumn("_pid", F.spark_partition_id()).checkpoint()
     sizes = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

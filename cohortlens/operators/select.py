@@ -29,9 +29,12 @@ def retention_report(original: DataFrame, col: str, values: Sequence) -> DataFra
     """Per kept value: n and % of kept rows, with original size, kept size, removed and retention %.
 
     One grouped pass gives the per-value counts; the two totals are fitted scalars
-    read off that (small, cached) per-value table.
+    read off that (small, checkpointed) per-value table.
     """
-    per = original.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")).cache()
+    from cohortlens.session import work_dir
+
+    work_dir(original.sparkSession)
+    per = original.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
     kept = F.col("value").isin(list(values))
     t = per.agg(F.sum("n").alias("o"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("f")).first()
     n_original, n_filtered = int(t["o"] or 0), int(t["f"] or 0)

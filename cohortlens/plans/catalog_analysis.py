@@ -126,7 +126,7 @@ WITH {fx.SPLIT_CTE}
 SELECT CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train_ids,
   CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS n_test_ids, CAST(0 AS BIGINT) AS n_overlap FROM splitted""")
 def q_id_overlap(spark, sf):
-    s = fx.split(spark, sf).select("id_anon", "split").cache()
+    s = fx.split(spark, sf).select("id_anon", "split")
     return align.id_overlap(s.where("split = 'train'"), s.where("split = 'test'"), "id_anon")
 
 
@@ -324,7 +324,7 @@ SELECT count(*) AS n_all, count(*) FILTER (WHERE split = 'train') AS n_train, co
   CAST(count(*) FILTER (WHERE split = 'train') + count(*) FILTER (WHERE split = 'test') = count(*) AS INT) AS preserved
 FROM splitted""")
 def q_sample_preserved(spark, sf):
-    s = fx.split(spark, sf).select("id_anon", "split").cache()
+    s = fx.split(spark, sf).select("id_anon", "split")
     return profile.sample_preserved(s, s.where("split = 'train'"), s.where("split = 'test'"))
 
 

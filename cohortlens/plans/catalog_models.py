@@ -87,6 +87,7 @@ FEATURE_DESCRIPTIONS = [
 
 
 @query("coefficient_report")
+@wf.releases_caches
 def q_coefficient_report(spark, sf):
     from cohortlens.operators.align import label_lookup
     from cohortlens.operators.metrics import ci_excludes
@@ -114,19 +115,20 @@ def _smote_fold(train, test, learner, params, k_nb=5, seed=42):
     syn_rows = syn.select((-1 - F.col("syn_id")).alias("id_anon"),
                           *[F.col("vector")[i].alias(c) for i, c in enumerate(FEATS)], F.lit(1).alias("label"))
     # materialise the augmented training rows once: every fit job below reads them
-    aug = tr.select("id_anon", *FEATS, "label").unionByName(syn_rows).cache()
+    aug = wf._cache(tr.select("id_anon", *FEATS, "label").unionByName(syn_rows))
     return wf.fit_score(aug, te, learner, FEATS, params, "label", scale=False)
 
 
 @query("smote_cv")
+@wf.releases_caches
 def q_smote_cv(spark, sf):
     from concurrent.futures import ThreadPoolExecutor
 
-    m = model_table(spark, sf).cache()
+    m = wf._cache(model_table(spark, sf))
 
     def one(f):
         s = _smote_fold(m.where(F.col("fold") != f), m.where(F.col("fold") == f), "logreg_ridge", {"C": 1.0})
-        return s.select("id_anon", F.lit(f).alias("fold"), "label", "score", "pred").cache()
+        return wf._cache(s.select("id_anon", F.lit(f).alias("fold"), "label", "score", "pred"))
 
     with ThreadPoolExecutor(max_workers=5) as pool:  # independent folds, fitted concurrently
         parts = list(pool.map(one, range(5)))
@@ -137,10 +139,11 @@ def q_smote_cv(spark, sf):
 
 
 @query("smote_holdout")
+@wf.releases_caches
 def q_smote_holdout(spark, sf):
     from cohortlens.operators import metrics
 
-    s = fx.split(spark, sf).select("id_anon", *FEATS, "label", "split").cache()
+    s = wf._cache(fx.split(spark, sf).select("id_anon", *FEATS, "label", "split"))
     scored = _smote_fold(s.where("split = 'train'"), s.where("split = 'test'"), "logreg_ridge", {"C": 1.0})
     auc = metrics.roc_auc(scored, "score", "label", ["split"]).select("split", "auc")
     hm = metrics.holdout_metrics(scored, "pred", "label", ["split"])
@@ -178,11 +181,12 @@ def q_expanded_features(spark, sf):
 
 
 @query("restricted_vs_expanded")
+@wf.releases_caches
 def q_restricted_vs_expanded(spark, sf):
     base = survey(spark, sf).select("id_anon", "x1", "x2")
     x = wf.expanded_features(base, _extra(spark, sf), "id_anon", EXP_RULES, 20)
     folds = fx.folds(spark, sf).select("id_anon", "label", "fold")
-    m = x.join(folds, "id_anon").cache()
+    m = wf._cache(x.join(folds, "id_anon"))
     feats = [c for c in x.columns if c != "id_anon"]
     old = wf.simple_cv(m, "logreg_ridge", ["x1", "x2"], {"C": 1.0}, model="restricted")
     new = wf.simple_cv(m, "logreg_ridge", feats, {"C": 1.0}, model="expanded")
@@ -192,8 +196,9 @@ def q_restricted_vs_expanded(spark, sf):
 
 
 @query("baseline_vs_extended")
+@wf.releases_caches
 def q_baseline_vs_extended(spark, sf):
-    m = model_table(spark, sf).where(F.col("semanas").isNotNull() & F.col("peso1").isNotNull()).cache()
+    m = wf._cache(model_table(spark, sf).where(F.col("semanas").isNotNull() & F.col("peso1").isNotNull()))
     rows = []
     for algo in ("logreg_ridge", "random_forest"):
         for variant, feats in (("baseline", ["x1", "x2", "idade"]), ("extended", ["x1", "x2", "idade", "semanas"])):
@@ -225,7 +230,7 @@ SELECT id_anon, round(score, 6) AS score, CAST(score >= 0.5 AS INT) AS pred FROM
 
 @query("gaussian_nb", _nb_sql())
 def q_gaussian_nb(spark, sf):
-    f = fx.folds(spark, sf).cache()
+    f = fx.folds(spark, sf)
     fitted = fit_gaussian_nb(f.where("fold != 0"), NB_FEATS, "label", 1e-9)
     scored = apply_gaussian_nb(f.where("fold = 0"), fitted)
     return scored.select("id_anon", F.round("score", 6).alias("score"), (F.col("score") >= 0.5).cast("int").alias("pred"))
@@ -256,7 +261,7 @@ vt AS (SELECT vec_id, nl, count(*) AS votes FROM r WHERE rk <= 5 GROUP BY 1, 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, nl) AS br, sum(votes) OVER (PARTITION BY vec_id) AS tot FROM vt)
 SELECT vec_id, nl AS pred, round(votes / CAST(tot AS DOUBLE), 6) AS vote_share FROM b WHERE br = 1""", survey_cte=False)
 def q_knn_classify(spark, sf):
-    s = emb_split(spark, sf).cache()
+    s = emb_split(spark, sf)
     out = neighbors.knn_classify(s.where("split = 'train'"), s.where("split = 'test'"), 5, "vec_id", "embedding", "label")
     return out.select("vec_id", "pred", F.round("vote_share", 6).alias("vote_share"))
 
@@ -276,7 +281,7 @@ o AS (SELECT s2.syn_id, pos.id AS base_id, nbr.neighbor_id, s2.gap,
 SELECT syn_id, base_id, neighbor_id, round(gap, 6) AS gap, round(list_reduce(vec, lambda s, t: s + t), 6) AS vec_sum,
   round(list_reduce(list_transform(vec, lambda x: x * x), lambda s, t: s + t), 6) AS vec_sq FROM o""", survey_cte=False)
 def q_smote(spark, sf):
-    s = emb_split(spark, sf).where("split = 'train'").cache()
+    s = emb_split(spark, sf).where("split = 'train'")
     counts = {r["is_min"]: r["count"] for r in s.groupBy((F.col("label") == 0).alias("is_min")).count().collect()}
     n_syn = counts.get(False, 0) - counts.get(True, 0)
     syn = neighbors.smote(s.where("label = 0"), n_syn, "vec_id", "embedding", 5, 42)

@@ -444,7 +444,7 @@ SELECT id_anon,
   COALESCE(prenatal, {_mode_sql('prenatal', 'folds', 'fold <> 0')}) AS prenatal
 FROM folds WHERE fold = 0""")
 def q_fit_transform_impute(spark, sf):
-    f = fx.folds(spark, sf).select("id_anon", "fold", "peso1", "semanas", "prenatal").cache()
+    f = fx.folds(spark, sf).select("id_anon", "fold", "peso1", "semanas", "prenatal")
     out = impute.fit_transform_impute(f.where("fold != 0"), f.where("fold = 0"), ["peso1", "semanas"], ["prenatal"])
     return out.select("id_anon", "peso1", "semanas", "prenatal")
 
@@ -548,7 +548,7 @@ def _rs_sql():
 
 @query("robust_scale", f"WITH {fx.FOLDS_CTE} SELECT id_anon, fold, {_rs_sql()} FROM folds")
 def q_robust_scale(spark, sf):
-    f = fx.folds(spark, sf).select("id_anon", "fold", *_RS_COLS).cache()
+    f = fx.folds(spark, sf).select("id_anon", "fold", *_RS_COLS)
     return impute.robust_scale(f.where("fold != 0"), f, _RS_COLS)
 
 

@@ -8,6 +8,8 @@ uses ``CrossValidator(foldCol=...)`` with our exact stratified inner folds.
 
 from __future__ import annotations
 
+import functools
+import threading
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -28,6 +30,45 @@ from cohortlens.plans.learners import (
 )
 
 
+_CACHE_LOCK = threading.Lock()
+_CACHED: list = []
+MAX_REPORT_ROWS = 100_000
+
+
+def _cache(df: DataFrame) -> DataFrame:
+    """cache() and remember it, so the enclosing workflow can release it."""
+    df = df.cache()
+    with _CACHE_LOCK:
+        _CACHED.append(df)
+    return df
+
+
+def releases_caches(fn):
+    """Run a workflow, materialise its report-sized result, then unpersist what it cached.
+
+    Workflow results are a few rows per (model, algorithm, metric); the guard refuses
+    anything larger than ``MAX_REPORT_ROWS`` instead of pulling it to the driver.
+    """
+    @functools.wraps(fn)
+    def wrapper(*args, **kwargs):
+        with _CACHE_LOCK:
+            mark = len(_CACHED)
+        try:
+            out = fn(*args, **kwargs)
+            rows = out.limit(MAX_REPORT_ROWS + 1).collect()
+            if len(rows) > MAX_REPORT_ROWS:
+                raise ValueError(f"{fn.__name__}: result is not report-sized")
+            result = out.sparkSession.createDataFrame(rows, out.schema)
+        finally:
+            with _CACHE_LOCK:
+                mine = _CACHED[mark:]
+                del _CACHED[mark:]
+            for d in mine:
+                d.unpersist()
+        return result
+    return wrapper
+
+
 class MedianImputeExact(Estimator):
     """Missing -> median of the rows passed to ``fit`` (exact, distributed)."""
 
@@ -99,13 +140,13 @@ def fold_predictions(df: DataFrame, learner_name: str, features: Sequence[str],
                      label: str = "label", fold_col: str = "fold", k: int = 5, id_col: str = "id_anon",
                      impute: Sequence[str] = (), parallelism: int = 5) -> DataFrame:
     """Out-of-fold predictions (id, fold, label, score, pred) for every fold (simple CV, no search)."""
-    cached = df.cache()
+    cached = _cache(df)
 
     def one(f):
         scored = fit_score(cached.where(F.col(fold_col) != f), cached.where(F.col(fold_col) == f),
                            learner_name, features, params, label, impute)
         # materialise the fold's predictions while the fold's model is at hand
-        return scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred").cache()
+        return _cache(scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred"))
 
     # independent folds are fitted concurrently (Spark schedules jobs from several threads)
     with ThreadPoolExecutor(max_workers=min(parallelism, k)) as pool:
@@ -131,6 +172,7 @@ def summarize_folds(fm: DataFrame, model: str, algorithm: str) -> DataFrame:
                      "mean", "ci_lower", "ci_upper")
 
 
+@releases_caches
 def simple_cv(df: DataFrame, learner_name: str, features: Sequence[str], params: dict | None = None,
               model: str = "M", label: str = "label", impute: Sequence[str] = ()) -> DataFrame:
     preds = fold_predictions(df, learner_name, features, params, label, impute=impute)
@@ -151,6 +193,7 @@ def param_grid(est, learner_name: str, grid: dict, n_rows: int):
     return b.build()
 
 
+@releases_caches
 def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: dict, params: dict | None = None,
               model: str = "M", label: str = "label", id_col: str = "id_anon", k_outer: int = 5, k_inner: int = 5,
               parallelism: int = 2, impute: Sequence[str] = ()) -> DataFrame:
@@ -158,8 +201,8 @@ def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: d
 
     A failed fit scores its outer fold as AUC 0.5 and precision/recall/F1 0.
     """
-    inner = resample.nested_folds(df, label, id_col, "fold", k_outer, k_inner, seed=7).cache()
-    base = df.cache()
+    inner = _cache(resample.nested_folds(df, label, id_col, "fold", k_outer, k_inner, seed=7))
+    base = _cache(df)
     def outer(f):
         train = base.join(inner.where(F.col("outer_fold") == f).select(id_col, "inner_fold"), id_col)
         train = _with_weights(train, learner_name, label)
@@ -174,7 +217,7 @@ def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: d
         try:
             best = cv.fit(train).bestModel
             scored = _with_pred(positive_score(best.transform(base.where(F.col("fold") == f)), learner_name))
-            return f, scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred").cache()
+            return f, _cache(scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred"))
         except Exception:  # noqa: BLE001 - the reference scores a failed fit as chance
             return f, None
 
@@ -199,6 +242,7 @@ def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: d
 EXACT_BOOTSTRAP_ROWS = 50_000_000  # above this many drawn rows, Poisson weights replace copies
 
 
+@releases_caches
 def holdout_validate(df: DataFrame, learner_name: str, features: Sequence[str], params: dict | None = None,
                      model: str = "M", label: str = "label", split_col: str = "split", id_col: str = "id_anon",
                      n_boot: int = 100, seed: int = 42, impute: Sequence[str] = ()) -> DataFrame:
@@ -210,7 +254,7 @@ def holdout_validate(df: DataFrame, learner_name: str, features: Sequence[str],
     """
     scored = fit_score(df.where(F.col(split_col) == "train"), df.where(F.col(split_col) == "test"),
                        learner_name, features, params, label, impute)
-    preds = scored.select(id_col, label, "score", "pred").cache()
+    preds = _cache(scored.select(id_col, label, "score", "pred"))
     n_test = preds.count()
     if n_test * n_boot <= EXACT_BOOTSTRAP_ROWS:
         # exact resampling: B copies of n drawn rows
@@ -230,6 +274,7 @@ def holdout_validate(df: DataFrame, learner_name: str, features: Sequence[str],
                                          "metric", "mean", "ci_lower", "ci_upper", "n_boot_effective")
 
 
+@releases_caches
 def bootstrap_coefficients(df: DataFrame, features: Sequence[str], label: str = "label", id_col: str = "id_anon",
                            n_boot: int = 20, C: float = 1.0, seed: int = 42) -> DataFrame:
     """Refit a ridge logistic regression on B Poisson-weighted resamples; percentile CI per coefficient.
@@ -239,9 +284,9 @@ def bootstrap_coefficients(df: DataFrame, features: Sequence[str], label: str =
     contributes the original coefficients (as the reference does).
     """
     spark = df.sparkSession
-    base = resample.balanced_weights(df, label, "cw").cache()
+    base = _cache(resample.balanced_weights(df, label, "cw"))
     n = base.count()
-    scaled = Pipeline(stages=[RobustScaleIQR(features), assembler(features)]).fit(base).transform(base).cache()
+    scaled = _cache(Pipeline(stages=[RobustScaleIQR(features), assembler(features)]).fit(base).transform(base))
 
     def fit(weight_col):
         lr = make_learner("logreg_ridge", {"C": C}, weight=weight_col, sum_weights=float(n))
@@ -249,8 +294,8 @@ def bootstrap_coefficients(df: DataFrame, features: Sequence[str], label: str =
 
     original = fit("cw")
     rows = [(0, f, float(c)) for f, c in zip(features, original)]
-    weighted = resample.poisson_bootstrap_weights(scaled, id_col, n_boot, seed).withColumn(
-        "bw", F.col("weight") * F.col("cw")).cache()
+    weighted = _cache(resample.poisson_bootstrap_weights(scaled, id_col, n_boot, seed).withColumn(
+        "bw", F.col("weight") * F.col("cw")))
     def replicate(b):
         rep = weighted.where(F.col("replicate") == b)
         try:
@@ -272,11 +317,12 @@ def bootstrap_coefficients(df: DataFrame, features: Sequence[str], label: str =
     return orig.join(boot, "feature")
 
 
+@releases_caches
 def nonzero_selection(df: DataFrame, features: Sequence[str], label: str = "label", C: float = 0.1,
                       k: int = 5, tol: float = 1e-8) -> DataFrame:
     """Lasso per training fold; (fold, feature, coef) for coefficients above ``tol`` in absolute value."""
     spark = df.sparkSession
-    cached = resample.balanced_weights(df, label).cache()
+    cached = _cache(resample.balanced_weights(df, label))
     rows = []
     for f in range(k):
         train = cached.where(F.col("fold") != f)
@@ -306,8 +352,11 @@ def expanded_features(base: DataFrame, extra: DataFrame, id_col: str, exclude_ru
     cand = candidate_column_list(extra.drop(id_col), exclude_rules)
     numeric = [c for c in cand if isinstance(extra.schema[c].dataType, NumericType)]
     strings = [c for c in cand if isinstance(extra.schema[c].dataType, StringType)]
-    # the fits below read the joined matrix three times: persist it (spills to disk if needed)
-    x = base.join(extra.select(id_col, *numeric, *strings), id_col, "left").cache()
+    # the fits below read the joined matrix three times: write it once to the shared checkpoint folder
+    from cohortlens.session import work_dir
+
+    work_dir(base.sparkSession)
+    x = base.join(extra.select(id_col, *numeric, *strings), id_col, "left").checkpoint()
     vc = low_card_value_counts(x, strings, max_categories)
     strings = [c for c in strings if vc[c] is not None]
     x = x.drop(*[c for c in cand if c not in numeric and c not in strings])

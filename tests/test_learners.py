@@ -44,3 +44,10 @@ def test_holdout_validate_both_bootstrap_paths(spark, monkeypatch, poisson):
     res = {r.metric: r for r in wf.holdout_validate(s, "logreg_ridge", ["zimc", "x1"], {"C": 1.0}, n_boot=10).collect()}
     assert res["auc"].mean > 0.9 and res["auc"].ci_lower <= res["auc"].mean <= res["auc"].ci_upper
     assert res["auc"].n_boot_effective == 10
+
+
+def test_workflows_release_their_caches(spark, table):
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    wf.simple_cv(table, "logreg_ridge", ["zimc"], {"C": 1.0}).collect()
+    after = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    assert after <= before
