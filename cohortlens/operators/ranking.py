@@ -141,9 +141,12 @@ def running_totals(
     n_buckets: int = DEFAULT_BUCKETS,
     n_groups_bound: int | None = None,
     accuracy: int = 10000,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """Inclusive running sums ``_cum_<v>`` of value_cols ordered by order_col within keys.
 
+    ``keep_bucket`` keeps the ``_bucket`` column (0 when the group fits one window).
+
     ``order_col`` must be unique within keys (aggregate to distinct sort keys
     first).  Bucket bounds are approximate percentiles of the distinct keys,
     so each bucket holds about 1/n_buckets of them whatever the row skew.
@@ -155,7 +158,8 @@ def running_totals(
         max_rows = df.count()
     if max_rows is not None and max_rows <= SMALL_DISTINCT:
         w = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({f"_cum_{v}": F.sum(v).over(w) for v in value_cols})
+        out = df.withColumns({f"_cum_{v}": F.sum(v).over(w) for v in value_cols})
+        return out.withColumn("_bucket", F.lit(0)) if keep_bucket else out
     if max_rows:
         # grouped bounds use a two-level search (~2 sqrt(B) comparisons); one group uses a binary search
         cap = 16384 if keys else 65536
@@ -189,7 +193,8 @@ def running_totals(
     w = Window.partitionBy(*keys, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     for v in value_cols:
         b = b.withColumn(f"_cum_{v}", F.sum(v).over(w) + F.col(f"_off_{v}"))
-    return b.drop("_bucket", *[f"_off_{v}" for v in value_cols])
+    b = b.drop(*[f"_off_{v}" for v in value_cols])
+    return b if keep_bucket else b.drop("_bucket")
 
 
 def unpivot(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str] = (), value_type: str = "double",
@@ -234,8 +239,10 @@ def exact_quantiles(
     gb = None if (by or n_groups_bound) else len(cols)
     if n_groups_bound is not None:
         gb = n_groups_bound * len(cols)
-    ranked = running_totals(vc, keys, "value", ["c"], n_buckets=n_buckets, n_groups_bound=gb)
+    ranked = running_totals(vc, keys, "value", ["c"], n_buckets=n_buckets, n_groups_bound=gb, keep_bucket=True)
     ranked = ranked.withColumn("_start", F.col("_cum_c") - F.col("c")).withColumn("_end", F.col("_cum_c") - 1)
+    # rank range of each bucket (groups x buckets rows): lets every target find its bucket first
+    ranges = ranked.groupBy(*keys, "_bucket").agg(F.min("_start").alias("_bs"), F.max("_end").alias("_be"))
     totals = vc.groupBy(*keys).agg(F.sum("c").alias("_n"))
     pdf = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
     targets = totals.select(*keys, "_n", pdf).withColumn("_pos", F.col("p") * (F.col("_n") - 1))
@@ -247,7 +254,10 @@ def exact_quantiles(
         )).alias("_t"),
     ).select(*keys, "p", "_frac", "_t._which", "_t._rank")
     tb = None if gb is None else gb * len(probs) * 2
-    hit = ranked.join(maybe_broadcast(targets, tb), keys).where(
+    targets = targets.join(ranges, keys).where(
+        (F.col("_rank") >= F.col("_bs")) & (F.col("_rank") <= F.col("_be"))).drop("_bs", "_be")
+    # each distinct value meets only the (at most 2 x probs) targets that fall in its own bucket
+    hit = ranked.join(maybe_broadcast(targets, tb), [*keys, "_bucket"]).where(
         (F.col("_rank") >= F.col("_start")) & (F.col("_rank") <= F.col("_end"))
     )
     res = hit.groupBy(*keys, "p").agg(
