@@ -12,9 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
 
-from cohortlens.operators.ranking import exact_quantiles, maybe_broadcast, unpivot
+from cohortlens.operators.ranking import exact_quantiles, unpivot
 
 
 def _is_missing(df: DataFrame, c: str):
@@ -390,4 +389,3 @@ def leaderboard(results: DataFrame, score_col: str = "auc") -> DataFrame:
     ).withColumn("is_best", (F.col("rank_in_model") == 1).cast("int"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["maybe_broadcast", "NumericType", "StringType"]
