@@ -100,3 +100,20 @@ def test_count_below_matches_linear(spark):
         sub = d.where(F.col("n") == n)
         got = sub.select((ranking.count_below(F.col("b"), F.col("v"), n) == F.col("exp")).alias("ok")).collect()
         assert all(r.ok for r in got), n
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_partition_count_invariance(spark, monkeypatch, large):
+    from cohortlens.operators import metrics
+
+    if large:
+        monkeypatch.setattr(ranking, "SMALL_DISTINCT", 0)
+    df, _ = _frame(spark)
+    df = df.withColumn("y01", (F.col("g") == 1).cast("int"))
+    outs = []
+    for n in (2, 13):
+        d = df.repartition(n)
+        q = sorted((r.feature, r.p, r.q) for r in ranking.exact_quantiles(d, ["x", "y"], [0.1, 0.5, 0.9]).collect())
+        a = metrics.roc_auc(d, "x", "y01").first().auc
+        outs.append((q, a))
+    assert outs[0] == outs[1]
