@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import mixing
+from cohortlens.llm import mixing, simhash
 from cohortlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their source's target and the words the mix takes of each."""
     plan = mixing.mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_simhash_near_duplicates")
+def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their 3-word-shingle fingerprint and their component at 2 bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=2, shingle=3)
