@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import mixing, simhash
+from cohortlens.llm import mixing, secrets, simhash
 from cohortlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their 3-word-shingle fingerprint and their component at 2 bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=2, shingle=3)
+
+
+@query("op7_scan_secrets")
+def op7_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the secrets in their whole text: counts, a digest of the base spans, all spans."""
+    return secrets.digest(table(spark, sf_dir, "documents"))
