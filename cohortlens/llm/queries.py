@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import mixing, secrets, simhash
+from cohortlens.llm import mixing, secrets, simhash, warc
 from cohortlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,21 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the secrets in their whole text: counts, a digest of the base spans, all spans."""
     return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+  CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
+
+
+@query("op8_warc_bundles", WARC_SQL)
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records in seekable bundles and read back."""
+    bundles = warc.write_bundles(warc.decisions(table(spark, sf_dir, "pages")))
+    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
