@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import mixing, secrets, simhash, warc
+from cohortlens.llm import lengths, mixing, packing, secrets, simhash, warc
 from cohortlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,21 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records in seekable bundles and read back."""
     bundles = warc.write_bundles(warc.decisions(table(spark, sf_dir, "pages")))
     return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_length_histogram")
+def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact histogram of all documents' encoded lengths, with what every context limit leaves."""
+    return lengths.length_sums(table(spark, sf_dir, "documents"), _vocabulary())
+
+
+@query("op10_pack_best_fit")
+def op10_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces of at most 2048 tokens with their sequence and offset."""
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary())
