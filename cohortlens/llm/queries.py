@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import lengths, mixing, packing, secrets, simhash, warc
+from cohortlens.llm import lengths, mixing, packing, secrets, simhash, toxicity, warc
 from cohortlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' pieces of at most 2048 tokens with their sequence and offset."""
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary())
+
+
+@query("op6_classify_toxicity")
+def op6_classify_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the convolutional classifier trained on the labels that aren't held out."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
