@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import lengths, mixing, packing, secrets, simhash, toxicity, warc
+from cohortlens.llm import lengths, mixing, packing, secrets, simhash, toxicity, urls, warc
 from cohortlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,10 @@ def op10_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_classify_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by the convolutional classifier trained on the labels that aren't held out."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@query("op9_filter_urls")
+def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' urls judged by the rules, and by the boosted trees where no rule fits."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
