@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.llm import lengths, mixing, packing, secrets, simhash, toxicity, urls, warc
+from cohortlens.llm import learned_index, lengths, mixing, packing, secrets, simhash, topk, toxicity, urls, warc
 from cohortlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +113,25 @@ def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages' urls judged by the rules, and by the boosted trees where no rule fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op1_learned_partitions")
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every hundredth vector among all others."""
+    return learned_index.nearest(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0, k=10)
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, [floor(64.0::DOUBLE * x::DOUBLE)::BIGINT FOR x IN embedding] AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.w[i] * c.w[i] FOR i IN range(1, len(q.w) + 1)])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op3_exact_top_k", TOP_K_SQL)
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("_id") % 20 == 0, k=20, scale=64.0)
