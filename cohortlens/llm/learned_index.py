@@ -85,9 +85,11 @@ def balanced_parts(joined: np.ndarray, parts: int, seed: int = 3) -> np.ndarray:
     """The part of each vertex: ``parts`` (a power of two) parts of equal size, but for one vertex."""
     label, rng = np.zeros(len(joined), dtype=np.int64), np.random.default_rng(seed)
     for level in range(int(math.log2(parts))):
+        halved = 2 * label
         for p in range(1 << level):
             own = np.nonzero(label == p)[0]
-            label[own] = 2 * p + bisect(joined[np.ix_(own, own)], rng)
+            halved[own] += bisect(joined[np.ix_(own, own)], rng)
+        label = halved
     return label
 
 
