@@ -53,7 +53,7 @@ def neighbour_graph(points: np.ndarray, k: int) -> np.ndarray:
     return np.maximum(joined, joined.T)
 
 
-def bisect(joined: np.ndarray, rng: np.random.Generator, rounds: int = 40, swaps: int = 10) -> np.ndarray:
+def bisect(joined: np.ndarray, rng: np.random.Generator, rounds: int = 100, swaps: int = 10) -> np.ndarray:
     """Halves of a graph: True for the n // 2 vertices of one side, with few edges between."""
     n = len(joined)
     scale = 1 / np.sqrt(np.maximum(joined.sum(axis=1), 1))

@@ -113,7 +113,7 @@ def solve(need: np.ndarray, room: int, epsilon: float = EPSILON, rounds: int = R
         weight = np.where(active, np.exp(covered[active].min() - covered), 0.0)
         price = np.divide(weight, need, out=np.zeros(len(need)), where=active)
         config = fill(price, need, room)
-        bound = max(bound, weight.sum() / max(float(config @ price), 1e-300)) if (config < need).all() else bound
+        bound = max(bound, weight.sum() / max(float(config @ price), 1e-300)) if (config < need)[config > 0].all() else bound
         share = np.divide(config, need, out=np.zeros(len(need)), where=active)
         step = epsilon / share.max()
         covered += step * share

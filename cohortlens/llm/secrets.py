@@ -120,8 +120,8 @@ class BlobLedger:
         now = F.array(*[F.lit(r.key) for r in self.rules])
         one = known.where(F.size("spans") > 0).select("blob", "scanned", F.explode("spans").alias("s"))
         # a span counts if the rule version that found it is a present one
-        one = one.withColumn("_key", F.element_at(F.filter(F.array_intersect("scanned", now), lambda k: F.substring_index(k, "@", 1) == F.col("s.kind")), 1))
-        return one.where("_key is not null").groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+        valid = F.exists(F.array_intersect("scanned", now), lambda k: F.substring_index(k, "@", 1) == F.col("s.kind"))
+        return one.where(valid).groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
     def scan(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``docs`` with the column ``spans``: what the rules find in each row's whole text."""
