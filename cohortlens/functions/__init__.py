@@ -2,9 +2,7 @@ from cohortlens.functions.expr import (  # noqa: F401
     all_null_guard,
     eq_flag,
     in_flag,
-    nan_to_null,
     not_contains_flag_expr,
-    r6,
     round_half_even,
 )
-from cohortlens.functions.hashing import fast_hash, portable_hash, portable_hash_sql  # noqa: F401
+from cohortlens.functions.hashing import HASH_RANGE, portable_hash, portable_hash_sql  # noqa: F401

@@ -16,17 +16,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def r6(c) -> Column:
-    """Round a double to 6 decimals (comparison-stable output)."""
-    return F.round(_c(c), 6)
-
-
-def nan_to_null(c) -> Column:
-    """Double NaN becomes NULL (pandas treats NaN as missing)."""
-    c = _c(c)
-    return F.when(~F.isnan(c), c)
-
-
 def round_half_even(c, digits: int = 2) -> Column:
     """NumPy-style rounding: ``rint(x * 10**d) / 10**d`` (Spark ``round`` is half-up)."""
     scale = float(10**digits)

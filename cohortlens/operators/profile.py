@@ -40,7 +40,10 @@ def distinct_counts_df(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     (map-side combine first), then counted per column.
     """
     cols = list(cols or df.columns)
-    long = unpivot(df, cols, value_type="string").where(F.col("value").isNotNull() & (F.col("value") != "NaN"))
+    # NaN is missing in floating-point columns; the text "NaN" is a value like any other
+    floats = {f.name for f in df.schema if f.dataType.typeName() in ("float", "double")}
+    own = df.select(*[(F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) if c in floats else F.col(f"`{c}`")).alias(c) for c in cols])
+    long = unpivot(own, cols, value_type="string").where(F.col("value").isNotNull())
     pairs = long.select("feature", "value").distinct()
     counted = pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
     names = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(cols)], "feature string, ordinal int")
@@ -202,6 +205,21 @@ def iqr_outliers(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def outlier_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, pct_outliers): percent of the values outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR], all columns in one scan."""
+    fitted = {(r["feature"], float(r["p"])): r["q"] for r in exact_quantiles(df, cols, [0.25, 0.75]).collect()}
+    shares = []
+    for c in cols:
+        q1, q3 = fitted.get((c, 0.25)), fitted.get((c, 0.75))
+        x = F.col(f"`{c}`").cast("double")
+        if q1 is None:
+            shares.append(F.lit(None).cast("double").alias(c))
+            continue
+        out = (x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))
+        shares.append(F.round(F.sum(out.cast("long")) * 100.0 / F.count(x), 6).alias(c))
+    return df.agg(*shares).unpivot([], list(cols), "feature", "pct_outliers")
+
+
 def corrected_skewness(x) -> F.Column:
     """Bias-corrected sample skewness (pandas / DuckDB): g1 * sqrt(n(n-1)) / (n-2)."""
     n = F.count(x).cast("double")

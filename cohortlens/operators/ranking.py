@@ -23,22 +23,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.hashing import HASH_BITS
+from cohortlens.session import work_dir
+
 DEFAULT_BUCKETS = 256
 SMALL_DISTINCT = 1_000_000  # per-group distinct values (tens of MB) handled by one exact aggregate / window
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
 ROWS_PER_BUCKET = 500_000
-MAX_HASH_BUCKETS = 1 << 20
+#: Leading hash bits of the first count; groups that are too large for them take more.
+HASH_BUCKET_BITS = 12
 
 
-def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    if keys:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
-    return df.count()
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which a NULL key meets a NULL key; the keys come from ``left``."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, on).drop(*[f"_right_{k}" for k in keys])
 
 
-def buckets_for(n_rows: int, per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_HASH_BUCKETS) -> int:
+def buckets_for(n_rows: int, per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = 1 << 20) -> int:
     """Power-of-two bucket count so that each bucket holds about ``per_bucket`` rows."""
     need = max(1, math.ceil(n_rows / per_bucket))
     return min(max_buckets, 1 << (need - 1).bit_length())
@@ -54,8 +59,6 @@ def ordered_positions(df: DataFrame, order_col: str, n_parts: int | None = None)
     spark = df.sparkSession
     if n_parts is None:
         n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from cohortlens.session import work_dir
-
     work_dir(spark)  # checkpoint folder: the cluster's shared one, or a private one in tests
     # written once to the checkpoint folder: both uses below read the same partition ids
     part = df.repartitionByRange(n_parts, order_col).withColumn("_pid", F.spark_partition_id()).checkpoint()
@@ -102,35 +105,35 @@ def _bucket_offsets(bucketed: DataFrame, keys: Sequence[str], value_cols: Sequen
     return out
 
 
-def hash_bucket(h: Column, n_buckets: int) -> Column:
-    """Bucket of a uniform 32-bit hash: its leading bits (monotone in h)."""
-    bits = max(0, int(math.ceil(math.log2(max(n_buckets, 1)))))
-    return F.shiftrightunsigned(h, 32 - bits).cast("int") if bits else F.lit(0)
+def hash_bucket(h: Column, bits: int) -> Column:
+    """Bucket of a uniform ``HASH_BITS``-bit hash: its leading bits (monotone in h)."""
+    return F.shiftrightunsigned(h, HASH_BITS - bits) if bits else F.lit(0).cast("bigint")
 
 
-def rank_by_hash(
-    df: DataFrame,
-    keys: Sequence[str],
-    hash_col: str,
-    id_col: str,
-    n_buckets: int | None = None,
-    n_groups_bound: int | None = None,
-) -> DataFrame:
+def rank_by_hash(df: DataFrame, keys: Sequence[str], hash_col: str, id_col: str, rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``_pos`` = 0-based position of each row within ``keys`` ordered by (hash, id).
 
-    Equal to ``row_number() over (partition by keys order by hash, id) - 1``.
-    ``hash_col`` must be a uniform non-negative 32-bit hash.  Without ``n_buckets``
-    the bucket count is sized from the largest group (one small job) so that a
-    window sees about ``ROWS_PER_BUCKET`` rows.
+    Equal to ``row_number() over (partition by keys order by hash, id) - 1``; NULL
+    keys are groups of their own.  ``hash_col`` must be a uniform hash of
+    ``HASH_BITS`` bits.  One pass counts rows by (keys, leading bits); where the
+    fullest cell is over ``rows_per_bucket``, a second one counts with as many
+    more bits as it takes, so no window ever holds a large group.
     """
-    if n_buckets is None:
-        n_buckets = buckets_for(_largest_group(df, keys))
-    b = df.withColumn("_bucket", hash_bucket(F.col(hash_col), n_buckets)).withColumn("_one", F.lit(1))
-    offs = _bucket_offsets(b, keys, ["_one"]).select(*keys, "_bucket", F.col("_off__one").alias("_offset"))
-    bound = None if n_groups_bound is None else n_groups_bound * n_buckets
-    b = b.join(maybe_broadcast(offs, bound), [*keys, "_bucket"])
+    limit = rows_per_bucket or ROWS_PER_BUCKET
+    bits = HASH_BUCKET_BITS
+    work_dir(df.sparkSession)  # the counts are read twice: they are written to the shared folder
+    while True:
+        cell = hash_bucket(F.col(hash_col), bits).alias("_bucket")
+        counts = df.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+        fullest = counts.agg(F.max("_n")).first()[0] or 0
+        if fullest <= limit or bits >= HASH_BITS - 8:
+            break
+        bits = min(HASH_BITS - 8, bits + max(1, math.ceil(math.log2(fullest / limit))))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rows = null_safe_join(df.withColumn("_bucket", hash_bucket(F.col(hash_col), bits)), starts, [*keys, "_bucket"])
     w = Window.partitionBy(*keys, "_bucket").orderBy(hash_col, id_col)
-    return b.withColumn("_pos", F.row_number().over(w) - 1 + F.col("_offset")).drop("_bucket", "_one", "_offset")
+    return rows.withColumn("_pos", F.row_number().over(w) - 1 + F.col("_start")).drop("_bucket", "_start")
 
 
 def running_totals(
@@ -169,7 +172,9 @@ def running_totals(
     approx = F.percentile_approx(F.col(order_col).cast("double"), probs, acc).alias("_bounds")
     if keys:
         bounds = df.groupBy(*keys).agg(approx)
-        b = df.join(maybe_broadcast(bounds, n_groups_bound), list(keys))
+        # a row of bounds is n_buckets wide: the size that counts is rows x width
+        wide = None if n_groups_bound is None else n_groups_bound * n_buckets
+        b = null_safe_join(df, maybe_broadcast(bounds, wide), list(keys))
         b = b.withColumn("_bucket", count_below(F.col("_bounds"), F.col(order_col).cast("double"), n_buckets - 1))
         b = b.drop("_bounds")
     else:
@@ -178,7 +183,7 @@ def running_totals(
         from pyspark.ml.feature import Bucketizer
 
         row = df.agg(approx).first()
-        cuts = sorted(set(float(x) for x in (row["_bounds"] or [])))
+        cuts = sorted({float(x) for x in (row["_bounds"] or []) if math.isfinite(x)})  # NaN has a bucket of its own, the last
         splits = [-math.inf] + cuts + [math.inf]
         if len(splits) < 3:
             b = df.withColumn("_bucket", F.lit(0))
@@ -189,7 +194,7 @@ def running_totals(
             b = b.withColumn("_bucket", F.col("_bk").cast("int")).drop("_bk", "_ordd")
     offs = _bucket_offsets(b, keys, value_cols).drop(*[f"_bt_{v}" for v in value_cols])
     obound = None if n_groups_bound is None else n_groups_bound * n_buckets
-    b = b.join(maybe_broadcast(offs, obound), [*keys, "_bucket"])
+    b = null_safe_join(b, maybe_broadcast(offs, obound), [*keys, "_bucket"])
     w = Window.partitionBy(*keys, "_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     for v in value_cols:
         b = b.withColumn(f"_cum_{v}", F.sum(v).over(w) + F.col(f"_off_{v}"))
@@ -254,10 +259,10 @@ def exact_quantiles(
         )).alias("_t"),
     ).select(*keys, "p", "_frac", "_t._which", "_t._rank")
     tb = None if gb is None else gb * len(probs) * 2
-    targets = targets.join(ranges, keys).where(
+    targets = null_safe_join(targets, ranges, keys).where(
         (F.col("_rank") >= F.col("_bs")) & (F.col("_rank") <= F.col("_be"))).drop("_bs", "_be")
     # each distinct value meets only the (at most 2 x probs) targets that fall in its own bucket
-    hit = ranked.join(maybe_broadcast(targets, tb), [*keys, "_bucket"]).where(
+    hit = null_safe_join(ranked, maybe_broadcast(targets, tb), [*keys, "_bucket"]).where(
         (F.col("_rank") >= F.col("_start")) & (F.col("_rank") <= F.col("_end"))
     )
     res = hit.groupBy(*keys, "p").agg(

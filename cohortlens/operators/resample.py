@@ -14,41 +14,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.hashing import portable_hash
-from cohortlens.operators.ranking import maybe_broadcast, rank_by_hash
-
-MAX_STRATA = 100_000
+from cohortlens.functions.hashing import HASH_RANGE, portable_hash
+from cohortlens.operators.ranking import null_safe_join, rank_by_hash
 
 
 def _class_counts(df: DataFrame, class_col: str) -> DataFrame:
-    counts = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n_class"))
-    n = counts.limit(MAX_STRATA + 1).count()
-    if n > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata in {class_col}")
-    return maybe_broadcast(counts, n)
+    return df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n_class"))
 
 
 def stratified_split(df: DataFrame, class_col: str, id_col: str, test_frac: float = 0.2, seed: int = 42,
-                     n_buckets: int = 1024, out: str = "split") -> DataFrame:
+                     out: str = "split") -> DataFrame:
     """Exact per-class split: the first round(n_c * test_frac) rows of each class, ordered by
     (hash(seed, id), id), go to ``test``; the rest to ``train``."""
     h = df.withColumn("_h", portable_hash(seed, id_col))
-    ranked = rank_by_hash(h, [class_col], "_h", id_col, n_buckets=n_buckets)
-    ranked = ranked.join(_class_counts(df, class_col), class_col)
+    ranked = rank_by_hash(h, [class_col], "_h", id_col)
+    ranked = null_safe_join(ranked, _class_counts(df, class_col), [class_col])
     n_test = F.floor(F.col("_n_class") * F.lit(float(test_frac)) + F.lit(0.5))
     return ranked.withColumn(out, F.when(F.col("_pos") < n_test, "test").otherwise("train")).drop("_h", "_pos", "_n_class")
 
 
 def stratified_kfold(df: DataFrame, class_col: str, id_col: str, k: int = 5, seed: int = 42,
-                     n_buckets: int = 1024, out: str = "fold") -> DataFrame:
+                     out: str = "fold") -> DataFrame:
     """fold = (rank within class by (hash(seed, id), id)) mod k: class-balanced, sizes differ by <= 1."""
     h = df.withColumn("_h", portable_hash(seed, id_col))
-    ranked = rank_by_hash(h, [class_col], "_h", id_col, n_buckets=n_buckets)
+    ranked = rank_by_hash(h, [class_col], "_h", id_col)
     return ranked.withColumn(out, (F.col("_pos") % k).cast("int")).drop("_h", "_pos")
 
 
 def nested_folds(df: DataFrame, class_col: str, id_col: str, fold_col: str = "fold", k_outer: int = 5,
-                 k_inner: int = 5, seed: int = 7, n_buckets: int = 1024) -> DataFrame:
+                 k_inner: int = 5, seed: int = 7) -> DataFrame:
     """Inner folds inside each outer training part.
 
     Output rows (outer_fold, id, class, inner_fold): for each outer fold k, the
@@ -57,14 +51,14 @@ def nested_folds(df: DataFrame, class_col: str, id_col: str, fold_col: str = "fo
     outer = F.explode(F.sequence(F.lit(0), F.lit(k_outer - 1))).alias("outer_fold")
     ex = df.select(id_col, class_col, fold_col, outer).where(F.col(fold_col) != F.col("outer_fold"))
     ex = ex.withColumn("_h", portable_hash(seed, id_col))
-    ranked = rank_by_hash(ex, ["outer_fold", class_col], "_h", id_col, n_buckets=n_buckets)
+    ranked = rank_by_hash(ex, ["outer_fold", class_col], "_h", id_col)
     return ranked.select("outer_fold", id_col, class_col, (F.col("_pos") % k_inner).cast("int").alias("inner_fold"))
 
 
-def row_positions(df: DataFrame, id_col: str, seed: int = 0, n_buckets: int = 1024) -> DataFrame:
+def row_positions(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
     """Dense 0-based row index ``_pos`` ordered by (hash(seed, id), id)."""
     h = df.withColumn("_h", portable_hash(seed, id_col)).withColumn("_all", F.lit(0))
-    return rank_by_hash(h, ["_all"], "_h", id_col, n_buckets=n_buckets, n_groups_bound=1).drop("_h", "_all")
+    return rank_by_hash(h, ["_all"], "_h", id_col).drop("_h", "_all")
 
 
 def bootstrap_rows(df: DataFrame, id_col: str, n_replicates: int, seed: int = 42) -> DataFrame:
@@ -119,7 +113,7 @@ def poisson_bootstrap_weights(df: DataFrame, id_col: str, n_replicates: int, see
     if fast:
         u = (F.abs(F.xxhash64(F.lit(seed), F.col(id_col), F.col("replicate"))) % F.lit(1 << 30)) / float(1 << 30)
     else:
-        u = portable_hash(seed, id_col, "replicate") / float(1 << 32)
+        u = portable_hash(seed, id_col, "replicate") / float(HASH_RANGE)
     return ex.withColumn("weight", poisson_weight(u)).where(F.col("weight") > 0)
 
 
@@ -146,12 +140,14 @@ def bootstrap_fold_mean(fold_scores: DataFrame, group_cols: Sequence[str], score
 
 
 def balanced_weights(df: DataFrame, label_col: str, out: str = "weight") -> DataFrame:
-    """weight = n / (n_classes * n_class) (sklearn 'balanced'); class counts are a fitted map."""
-    counts = {r[0]: r[1] for r in df.groupBy(label_col).count().limit(MAX_STRATA + 1).collect()}
-    n = sum(counts.values())
-    k = len(counts)
-    m = F.create_map(*[x for c, v in counts.items() if c is not None for x in (F.lit(c), F.lit(n / (k * v)))])
-    return df.withColumn(out, m[F.col(label_col)])
+    """weight = n / (n_classes * n_class) (sklearn 'balanced'); a missing label is a class of its own.
+
+    The counts are joined, whatever the number of classes.
+    """
+    counts = _class_counts(df, label_col)
+    n, k = counts.agg(F.sum("_n_class"), F.count(F.lit(1))).first()
+    weights = counts.select(label_col, (F.lit(float(n or 0)) / (F.lit(float(k or 1)) * F.col("_n_class"))).alias("_w"))
+    return null_safe_join(df, weights, [label_col]).withColumn(out, F.col("_w")).drop("_w")
 
 
 def pos_weight(df: DataFrame, label_col: str, weight: float | None = 33.0, out: str = "weight") -> DataFrame:

@@ -109,6 +109,12 @@ def select_available(df: DataFrame, wanted: Sequence[str]) -> tuple[DataFrame, l
     return df.select(*[_q(c) for c in kept]), status
 
 
+def status_rows(df: DataFrame, status: Sequence[tuple[str, str]]) -> DataFrame:
+    """The report of :func:`select_available` as rows (ordinal, column_name, status)."""
+    rows = [(i + 1, c, s) for i, (c, s) in enumerate(status)]
+    return df.sparkSession.createDataFrame(rows, "ordinal int, column_name string, status string")
+
+
 def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping))
 
@@ -175,12 +181,19 @@ def candidate_column_list(df: DataFrame, rules: Mapping[str, Sequence[str]]) ->
 
 
 def block_whitelist(names: DataFrame, dictionary: DataFrame, allowed_blocks: Sequence[str],
-                    out_of_window: Sequence[str] = (), name_col: str = "variavel") -> DataFrame:
-    """Names whose dictionary block (first entry by dictionary order) is allowed and not out of window."""
-    d = dictionary_first(dictionary).select("_k", "bloco")
-    j = names.join(d, F.lower(F.col(name_col)) == F.col("_k"))
-    keep = F.col("bloco").isin(list(allowed_blocks)) & ~F.lower(F.col(name_col)).isin([v.lower() for v in out_of_window])
-    return j.where(keep).drop("_k")
+                    out_of_window: Sequence[str] = (), exclude_exact: Sequence[str] = (),
+                    exclude_prefix: Sequence[str] = (), name_col: str = "variavel") -> DataFrame:
+    """Names that may be candidates: their dictionary entry (exact name, the last one wins) is in an allowed
+    block, they are none of ``exclude_exact``, and in lower case they neither start with one of
+    ``exclude_prefix`` nor hold one of ``out_of_window`` anywhere."""
+    last = dictionary.groupBy(F.col("variavel").alias("_k")).agg(F.max(F.struct("ordem", "bloco")).alias("_l"))
+    name = F.col(name_col)
+    keep = F.col("bloco").isin(list(allowed_blocks)) & ~name.isin(list(exclude_exact))
+    for v in exclude_prefix:
+        keep &= ~F.lower(name).startswith(v.lower())
+    for v in out_of_window:
+        keep &= ~F.lower(name).contains(v.lower())
+    return names.join(last.select("_k", "_l.bloco"), name == F.col("_k")).where(keep).drop("_k")
 
 
 def dictionary_first(dictionary: DataFrame) -> DataFrame:

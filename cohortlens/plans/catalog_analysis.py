@@ -30,8 +30,12 @@ def long_sql(src: str, feats: list[str], extra: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS score, {ex} FROM {src}" for f in feats)
 
 
-def t_values_sql(max_df: int = 60) -> str:
-    vals = ", ".join(f"({d}, {t!r})" for d, t in metrics.t_table(max_df))
+#: Two-sided 95 % Student-t quantiles of 1 to 4 degrees of freedom, from published tables (fixed values).
+T_TABLE = {1: 12.7062047362, 2: 4.3026527297, 3: 3.1824463053, 4: 2.7764451052}
+
+
+def t_values_sql() -> str:
+    vals = ", ".join(f"({d}, {t!r})" for d, t in T_TABLE.items())
     return f"tv AS (SELECT * FROM (VALUES {vals}) t(df, t))"
 
 
@@ -123,21 +127,32 @@ def q_union_ids(spark, sf):
 
 @query("id_overlap", f"""
 WITH {fx.SPLIT_CTE}
-SELECT CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train_ids,
-  CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS n_test_ids, CAST(0 AS BIGINT) AS n_overlap FROM splitted""")
+SELECT (SELECT count(*) FROM splitted WHERE split = 'train') AS n_train_ids,
+  (SELECT count(*) FROM splitted WHERE split = 'test') AS n_test_ids,
+  (SELECT count(*) FROM splitted a JOIN splitted b USING (id_anon) WHERE a.split = 'train' AND b.split = 'test') AS n_overlap""")
 def q_id_overlap(spark, sf):
     s = fx.split(spark, sf).select("id_anon", "split")
     return align.id_overlap(s.where("split = 'train'"), s.where("split = 'test'"), "id_anon")
 
 
+@query("id_overlap_leaky", """
+WITH a AS (SELECT DISTINCT doc_id FROM labels), b AS (SELECT doc_id FROM documents WHERE lang = 'de')
+SELECT (SELECT count(*) FROM a) AS n_train_ids, (SELECT count(*) FROM b) AS n_test_ids,
+  (SELECT count(*) FROM a JOIN b USING (doc_id)) AS n_overlap""", survey_cte=False)
+def q_id_overlap_leaky(spark, sf):
+    """Two sets that do share ids: the check has to find them."""
+    return align.id_overlap(load(spark, sf, "labels").select("doc_id"),
+                            load(spark, sf, "documents").where(F.col("lang") == "de").select("doc_id"), "doc_id")
+
+
 @query("column_set_difference", f"""
-WITH {fx.DICT_FIRST_SQL}
-SELECT variavel FROM ({fx.USED_NAMES_SQL})
-EXCEPT SELECT u.variavel FROM ({fx.USED_NAMES_SQL}) u JOIN dfirst d ON lower(u.variavel) = d.k
-WHERE d.bloco IN ({', '.join(repr(b) for b in fx.ALLOWED_BLOCKS)}) AND lower(u.variavel) <> 'brand#7'""", survey_cte=False)
+WITH {fx.DICT_LAST_SQL}
+SELECT variavel FROM ({fx.CASED_NAMES_SQL})
+EXCEPT SELECT u.variavel FROM ({fx.CASED_NAMES_SQL}) u JOIN dlast d ON u.variavel = d.variavel
+WHERE d.bloco IN ({', '.join(repr(b) for b in fx.ALLOWED_BLOCKS)}) AND {fx.WHITELIST_RULES_SQL}""", survey_cte=False)
 def q_column_set_difference(spark, sf):
-    names = fx.used_names(spark, sf)
-    kept = select.block_whitelist(names, fx.dictionary(spark, sf), fx.ALLOWED_BLOCKS, ["brand#7"])
+    names = fx.cased_names(spark, sf)
+    kept = select.block_whitelist(names, fx.dictionary(spark, sf), fx.ALLOWED_BLOCKS, **fx.WHITELIST_RULES)
     return align.column_set_difference(names, kept, "variavel")
 
 
@@ -240,10 +255,11 @@ def advice_profile(spark, sf):
     rare = (cat.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("feature").agg(F.sum((F.col("n") / F.lit(float(total)) < profile.ADVICE_RARE_SHARE).cast("int")).alias("n_rare")))
     skew = profile.skewness_check(b, ADVICE_NUM).select("feature", "skewness")
+    outliers = profile.outlier_shares(b, ADVICE_NUM)
     binary = set(select.binary_columns(b, ADVICE_NUM))
     is_bin = F.col("feature").isin(list(binary)).cast("int") if binary else F.lit(0)
-    return (mp.join(rare, "feature", "left").join(skew, "feature", "left")
-            .withColumn("is_binary", is_bin).withColumn("pct_outliers", F.lit(None).cast("double")))
+    return (mp.join(rare, "feature", "left").join(skew, "feature", "left").join(outliers, "feature", "left")
+            .withColumn("is_binary", is_bin))
 
 
 def _advice_sql():
@@ -256,12 +272,15 @@ def _advice_sql():
                     f"HAVING count(*) / CAST((SELECT count(*) FROM b) AS DOUBLE) < {profile.ADVICE_RARE_SHARE}))")
             skew = "CAST(NULL AS DOUBLE)"
             binf = "0"
+            out = "0.0"
         else:
             rare = "0"
             skew = f"skewness({c})"
             binf = f"CAST(min({c}) = 0 AND max({c}) = 1 AND count(*) FILTER (WHERE {c} NOT IN (0, 1)) = 0 AS INT)"
+            q1, q3 = f"(SELECT quantile_cont({c}, 0.25) FROM b)", f"(SELECT quantile_cont({c}, 0.75) FROM b)"
+            out = (f"count(*) FILTER (WHERE {c} < {q1} - 1.5 * ({q3} - {q1}) OR {c} > {q3} + 1.5 * ({q3} - {q1})) * 100.0 / count({c})")
         rows.append(f"SELECT '{c}' AS feature, round({miss}, 6) AS pm, count(DISTINCT {c}) AS nd, {rare} AS nr, "
-                    f"{skew} AS sk, {binf} AS ib FROM b")
+                    f"{skew} AS sk, {binf} AS ib, {out} AS po FROM b")
     u = " UNION ALL ".join(rows)
     return f"""WITH b AS (SELECT {fx.survey_blank_select_sql()} FROM survey), p AS ({u})
 SELECT feature,
@@ -269,7 +288,8 @@ SELECT feature,
        WHEN pm > {b5} THEN 'missing>5%' WHEN pm > {b1} THEN 'missing>1%' WHEN pm > 0 THEN 'missing<=1%' ELSE 'complete' END AS missing_advice,
   CASE WHEN nd <= 1 THEN 'constant' WHEN ib = 1 THEN 'binary' WHEN nd <= {profile.ADVICE_FEW_CATEGORIES} THEN 'few_categories'
        ELSE 'many_values' END AS shape_advice,
-  CASE WHEN COALESCE(nr, 0) > 0 THEN 1 ELSE 0 END AS has_rare, 0 AS many_outliers,
+  CASE WHEN COALESCE(nr, 0) > 0 THEN 1 ELSE 0 END AS has_rare,
+  CASE WHEN COALESCE(round(po, 6), 0) > {profile.ADVICE_OUTLIER_PCT} THEN 1 ELSE 0 END AS many_outliers,
   CASE WHEN abs(COALESCE(round(sk, 6), 0)) > {profile.ADVICE_SKEW} THEN 1 ELSE 0 END AS skewed FROM p"""
 
 
@@ -584,7 +604,7 @@ def _uni_ci_sql():
     from cohortlens.operators.resample import _poisson1_cdf
 
     cdf = _poisson1_cdf()
-    u = f"(CAST({portable_hash_sql(42, 'id_anon', 'r.replicate')} AS DOUBLE) / CAST(4294967296 AS DOUBLE))"
+    u = f"(CAST({portable_hash_sql(42, 'id_anon', 'r.replicate')} AS DOUBLE) / CAST(1152921504606846976 AS DOUBLE))"
     pois = "CASE " + " ".join(f"WHEN {u} < {c!r} THEN {k}" for k, c in enumerate(cdf)) + f" ELSE {len(cdf)} END"
     num = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS score, label, id_anon FROM lab WHERE {c} IS NOT NULL"
                              for c in UNI_NUM)
@@ -638,13 +658,28 @@ def q_ci_excludes(spark, sf):
     return metrics.ci_excludes(e, chance=0.0)
 
 
-@query("auc_band", T_INTERVAL_SQL + """
-SELECT feature, n, round(mean, 6) AS auc, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper,
+def _above_mean(spark, sf, feats, keys):
+    """Rows (keys, feature, label, pred): predicted 1 where the score is above its feature's mean in the table."""
+    f = fx.folds(spark, sf)
+    long = unpivot(f, feats, [*keys, "label"], "double", "feature", "score")
+    cut = long.groupBy("feature").agg(F.avg("score").alias("_cut"))
+    return long.join(F.broadcast(cut), "feature").where(F.col("score").isNotNull()).withColumn("pred", (F.col("score") > F.col("_cut")).cast("int"))
+
+
+@query("auc_band", T_INTERVAL_SQL + f""",
+am AS (SELECT feature, avg(score) AS cut FROM ({long_sql('folds', AUC_FEATS, ['label'])}) GROUP BY 1),
+pc AS (SELECT s.feature, count(*) FILTER (WHERE score > cut AND label = 1) AS tp, count(*) FILTER (WHERE score > cut AND label = 0) AS fp
+       FROM ({long_sql('folds', AUC_FEATS, ['label'])}) s JOIN am ON am.feature = s.feature GROUP BY 1)
+SELECT ti.feature, n, round(mean, 6) AS auc, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper,
+  round(CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0 END, 6) AS precision,
   CASE WHEN round(lo, 6) <= 0.5 THEN 'includes_chance' WHEN round(hi, 6) < 0.7 THEN 'weak' ELSE 'moderate' END AS band,
-  CAST(round(lo, 6) > 0.5 AS INT) AS exceeds_chance FROM ti""")
+  CAST(round(lo, 6) > 0.5 AS INT) AS exceeds_chance,
+  CAST(round(CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0 END, 6) < 0.10 AS INT) AS low_precision
+FROM ti JOIN pc ON pc.feature = ti.feature""")
 def q_auc_band(spark, sf):
     t = metrics.t_interval(fold_auc(spark, sf, AUC_FEATS), "auc", ["feature"]).withColumnRenamed("mean", "auc")
-    return metrics.auc_band(t, "auc", "ci_lower", "ci_upper", precision=None)
+    prec = metrics.confusion_metrics(_above_mean(spark, sf, AUC_FEATS, []), "pred", "label", ["feature"]).select("feature", "precision")
+    return metrics.auc_band(t.join(prec, "feature"), "auc", "ci_lower", "ci_upper", precision="precision")
 
 
 def _seg_auc(lab):
@@ -678,22 +713,35 @@ def q_delta_summary(spark, sf):
     return metrics.delta_summary(_delta(spark, sf))
 
 
+PERFORMANCE = ["auc", "precision", "recall", "f1", "specificity", "accuracy", "npv", "ppv"]
+_PERF_RATES = {
+    "precision": "CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0 END",
+    "recall": "CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0.0 END",
+    "f1": "CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END",
+    "specificity": "CASE WHEN tp + fn = 0 THEN 1.0 WHEN fp + tn = 0 THEN 0.0 ELSE tn / CAST(tn + fp AS DOUBLE) END",
+    "accuracy": "(tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE)",
+    "npv": "CASE WHEN tp + fn = 0 THEN 1.0 WHEN fp + tn = 0 OR tn + fn = 0 THEN 0.0 ELSE tn / CAST(tn + fn AS DOUBLE) END",
+    "ppv": "CASE WHEN tp + fn = 0 THEN 0.0 WHEN fp + tn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE tp / CAST(tp + fp AS DOUBLE) END",
+}
+_PERF_LONG = " UNION ALL ".join(f"SELECT segmento, feature, '{m}', round({e}, 6) FROM cc" for m, e in _PERF_RATES.items())
+_PERF_PIVOT = ", ".join(f"max(printf('%.3f [%.3f-%.3f]', mean, lo, hi)) FILTER (WHERE metric = '{m}') AS {m}" for m in PERFORMANCE)
+
+
 @query("performance_table", f"""WITH {SEG_FOLD_AUC_CTE}, {t_values_sql()},
-pr AS (SELECT segmento, feature, fold, avg(CAST(label AS DOUBLE)) AS pos_rate FROM sfl GROUP BY 1, 2, 3),
-lg AS (SELECT segmento, feature, 'auc' AS metric, auc AS v FROM sfa_auc UNION ALL SELECT segmento, feature, 'pos_rate', pos_rate FROM pr),
+am AS (SELECT feature, avg(score) AS cut FROM sfl GROUP BY 1),
+cc AS (SELECT segmento, s.feature, fold, count(*) FILTER (WHERE score > cut AND label = 1) AS tp,
+         count(*) FILTER (WHERE score > cut AND label = 0) AS fp, count(*) FILTER (WHERE score <= cut AND label = 1) AS fn,
+         count(*) FILTER (WHERE score <= cut AND label = 0) AS tn FROM sfl s JOIN am ON am.feature = s.feature WHERE score IS NOT NULL GROUP BY 1, 2, 3),
+lg(segmento, feature, metric, v) AS (SELECT segmento, feature, 'auc', auc FROM sfa_auc UNION ALL {_PERF_LONG}),
 g AS (SELECT segmento, feature, metric, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM lg GROUP BY 1, 2, 3),
 ti AS (SELECT g.*, CASE WHEN n > 1 THEN mean - tv.t * sd / sqrt(n) ELSE mean END AS lo,
   CASE WHEN n > 1 THEN mean + tv.t * sd / sqrt(n) ELSE mean END AS hi FROM g LEFT JOIN tv ON tv.df = g.n - 1)
-SELECT segmento AS model, feature AS algorithm,
-  max(printf('%.3f [%.3f-%.3f]', mean, lo, hi)) FILTER (WHERE metric = 'auc') AS auc,
-  max(printf('%.3f [%.3f-%.3f]', mean, lo, hi)) FILTER (WHERE metric = 'pos_rate') AS pos_rate
-FROM ti GROUP BY 1, 2""")
+SELECT segmento AS model, feature AS algorithm, {_PERF_PIVOT} FROM ti GROUP BY 1, 2""")
 def q_performance_table(spark, sf):
     fa = fold_auc(spark, sf, ["x1", "x2"], extra_keys=["segmento"])
-    f = fx.folds(spark, sf)
-    long = unpivot(f, ["x1", "x2"], ["label", "fold", "segmento"], "double", "feature", "score")
-    pr = long.groupBy("segmento", "feature", "fold").agg(F.avg(F.col("label").cast("double")).alias("v")).withColumn("metric", F.lit("pos_rate"))
-    lg = fa.select("segmento", "feature", "fold", F.col("auc").alias("v"), F.lit("auc").alias("metric")).unionByName(pr)
+    conf = metrics.holdout_metrics(_above_mean(spark, sf, ["x1", "x2"], ["segmento", "fold"]), "pred", "label", ["segmento", "feature", "fold"])
+    rates = unpivot(conf, PERFORMANCE[1:], ["segmento", "feature", "fold"], "double", "metric", "v")
+    lg = fa.select("segmento", "feature", "fold", F.lit("auc").alias("metric"), F.col("auc").alias("v")).unionByName(rates)
     ti = metrics.t_interval(lg, "v", ["segmento", "feature", "metric"], digits=None)
     res = ti.select(F.col("segmento").alias("model"), F.col("feature").alias("algorithm"), "metric", "mean", "ci_lower", "ci_upper")
-    return metrics.performance_table(res, ["auc", "pos_rate"], 3)
+    return metrics.performance_table(res, PERFORMANCE, 3)

@@ -274,7 +274,7 @@ nbr AS (SELECT a.id AS base_id, b.id AS neighbor_id, row_number() OVER (PARTITIO
         FROM mino a JOIN mino b ON a.id <> b.id),
 syn AS (SELECT unnest(range(0, (SELECT m - n FROM mj, nn))) AS syn_id),
 s2 AS (SELECT syn_id, {portable_hash_sql(42, 'syn_id', '0')} % n AS bpos, 1 + {portable_hash_sql(42, 'syn_id', '1')} % least(5, n - 1) AS rk,
-       {portable_hash_sql(42, 'syn_id', '2')} / CAST(4294967296 AS DOUBLE) AS gap FROM syn, nn),
+       {portable_hash_sql(42, 'syn_id', '2')} / CAST(1152921504606846976 AS DOUBLE) AS gap FROM syn, nn),
 o AS (SELECT s2.syn_id, pos.id AS base_id, nbr.neighbor_id, s2.gap,
       list_transform(range(1, len(pos.v) + 1), lambda i: pos.v[i] + s2.gap * (nb.v[i] - pos.v[i])) AS vec
       FROM s2 JOIN pos ON s2.bpos = pos.bpos JOIN nbr ON nbr.base_id = pos.id AND nbr.rk = s2.rk JOIN mino nb ON nb.id = nbr.neighbor_id)

@@ -152,6 +152,14 @@ def q_select_available(spark, sf):
     return select.select_available(survey(spark, sf), ["id_anon", "regiao", "idade", "peso1", "not_in_table"])[0]
 
 
+@query("select_available_status", """
+SELECT * FROM (VALUES (1, 'id_anon', 'kept'), (2, 'regiao', 'kept'), (3, 'not_in_table', 'missing'), (4, 'segmento', 'excluded'),
+  (5, 'serie', 'excluded'), (6, 'parto', 'excluded')) t(ordinal, column_name, status)""", survey_cte=False)
+def q_select_available_status(spark, sf):
+    s = survey(spark, sf).select("id_anon", "regiao", "segmento", "serie", "parto")
+    return select.status_rows(s, select.select_available(s, ["id_anon", "not_in_table", "regiao"])[1])
+
+
 @query("rename_columns", "SELECT * RENAME (x1 AS saldo, x2 AS preco) FROM survey")
 def q_rename_columns(spark, sf):
     return select.rename_columns(survey(spark, sf), {"x1": "saldo", "x2": "preco"})
@@ -189,12 +197,12 @@ _ALLOWED_SQL = ", ".join(f"'{b}'" for b in fx.ALLOWED_BLOCKS)
 
 
 @query("block_whitelist", f"""
-WITH {fx.DICT_FIRST_SQL}
-SELECT u.variavel, d.bloco FROM ({fx.USED_NAMES_SQL}) u JOIN dfirst d ON lower(u.variavel) = d.k
-WHERE d.bloco IN ({_ALLOWED_SQL}) AND lower(u.variavel) <> 'brand#7'""", survey_cte=False)
+WITH {fx.DICT_LAST_SQL}
+SELECT u.variavel, d.bloco FROM ({fx.CASED_NAMES_SQL}) u JOIN dlast d ON u.variavel = d.variavel
+WHERE d.bloco IN ({_ALLOWED_SQL}) AND {fx.WHITELIST_RULES_SQL}""", survey_cte=False)
 def q_block_whitelist(spark, sf):
-    return select.block_whitelist(fx.used_names(spark, sf), fx.dictionary(spark, sf), fx.ALLOWED_BLOCKS,
-                                  ["brand#7"]).select("variavel", "bloco")
+    return select.block_whitelist(fx.cased_names(spark, sf), fx.dictionary(spark, sf), fx.ALLOWED_BLOCKS,
+                                  **fx.WHITELIST_RULES).select("variavel", "bloco")
 
 
 @query("dictionary_match", f"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions.hashing import portable_hash, portable_hash_sql
+from cohortlens.functions.hashing import portable_hash_sql
 from cohortlens.operators import recode, resample, select
 from cohortlens.sources.tables import load, survey
 
@@ -123,5 +123,22 @@ DICT_FIRST_SQL = f"""dfirst AS (SELECT lower(variavel) AS k, descricao, bloco FR
   SELECT *, row_number() OVER (PARTITION BY lower(variavel) ORDER BY ordem) AS r FROM ({DICTIONARY_SQL})) WHERE r = 1)"""
 
 
-def hash_col(seed, *cols):
-    return portable_hash(seed, *cols)
+#: Rules of the whitelist query: substrings out of the window, exact names, prefixes.
+WHITELIST_RULES = {"out_of_window": ["#3"], "exclude_exact": ["brand#11", "Brand#12"], "exclude_prefix": ["brand#2"]}
+WHITELIST_RULES_SQL = ("NOT contains(lower(u.variavel), '#3') AND u.variavel NOT IN ('brand#11', 'Brand#12') "
+                       "AND NOT starts_with(lower(u.variavel), 'brand#2')")
+
+
+def cased_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Column names as the dictionary spells them, for parts that occur in lineitem, and one that it hasn't."""
+    li = load(spark, sf, "lineitem").select("l_partkey").distinct()
+    d = dictionary(spark, sf)
+    return (d.join(li, d.ordem == li.l_partkey, "left_semi").select("variavel")
+            .union(used_names(spark, sf)).distinct())
+
+
+CASED_NAMES_SQL = f"""SELECT variavel FROM ({DICTIONARY_SQL}) WHERE ordem IN (SELECT l_partkey FROM lineitem)
+UNION ({USED_NAMES_SQL})"""
+
+DICT_LAST_SQL = f"""dlast AS (SELECT variavel, bloco FROM (
+  SELECT *, row_number() OVER (PARTITION BY variavel ORDER BY ordem DESC) AS r FROM ({DICTIONARY_SQL})) WHERE r = 1)"""

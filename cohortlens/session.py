@@ -33,13 +33,17 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
     On a cluster this is the folder named by ``spark.checkpoint.dir`` (or the
-    checkpoint dir already set on the context).  Only when neither is set
-    (local tests) do we create one and register it as the checkpoint dir.
+    checkpoint dir already set on the context).  Only when neither is set and
+    the master is local (tests) do we create one and register it; elsewhere a
+    missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        # a private folder serves one machine only: the executors of a cluster would not see it
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
         spark.sparkContext.setCheckpointDir(configured)

@@ -65,13 +65,7 @@ def result_upsert(df: DataFrame, path: str, keys: Sequence[str] = RESULT_KEYS) -
     The table is partitioned by the keys and written with dynamic partition
     overwrite, so only the partitions present in ``df`` are rewritten.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(*keys).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

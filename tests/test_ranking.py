@@ -64,7 +64,7 @@ def test_rank_by_hash_equals_window(spark):
 
     df, _ = _frame(spark)
     h = df.withColumn("h", portable_hash(42, "id"))
-    a = ranking.rank_by_hash(h, ["g"], "h", "id", n_buckets=16).select("id", "_pos")
+    a = ranking.rank_by_hash(h, ["g"], "h", "id", rows_per_bucket=16).select("id", "_pos")
     w = Window.partitionBy("g").orderBy("h", "id")
     b = h.select("id", (F.row_number().over(w) - 1).alias("_pos"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
