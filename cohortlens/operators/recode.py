@@ -251,9 +251,3 @@ def ci_string(mean: Column, lo: Column, hi: Column, digits: int = 3) -> Column:
     """'m [lo-hi]' with ``digits`` decimals."""
     f = f"%.{digits}f"
     return F.format_string(f"{f} [{f}-{f}]", mean, lo, hi)
-
-
-def window_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """First row per key by ``order`` (used for dictionary-order lookups)."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -466,7 +466,7 @@ def q_bootstrap_rows(spark, sf):
         "replicate", "n", F.round("mean_x1", 6).alias("mean_x1"), "n_pos")
 
 
-N_BOOT_FOLD = 200
+N_BOOT_FOLD = 1000
 
 
 @query("bootstrap_fold_mean", f"""

@@ -63,14 +63,13 @@ def q_nested_cv(spark, sf):
 
 @query("nonzero_selection")
 def q_nonzero_selection(spark, sf):
-    m = wf.MedianImputeExact(IMPUTE).fit(model_table(spark, sf)).transform(model_table(spark, sf))
-    return wf.nonzero_selection(m, FEATS, C=0.01)
+    return wf.nonzero_selection(model_table(spark, sf), FEATS, C=0.01, impute=IMPUTE)
 
 
 @query("holdout_validate")
 def q_holdout_validate(spark, sf):
     s = fx.split(spark, sf).select("id_anon", *FEATS, "label", "split")
-    return wf.holdout_validate(s, "logreg_ridge", FEATS, {"C": 1.0}, model="survey", n_boot=50, impute=IMPUTE)
+    return wf.holdout_validate(s, "logreg_ridge", FEATS, {"C": 1.0}, model="survey", n_boot=1000, impute=IMPUTE)
 
 
 @query("bootstrap_coefficients")
@@ -122,16 +121,13 @@ def _smote_fold(train, test, learner, params, k_nb=5, seed=42):
 @query("smote_cv")
 @wf.releases_caches
 def q_smote_cv(spark, sf):
-    from concurrent.futures import ThreadPoolExecutor
-
     m = wf._cache(model_table(spark, sf))
 
     def one(f):
         s = _smote_fold(m.where(F.col("fold") != f), m.where(F.col("fold") == f), "logreg_ridge", {"C": 1.0})
         return wf._cache(s.select("id_anon", F.lit(f).alias("fold"), "label", "score", "pred"))
 
-    with ThreadPoolExecutor(max_workers=5) as pool:  # independent folds, fitted concurrently
-        parts = list(pool.map(one, range(5)))
+    parts = wf.concurrently(one, range(5), 5)  # independent folds
     preds = parts[0]
     for p in parts[1:]:
         preds = preds.unionByName(p)
@@ -184,12 +180,12 @@ def q_expanded_features(spark, sf):
 @wf.releases_caches
 def q_restricted_vs_expanded(spark, sf):
     base = survey(spark, sf).select("id_anon", "x1", "x2")
-    x = wf.expanded_features(base, _extra(spark, sf), "id_anon", EXP_RULES, 20)
+    x = wf.expanded_features(base, _extra(spark, sf), "id_anon", EXP_RULES, 20, fill_numeric=False)
     folds = fx.folds(spark, sf).select("id_anon", "label", "fold")
     m = wf._cache(x.join(folds, "id_anon"))
     feats = [c for c in x.columns if c != "id_anon"]
     old = wf.simple_cv(m, "logreg_ridge", ["x1", "x2"], {"C": 1.0}, model="restricted")
-    new = wf.simple_cv(m, "logreg_ridge", feats, {"C": 1.0}, model="expanded")
+    new = wf.simple_cv(m, "logreg_ridge", feats, {"C": 1.0}, model="expanded", impute=["c_nationkey"])
     pick = lambda t: t.where("metric = 'auc'").select(F.lit("survey").alias("model"), "algorithm",
                                                       F.col("mean").alias("auc"))
     return delta_verdict(pick(new), pick(old))
@@ -198,17 +194,27 @@ def q_restricted_vs_expanded(spark, sf):
 @query("baseline_vs_extended")
 @wf.releases_caches
 def q_baseline_vs_extended(spark, sf):
-    m = wf._cache(model_table(spark, sf).where(F.col("semanas").isNotNull() & F.col("peso1").isNotNull()))
-    rows = []
+    """Per algorithm and variant: mean fold AUC and its bootstrap interval; for the extended one also the change
+    against the baseline and the univariate test of the added variable. Folds are stratified after filtering."""
+    from cohortlens.operators.metrics import mann_whitney
+
+    complete = model_table(spark, sf).drop("fold").where(F.col("semanas").isNotNull() & F.col("peso1").isNotNull())
+    m = wf._cache(resample.stratified_kfold(complete, "label", "id_anon", 5, fx.SEED))
+    variants = {"baseline": ["x1", "x2", "idade"], "extended": ["x1", "x2", "idade", "semanas"]}
+    p_value = mann_whitney(m, "semanas", "label").first()["p_value"]
+    out = None
     for algo in ("logreg_ridge", "random_forest"):
-        for variant, feats in (("baseline", ["x1", "x2", "idade"]), ("extended", ["x1", "x2", "idade", "semanas"])):
-            preds = wf.fold_predictions(m, algo, feats, LEARNER_PARAMS[algo])
-            fm = wf.fold_metrics(preds).select("fold", "auc")
-            rows.append(resample.bootstrap_fold_mean(fm.withColumn("g", F.lit(1)), ["g"], "auc", "fold", 200)
-                        .select(F.lit(algo).alias("algorithm"), F.lit(variant).alias("variant"), "mean", "ci_lower", "ci_upper"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+        means = {}
+        for variant, feats in variants.items():
+            fm = wf.fold_metrics(wf.fold_predictions(m, algo, feats, LEARNER_PARAMS[algo])).select("fold", "auc")
+            r = resample.bootstrap_fold_mean(fm.withColumn("g", F.lit(1)), ["g"], "auc", "fold", 1000).first()
+            means[variant] = r["mean"]
+            extended = variant == "extended"
+            row = [(algo, variant, r["mean"], r["ci_lower"], r["ci_upper"],
+                    round(means["extended"] - means["baseline"], 6) if extended else None, p_value if extended else None)]
+            df = spark.createDataFrame(row, "algorithm string, variant string, mean double, ci_lower double, ci_upper double, "
+                                            "delta_auc double, added_p_value double")
+            out = df if out is None else out.unionByName(df)
     return out
 
 

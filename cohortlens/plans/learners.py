@@ -104,11 +104,13 @@ class GaussianNBSmoothedModel(Model):
 
 def fit_gaussian_nb(df: DataFrame, cols: Sequence[str], label: str, var_smoothing: float = 1e-9) -> dict:
     """Per-class priors, means and population variances (one grouped aggregate + one global)."""
+    df = df.where(F.col(label).isin(0, 1))
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"),
                               *[F.avg(c).alias(f"m_{c}") for c in cols],
                               *[F.var_pop(c).alias(f"v_{c}") for c in cols]).collect()
     allvar = df.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
-    eps = var_smoothing * max(float(allvar[c] or 0.0) for c in cols)
+    # features that never vary leave no scale of their own: the smoothing itself is the variance then
+    eps = var_smoothing * max(float(allvar[c] or 0.0) for c in cols) or var_smoothing
     n = sum(r["_n"] for r in g)
     classes = {}
     for r in g:
@@ -130,17 +132,14 @@ def _nb_joint(fitted: dict, cls) -> Column:
 
 def apply_gaussian_nb(df: DataFrame, fitted: dict, out: str = "score") -> DataFrame:
     """score = P(class 1 | x) by the log-sum-exp of the two joint log-likelihoods."""
+    missing = {0, 1} - set(fitted["classes"])
+    if missing:  # a class that training never saw is never predicted
+        return df.withColumn(out, F.lit(0.0 if 1 in missing else 1.0))
     j1, j0 = _nb_joint(fitted, 1), _nb_joint(fitted, 0)
     return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(j0 - j1)))
 
 
 # ----------------------------------------------------------------------------- factory
-def balanced_weight_col(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    from cohortlens.operators.resample import balanced_weights
-
-    return balanced_weights(df, label, out)
-
-
 def make_learner(name: str, params: dict | None = None, features: str = "features", label: str = "label",
                  weight: str | None = "weight", n_features: int = 1, sum_weights: float = 1.0):
     """MLlib estimator for a learner key of SURVEY 2.8 (``weight`` None -> unweighted)."""

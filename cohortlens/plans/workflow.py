@@ -8,11 +8,12 @@ uses ``CrossValidator(foldCol=...)`` with our exact stratified inner folds.
 
 from __future__ import annotations
 
+import contextvars
 import functools
-import threading
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -28,44 +29,47 @@ from cohortlens.plans.learners import (
     make_learner,
     positive_score,
 )
+from cohortlens.session import fresh_path
 
 
-_CACHE_LOCK = threading.Lock()
-_CACHED: list = []
-MAX_REPORT_ROWS = 100_000
+#: The frames that the running workflow has cached; one list for each call, shared with the threads it starts.
+_OWN_CACHES: contextvars.ContextVar[list | None] = contextvars.ContextVar("own_caches", default=None)
+
+#: What a learner raises when its training part can't be fitted (one class, empty, singular); anything else is a fault.
+FIT_ERRORS = (IllegalArgumentException, ValueError, ArithmeticError)
 
 
 def _cache(df: DataFrame) -> DataFrame:
     """cache() and remember it, so the enclosing workflow can release it."""
     df = df.cache()
-    with _CACHE_LOCK:
-        _CACHED.append(df)
+    own = _OWN_CACHES.get()
+    if own is not None:
+        own.append(df)
     return df
 
 
-def releases_caches(fn):
-    """Run a workflow, materialise its report-sized result, then unpersist what it cached.
+def concurrently(fn, items: Sequence, workers: int) -> list:
+    """fn of every item, in threads that belong to the calling workflow."""
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(items)))) as pool:
+        jobs = [pool.submit(contextvars.copy_context().run, fn, i) for i in items]
+        return [j.result() for j in jobs]
 
-    Workflow results are a few rows per (model, algorithm, metric); the guard refuses
-    anything larger than ``MAX_REPORT_ROWS`` instead of pulling it to the driver.
-    """
+
+def releases_caches(fn):
+    """Run a workflow, write its result to the shared folder, then unpersist what it cached."""
     @functools.wraps(fn)
     def wrapper(*args, **kwargs):
-        with _CACHE_LOCK:
-            mark = len(_CACHED)
+        own: list = []
+        token = _OWN_CACHES.set(own)
         try:
             out = fn(*args, **kwargs)
-            rows = out.limit(MAX_REPORT_ROWS + 1).collect()
-            if len(rows) > MAX_REPORT_ROWS:
-                raise ValueError(f"{fn.__name__}: result is not report-sized")
-            result = out.sparkSession.createDataFrame(rows, out.schema)
+            path = fresh_path(out.sparkSession, f"result-{fn.__name__}")
+            out.write.parquet(path)
+            return out.sparkSession.read.schema(out.schema).parquet(path)
         finally:
-            with _CACHE_LOCK:
-                mine = _CACHED[mark:]
-                del _CACHED[mark:]
-            for d in mine:
+            _OWN_CACHES.reset(token)
+            for d in own:
                 d.unpersist()
-        return result
     return wrapper
 
 
@@ -149,8 +153,7 @@ def fold_predictions(df: DataFrame, learner_name: str, features: Sequence[str],
         return _cache(scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred"))
 
     # independent folds are fitted concurrently (Spark schedules jobs from several threads)
-    with ThreadPoolExecutor(max_workers=min(parallelism, k)) as pool:
-        parts = list(pool.map(one, range(k)))
+    parts = concurrently(one, range(k), min(parallelism, k))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -199,7 +202,8 @@ def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: d
               parallelism: int = 2, impute: Sequence[str] = ()) -> DataFrame:
     """Outer k folds; inner search by CrossValidator on exact stratified inner folds; refit; score outer fold.
 
-    A failed fit scores its outer fold as AUC 0.5 and precision/recall/F1 0.
+    An outer fold that can't be fitted scores AUC 0.5 and precision/recall/F1 0, as in the
+    reference; ``n_failed`` tells how many did. Errors other than fit errors are raised.
     """
     inner = _cache(resample.nested_folds(df, label, id_col, "fold", k_outer, k_inner, seed=7))
     base = _cache(df)
@@ -212,18 +216,18 @@ def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: d
         grid_maps = param_grid(pipe, learner_name, grid, n) if grid else [{}]
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid_maps, foldCol="inner_fold",
                             evaluator=BinaryClassificationEvaluator(
-                                labelCol=label, rawPredictionCol="score" if learner_name == "gaussian_nb" else "rawPrediction"),
+                                labelCol=label, rawPredictionCol="score" if learner_name == "gaussian_nb" else "rawPrediction",
+                                numBins=0),  # every score counts, whatever their number
                             parallelism=parallelism, numFolds=k_inner, seed=7)
         try:
             best = cv.fit(train).bestModel
             scored = _with_pred(positive_score(best.transform(base.where(F.col("fold") == f)), learner_name))
             return f, _cache(scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred"))
-        except Exception:  # noqa: BLE001 - the reference scores a failed fit as chance
+        except FIT_ERRORS:
             return f, None
 
     # outer folds are independent: fit them concurrently (each runs its own inner search)
-    with ThreadPoolExecutor(max_workers=k_outer) as pool:
-        results = list(pool.map(outer, range(k_outer)))
+    results = concurrently(outer, range(k_outer), k_outer)
     parts = [p for _, p in results if p is not None]
     failed = [f for f, p in results if p is None]
     if not parts:
@@ -236,31 +240,28 @@ def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: d
         spark = df.sparkSession
         fm = fm.unionByName(spark.createDataFrame([(f, 0.5, 0.0, 0.0, 0.0) for f in failed],
                                                   "fold int, auc double, precision double, recall double, f1 double"))
-    return summarize_folds(fm, model, learner_name)
-
-
-EXACT_BOOTSTRAP_ROWS = 50_000_000  # above this many drawn rows, Poisson weights replace copies
+    return summarize_folds(fm, model, learner_name).withColumn("n_failed", F.lit(len(failed)))
 
 
 @releases_caches
 def holdout_validate(df: DataFrame, learner_name: str, features: Sequence[str], params: dict | None = None,
                      model: str = "M", label: str = "label", split_col: str = "split", id_col: str = "id_anon",
-                     n_boot: int = 100, seed: int = 42, impute: Sequence[str] = ()) -> DataFrame:
+                     n_boot: int = 1000, seed: int = 42, impute: Sequence[str] = (),
+                     resampling: str = "exact") -> DataFrame:
     """Fit on train, score test; metrics with percentile intervals over B bootstrap resamples of the test rows.
 
-    Resamples with one class only are skipped for AUC (``n_boot_effective``).  Exact
-    resampling draws B x n rows; beyond ``EXACT_BOOTSTRAP_ROWS`` each test row gets a
-    Poisson(1) weight per replicate instead (replicate sizes then vary around n).
+    Resamples with one class only are skipped for AUC (``n_boot_effective``).  The caller
+    chooses the ``resampling``, and the result names it: "exact" draws B x n rows, "poisson"
+    gives each test row a Poisson(1) weight per replicate (sizes then vary around n).
     """
+    if resampling not in ("exact", "poisson"):
+        raise ValueError(f"resampling is exact or poisson, not {resampling}")
     scored = fit_score(df.where(F.col(split_col) == "train"), df.where(F.col(split_col) == "test"),
                        learner_name, features, params, label, impute)
     preds = _cache(scored.select(id_col, label, "score", "pred"))
-    n_test = preds.count()
-    if n_test * n_boot <= EXACT_BOOTSTRAP_ROWS:
-        # exact resampling: B copies of n drawn rows
+    if resampling == "exact":
         drawn, wcol = resample.bootstrap_rows(preds, id_col, n_boot, seed), None
-    else:
-        # at volume: Poisson(1) weight per (row, replicate); no row index, no join
+    else:  # no row index, no join
         drawn, wcol = resample.poisson_bootstrap_weights(preds, id_col, n_boot, seed), "weight"
     auc = metrics.roc_auc(drawn, "score", label, ["replicate"], n_groups_bound=n_boot,
                           weight_col=wcol).select("replicate", "auc")
@@ -271,7 +272,8 @@ def holdout_validate(df: DataFrame, learner_name: str, features: Sequence[str],
     pi = metrics.percentile_interval(long, "value", ["metric"])
     eff = long.groupBy("metric").agg(F.count(F.lit(1)).alias("n_boot_effective"))
     return pi.join(eff, "metric").select(F.lit(model).alias("model"), F.lit(learner_name).alias("algorithm"),
-                                         "metric", "mean", "ci_lower", "ci_upper", "n_boot_effective")
+                                         "metric", "mean", "ci_lower", "ci_upper", "n_boot_effective",
+                                         F.lit(resampling).alias("resampling"))
 
 
 @releases_caches
@@ -280,8 +282,8 @@ def bootstrap_coefficients(df: DataFrame, features: Sequence[str], label: str =
     """Refit a ridge logistic regression on B Poisson-weighted resamples; percentile CI per coefficient.
 
     Each resample is one weighted fit (``weightCol`` = Poisson(1) x balanced
-    weight), so no resampled copy of the data is materialised.  A failed fit
-    contributes the original coefficients (as the reference does).
+    weight), given by a column expression on the cached scaled rows.  A failed fit
+    contributes the original coefficients (as the reference does); ``n_failed`` counts them.
     """
     spark = df.sparkSession
     base = _cache(resample.balanced_weights(df, label, "cw"))
@@ -294,40 +296,40 @@ def bootstrap_coefficients(df: DataFrame, features: Sequence[str], label: str =
 
     original = fit("cw")
     rows = [(0, f, float(c)) for f, c in zip(features, original)]
-    weighted = _cache(resample.poisson_bootstrap_weights(scaled, id_col, n_boot, seed).withColumn(
-        "bw", F.col("weight") * F.col("cw")))
+    failed = []
+
     def replicate(b):
-        rep = weighted.where(F.col("replicate") == b)
+        rep = resample.poisson_weights_of(scaled, id_col, b, seed).withColumn("bw", F.col("weight") * F.col("cw"))
         try:
             lr = make_learner("logreg_ridge", {"C": C}, weight="bw", sum_weights=float(n))
             coefs = list(lr.fit(rep).coefficients.toArray())
-        except Exception:  # noqa: BLE001
+        except FIT_ERRORS:
+            failed.append(b)
             coefs = original
         return [(b, f, float(c)) for f, c in zip(features, coefs)]
 
     # replicate fits are independent: run them concurrently
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        for part in pool.map(replicate, range(1, n_boot + 1)):
-            rows += part
+    for part in concurrently(replicate, range(1, n_boot + 1), 8):
+        rows += part
     tab = spark.createDataFrame(rows, "replicate int, feature string, coef double")
     orig = tab.where("replicate = 0").select("feature", F.round("coef", 6).alias("coef"))
     boot = tab.where("replicate > 0").groupBy("feature").agg(
         F.round(F.percentile("coef", 0.025), 6).alias("ci_lower"),
         F.round(F.percentile("coef", 0.975), 6).alias("ci_upper"))
-    return orig.join(boot, "feature")
+    return orig.join(boot, "feature").withColumn("n_failed", F.lit(len(failed)))
 
 
 @releases_caches
 def nonzero_selection(df: DataFrame, features: Sequence[str], label: str = "label", C: float = 0.1,
-                      k: int = 5, tol: float = 1e-8) -> DataFrame:
-    """Lasso per training fold; (fold, feature, coef) for coefficients above ``tol`` in absolute value."""
+                      k: int = 5, tol: float = 1e-8, impute: Sequence[str] = ()) -> DataFrame:
+    """Lasso per training fold (medians and scales of that fold's training rows); (fold, feature, coef) for coefficients above ``tol`` in absolute value."""
     spark = df.sparkSession
     cached = _cache(resample.balanced_weights(df, label))
     rows = []
     for f in range(k):
         train = cached.where(F.col("fold") != f)
         n = train.count()
-        pipe = Pipeline(stages=[RobustScaleIQR(features), assembler(features),
+        pipe = Pipeline(stages=[*([MedianImputeExact(impute)] if impute else []), RobustScaleIQR(features), assembler(features),
                                 make_learner("logreg_lasso", {"C": C}, weight="weight", sum_weights=float(n))])
         coefs = pipe.fit(train).stages[-1].coefficients.toArray()
         rows += [(f, feat, float(c)) for feat, c in zip(features, coefs) if abs(c) > tol]
@@ -335,8 +337,9 @@ def nonzero_selection(df: DataFrame, features: Sequence[str], label: str = "labe
 
 
 def expanded_features(base: DataFrame, extra: DataFrame, id_col: str, exclude_rules: dict,
-                      max_categories: int = 20) -> DataFrame:
-    """Base features + every valid extra column: numeric kept (median-imputed), strings with at most
+                      max_categories: int = 20, fill_numeric: bool = True) -> DataFrame:
+    """Base features + every valid extra column: numeric kept (median-imputed unless ``fill_numeric`` is off,
+    for callers that impute within folds), strings with at most
     ``max_categories`` categories mode-imputed and one-hot encoded (first category dropped).
 
     Fitted values come from three small jobs: one HLL scan, one value-count pass over
@@ -360,7 +363,7 @@ def expanded_features(base: DataFrame, extra: DataFrame, id_col: str, exclude_ru
     vc = low_card_value_counts(x, strings, max_categories)
     strings = [c for c in strings if vc[c] is not None]
     x = x.drop(*[c for c in cand if c not in numeric and c not in strings])
-    fills = fit_median(x, numeric) if numeric else {}
+    fills = fit_median(x, numeric) if numeric and fill_numeric else {}
     for c in strings:
         # mode: highest count, ties to the smallest value; a column with no values gets "missing"
         fills[c] = min(vc[c].items(), key=lambda kv: (-kv[1], kv[0]))[0] if vc[c] else "missing"

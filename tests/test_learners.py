@@ -36,14 +36,13 @@ def test_scaler_fitted_on_train_only(spark, table):
     assert m.fitted != m_all.fitted  # validation rows do not reach the fit
 
 
-@pytest.mark.parametrize("poisson", [False, True])
-def test_holdout_validate_both_bootstrap_paths(spark, monkeypatch, poisson):
-    if poisson:
-        monkeypatch.setattr(wf, "EXACT_BOOTSTRAP_ROWS", 0)
+@pytest.mark.parametrize("resampling", ["exact", "poisson"])
+def test_holdout_validate_both_bootstrap_paths(spark, resampling):
     s = fx.split(spark, SF001).select("id_anon", "zimc", "x1", "label", "split")
-    res = {r.metric: r for r in wf.holdout_validate(s, "logreg_ridge", ["zimc", "x1"], {"C": 1.0}, n_boot=10).collect()}
+    res = {r.metric: r for r in wf.holdout_validate(s, "logreg_ridge", ["zimc", "x1"], {"C": 1.0}, n_boot=10,
+                                                       resampling=resampling).collect()}
     assert res["auc"].mean > 0.9 and res["auc"].ci_lower <= res["auc"].mean <= res["auc"].ci_upper
-    assert res["auc"].n_boot_effective == 10
+    assert res["auc"].n_boot_effective == 10 and res["auc"].resampling == resampling
 
 
 def test_workflows_release_their_caches(spark, table):

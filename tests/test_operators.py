@@ -184,3 +184,53 @@ def test_name_rules_python_matches_column_rules(spark):
     via_cols = sorted(r.variavel for r in select.candidate_columns(d, rules).collect())
     via_py = sorted(n for n in names if not select.name_excluded(n, rules))
     assert via_cols == via_py == ["b04_idade", "idade"]
+
+
+def test_whitelist_rules(spark):
+    from cohortlens.operators import select
+
+    names = spark.createDataFrame([(n,) for n in ("q1", "q1_30m", "Q2", "vd_x", "q3", "id")], "variavel string")
+    dic = spark.createDataFrame([("q1", "A", 1), ("q1_30m", "A", 2), ("q2", "A", 3), ("vd_x", "A", 4), ("q3", "A", 5), ("q3", "Z", 6), ("id", "A", 7)],
+                                "variavel string, bloco string, ordem long")
+    got = select.block_whitelist(names, dic, ["A"], out_of_window=["_30m"], exclude_exact=["id"], exclude_prefix=["vd_"])
+    assert [r.variavel for r in got.collect()] == ["q1"]  # exact names, the last entry wins
+
+
+def test_text_nan_is_a_value(spark):
+    from cohortlens.operators import profile
+
+    df = spark.createDataFrame([("NaN", float("nan")), ("a", 1.0), ("NaN", 1.0)], "s string, x double")
+    assert {r.feature: r.n_distinct for r in profile.distinct_counts_df(df).collect()} == {"s": 2, "x": 1}
+
+
+def test_work_folder_must_be_shared_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from cohortlens import session
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.work_dir(fake)
+
+
+def test_upsert_leaves_the_session_setting(spark, tmp_path):
+    from cohortlens.sources import io
+
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+    path = str(tmp_path / "results")
+    layout = "model string, algorithm string, auc double"
+    io.result_upsert(spark.createDataFrame([("m", "a", 0.5), ("m", "b", 0.6)], layout), path)
+    io.result_upsert(spark.createDataFrame([("m", "b", 0.7)], layout), path)
+    assert {(r.algorithm, r.auc) for r in io.read_results(spark, path).collect()} == {("a", 0.5), ("b", 0.7)}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static") == before
+
+
+def test_nb_of_one_class_or_constant_features(spark):
+    from cohortlens.plans.learners import apply_gaussian_nb, fit_gaussian_nb
+
+    df = spark.createDataFrame([(0, 1.0), (0, 1.0), (1, 1.0), (None, 9.0)], "label int, x double")
+    assert {r.score for r in apply_gaussian_nb(df, fit_gaussian_nb(df, ["x"], "label")).where("x < 5").collect()} == {1 / 3}
+    assert {r.score for r in apply_gaussian_nb(df, fit_gaussian_nb(df.where("label = 0"), ["x"], "label")).collect()} == {0.0}

@@ -117,3 +117,31 @@ def test_partition_count_invariance(spark, monkeypatch, large):
         a = metrics.roc_auc(d, "x", "y01").first().auc
         outs.append((q, a))
     assert outs[0] == outs[1]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_null_groups_and_nan_scores_on_both_paths(spark, monkeypatch, small):
+    """The bucketed path keeps NULL groups and leaves NaN scores out, as the windowed one does."""
+    from cohortlens.operators import metrics
+
+    if not small:
+        monkeypatch.setattr(ranking, "SMALL_DISTINCT", 0)
+    df = spark.range(600).selectExpr(
+        "CASE WHEN id % 3 < 2 THEN id % 3 END AS g", "CASE WHEN id % 50 = 0 THEN double('NaN') ELSE double(id * 37 % 101) END AS s",
+        "CAST(id % 7 = 0 AS INT) AS y")
+    q = {(r.g, r.p): r.q for r in ranking.exact_quantiles(df, ["s"], [0.25, 0.5], by=["g"]).collect()}
+    pdf = df.toPandas()
+    for g in (0, 1, None):
+        part = pdf[pdf.g.isna() if g is None else pdf.g == g].s.dropna()
+        assert q[(g, 0.25)] == pytest.approx(part.quantile(0.25)) and q[(g, 0.5)] == pytest.approx(part.quantile(0.5))
+    for keys in ([], ["g"]):
+        rows = metrics.roc_auc(df, "s", "y", keys).collect()
+        assert len(rows) == (3 if keys else 1)
+        for r in rows:
+            part = pdf if not keys else pdf[pdf.g.isna() if r.g is None else pdf.g == r.g]
+            part = part[part.s.notna()]
+            pos, neg = part[part.y == 1].s.to_numpy(), part[part.y == 0].s.to_numpy()
+            wins = (pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()
+            assert r.auc == pytest.approx(wins / (len(pos) * len(neg)))
+    iv = metrics.percentile_interval(df.where("not isnan(s)"), "s", ["g"]).collect()
+    assert {r.g for r in iv} == {0, 1, None}

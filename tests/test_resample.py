@@ -62,3 +62,27 @@ def test_balanced_and_pos_weights(spark):
     assert w == {1: 2.0, 0: 4 / 6}
     r = {x.y: x.weight for x in resample.pos_weight(d, "y", None).collect()}
     assert r == {1: 3.0, 0: 1.0}
+
+
+def test_null_classes_and_labels_keep_their_rows(spark):
+    """NULL classes are a class of their own in splits, folds, nested folds and weights."""
+    df = spark.range(1000).selectExpr("id AS id_anon", "CASE WHEN id % 4 > 0 THEN CAST(id % 4 AS STRING) END AS c")
+    s = resample.stratified_split(df, "c", "id_anon")
+    assert s.count() == 1000 and s.where("c IS NULL AND split = 'test'").count() == 50
+    f = resample.stratified_kfold(df, "c", "id_anon")
+    assert sorted(r["count"] for r in f.where("c IS NULL").groupBy("fold").count().collect()) == [50] * 5
+    assert resample.nested_folds(f, "c", "id_anon").count() == 4000
+    assert {r.weight for r in resample.balanced_weights(df, "c").collect()} == {1.0}
+    many = spark.range(300).selectExpr("id", "id % 150 AS c")
+    w = resample.balanced_weights(many, "c")
+    assert w.where("weight IS NULL").count() == 0 and w.count() == 300
+
+
+def test_large_groups_take_more_hash_bits(spark, monkeypatch):
+    from cohortlens.operators import ranking
+
+    df = spark.range(3000).selectExpr("id AS id_anon", "CASE WHEN id % 30 = 0 THEN 'b' ELSE 'a' END AS c")
+    want = {r.id_anon: r.fold for r in resample.stratified_kfold(df, "c", "id_anon").collect()}
+    monkeypatch.setattr(ranking, "HASH_BUCKET_BITS", 0)
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 10)
+    assert want == {r.id_anon: r.fold for r in resample.stratified_kfold(df, "c", "id_anon").collect()}
