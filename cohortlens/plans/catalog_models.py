@@ -295,3 +295,39 @@ def q_smote(spark, sf):
     vsq = F.aggregate(F.transform("vector", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
     return syn.select("syn_id", "base_id", "neighbor_id", F.round("gap", 6).alias("gap"),
                       F.round(vsum, 6).alias("vec_sum"), F.round(vsq, 6).alias("vec_sq"))
+
+
+# ------------------------------------------------------------------ cross-validation with an SQL twin
+def _simple_cv_nb_sql() -> str:
+    """Five folds of Gaussian NB: each fold scored by the priors, means and variances of the other four.
+
+    Scaling the features changes no score, so the twin leaves it out.
+    """
+    from cohortlens.plans.catalog_analysis import auc_ctes, t_values_sql
+
+    stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in NB_FEATS)
+    joint = "ln(prior)" + "".join(f" - 0.5 * ln(v_{c}) - (t.{c} - m_{c}) * (t.{c} - m_{c}) / (2.0 * v_{c})" for c in NB_FEATS)
+    rates = {"precision": "CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0 END",
+             "recall": "CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0.0 END",
+             "f1": "CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END"}
+    long = " UNION ALL ".join(f"SELECT fold, '{m}', round({e}, 6) FROM cm" for m, e in rates.items())
+    return f"""WITH {fx.FOLDS_CTE}, fo AS (SELECT CAST(unnest(range(0, 5)) AS INT) AS f),
+st AS (SELECT f, label AS cls, CAST(count(*) AS DOUBLE) AS n, {stats} FROM folds JOIN fo ON folds.fold <> fo.f GROUP BY 1, 2),
+pr AS (SELECT *, n / sum(n) OVER (PARTITION BY f) AS prior FROM st),
+j AS (SELECT t.id_anon, t.fold, t.label, cls, {joint} AS jl FROM folds t JOIN pr ON pr.f = t.fold),
+sc AS (SELECT id_anon, fold, label, 1.0 / (1.0 + exp(max(jl) FILTER (WHERE cls = 0) - max(jl) FILTER (WHERE cls = 1))) AS score
+       FROM j GROUP BY 1, 2, 3),
+{auc_ctes('sc', ['fold'], 'nb')},
+cm AS (SELECT fold, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp,
+         count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn FROM sc GROUP BY 1),
+lg(fold, metric, v) AS (SELECT fold, 'auc', auc FROM nb_auc UNION ALL {long}),
+g AS (SELECT metric, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM lg GROUP BY 1), {t_values_sql()}
+SELECT 'survey' AS model, 'gaussian_nb' AS algorithm, metric, n, round(mean, 6) AS mean,
+  round(mean - t * sd / sqrt(n), 6) AS ci_lower, round(mean + t * sd / sqrt(n), 6) AS ci_upper
+FROM g JOIN tv ON tv.df = g.n - 1"""
+
+
+@query("simple_cv_nb", _simple_cv_nb_sql())
+def q_simple_cv_nb(spark, sf):
+    """The cross-validation workflow with a learner that SQL can repeat."""
+    return wf.simple_cv(fx.folds(spark, sf).select("id_anon", *NB_FEATS, "label", "fold"), "gaussian_nb", NB_FEATS, model="survey")
