@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 
 #: Chunks that a worker remembers; then it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 200_000
 #: The published pre-tokenizer pattern of this vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space before a blank or line end: such texts are cut by the pattern below.
@@ -100,7 +100,7 @@ class Encoder:
         return out if out[0] else out[1:]
 
 
-def batches_of(texts: list[str], most: int = 4_000_000):
+def batches_of(texts: list[str], most: int = 1_500_000):
     """Runs of texts of about ``most`` characters, so that one batch of ids stays small."""
     at, held = 0, 0
     for k, t in enumerate(texts):
