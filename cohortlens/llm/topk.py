@@ -46,25 +46,25 @@ class Accumulator:
         lists, most, n = chunk
         bound = min(self.most[1] * most[0], self.most[0] * most[1])
         kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object
-        scores = np.zeros((n, stop - start), dtype=kind)
+        width = stop - start
+        scores = np.zeros((width, n), dtype=kind)
+        share = np.empty_like(scores)
         for term, (rows, weights) in lists.items():
             if term not in self.lists:
                 continue
             q, w = self.lists[term]
             lo, hi = np.searchsorted(q, (start, stop))
-            if lo == hi:
-                continue
-            share = weights.astype(kind)[:, None] * w[lo:hi].astype(kind)
-            columns = slice(None) if hi - lo == stop - start else q[lo:hi] - start
-            if len(rows) == n:
-                scores[:, columns] += share
-            elif hi - lo == stop - start:
-                scores[rows] += share
-            else:
-                scores[np.ix_(rows, columns)] += share
+            if 2 * (hi - lo) >= width and 2 * len(rows) >= n:
+                # a posting list that holds most of the chunk is added as a whole row, zeros and all
+                dense, own = np.zeros(n, dtype=kind), np.zeros(width, dtype=kind)
+                dense[rows], own[q[lo:hi] - start] = weights, w[lo:hi]
+                np.multiply(own[:, None], dense, out=share)
+                scores += share
+            elif lo < hi:
+                scores[np.ix_(q[lo:hi] - start, rows)] += w[lo:hi].astype(kind)[:, None] * weights.astype(kind)
         if kind is object:
             scores = np.clip(scores, LONG.min, LONG.max)
-        return (np.ascontiguousarray(scores.T), 0)
+        return scores, 0
 
     @staticmethod
     def worst(guess: np.ndarray):
