@@ -272,6 +272,23 @@ def q_knn_classify(spark, sf):
     return out.select("vec_id", "pred", F.round("vote_share", 6).alias("vote_share"))
 
 
+@query("knn_classify_distance", f"""WITH {EMB_SPLIT_CTE},
+tr AS (SELECT vec_id, label, v FROM esp WHERE split = 'train'), te AS (SELECT vec_id, v FROM esp WHERE split = 'test'),
+d AS (SELECT te.vec_id, tr.vec_id AS nb, tr.label AS nl,
+        list_reduce(list_transform(range(1, len(te.v) + 1), lambda i: abs(te.v[i] - tr.v[i])), lambda s, t: s + t) AS dist FROM te, tr),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nb) AS rk FROM d),
+w AS (SELECT vec_id, nl, CASE WHEN min(dist) OVER (PARTITION BY vec_id) = 0 THEN CAST(dist = 0 AS INT) ELSE 1.0 / dist END AS w FROM r WHERE rk <= 5),
+vt AS (SELECT vec_id, nl, sum(w) AS votes FROM w GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, nl) AS br, sum(votes) OVER (PARTITION BY vec_id) AS tot FROM vt)
+SELECT vec_id, nl AS pred, round(votes / CAST(tot AS DOUBLE), 6) AS vote_share FROM b WHERE br = 1""", survey_cte=False)
+def q_knn_classify_distance(spark, sf):
+    """Manhattan metric and votes by 1 / distance."""
+    s = emb_split(spark, sf)
+    out = neighbors.knn_classify(s.where("split = 'train'"), s.where("split = 'test'"), 5, "vec_id", "embedding", "label",
+                                 weights="distance", metric="manhattan")
+    return out.select("vec_id", "pred", F.round("vote_share", 6).alias("vote_share"))
+
+
 @query("smote", f"""WITH {EMB_SPLIT_CTE},
 mino AS (SELECT vec_id AS id, v FROM esp WHERE split = 'train' AND label = 0),
 nn AS (SELECT count(*) AS n FROM mino), mj AS (SELECT count(*) AS m FROM esp WHERE split = 'train' AND label <> 0),
