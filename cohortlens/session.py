@@ -52,6 +52,24 @@ def work_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+#: Paths handed out so far in this process, for remove_written().
+_WRITTEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the work folder (self-overwrite goes to a new path)."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process, once their results have been used; how many there were.
+
+    Results are lazy and read these tables, so only the caller knows when they are done with.
+    """
+    gone = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone

@@ -234,3 +234,17 @@ def test_nb_of_one_class_or_constant_features(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 1.0), (1, 1.0), (None, 9.0)], "label int, x double")
     assert {r.score for r in apply_gaussian_nb(df, fit_gaussian_nb(df, ["x"], "label")).where("x < 5").collect()} == {1 / 3}
     assert {r.score for r in apply_gaussian_nb(df, fit_gaussian_nb(df.where("label = 0"), ["x"], "label")).collect()} == {0.0}
+
+
+def test_written_tables_can_be_removed(spark, monkeypatch):
+    import os
+
+    from cohortlens import session
+
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    path = session.fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    session.fresh_path(spark, "never-written")
+    local = path.removeprefix("file:")
+    assert os.path.isdir(local) and session.remove_written(spark) == 1 and not os.path.exists(local)
+    assert session.remove_written(spark) == 0
