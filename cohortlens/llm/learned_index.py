@@ -11,8 +11,8 @@
 4. Each query is sent to those partitions and ranked there by its exact
    distances. Large partitions are cut into shards, many queries into blocks.
 
-Nulls and edges: vectors that are null, empty, zero or hold null or non-finite
-components take no part, nor do those whose dimension isn't the commonest one
+Nulls and edges: rows without id, and vectors that are null, empty, zero or hold
+null or non-finite components, take no part, nor do those whose dimension isn't the commonest one
 of the sample. Candidates with the query's own id are left out; of repeated
 rows of one id the smallest vector counts. A query visits partitions enough to
 meet k candidates where the table has as many.

@@ -6,8 +6,8 @@ of its queries it scatters query weight x posting weights into dense score
 arrays, then keeps each query's best k; the best of all tasks are merged. Every
 query meets every candidate.
 
-Nulls and edges: vectors that are null, empty or hold null or non-finite
-components take no part; a row of zeros does, and scores 0. Candidates with the
+Nulls and edges: rows without id, and vectors that are null, empty or hold null
+or non-finite components, take no part; a row of zeros does, and scores 0. Candidates with the
 query's own id are left out; of repeated rows of one id the smallest vector
 counts. Fewer than k candidates all come back. Scores are exact: 32-bit sums
 where their bound allows, else 64-bit, else Python integers (kept within the

@@ -11,7 +11,7 @@ urls that no rule fits.
 Nulls and edges: a null url, or one without ``://``, has an empty host and path
 and no rule. Without blocked (or without allowed) urls to learn from, the
 trees' verdict is the only class there is, and ``allow`` without any. Repeated
-rows stay. Rules are a short list of literals that travel in the plan.
+rows stay; a column of pages that has the name of a result column gives way to it. Rules are a short list of literals that travel in the plan.
 """
 
 from __future__ import annotations
