@@ -348,3 +348,38 @@ FROM g JOIN tv ON tv.df = g.n - 1"""
 def q_simple_cv_nb(spark, sf):
     """The cross-validation workflow with a learner that SQL can repeat."""
     return wf.simple_cv(fx.folds(spark, sf).select("id_anon", *NB_FEATS, "label", "fold"), "gaussian_nb", NB_FEATS, model="survey")
+
+
+N_BOOT_NB = 200
+
+
+def _holdout_nb_sql() -> str:
+    """Gaussian NB fitted on the train part; metrics of the test part over exact resamples of its rows."""
+    from cohortlens.plans.catalog_analysis import _PERF_RATES, auc_ctes
+
+    stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in NB_FEATS)
+    joint = "ln(prior)" + "".join(f" - 0.5 * ln(v_{c}) - (t.{c} - m_{c}) * (t.{c} - m_{c}) / (2.0 * v_{c})" for c in NB_FEATS)
+    long = " UNION ALL ".join(f"SELECT replicate, '{m}', round({e}, 6) FROM cm" for m, e in _PERF_RATES.items())
+    return f"""WITH {fx.SPLIT_CTE},
+st AS (SELECT label AS cls, CAST(count(*) AS DOUBLE) AS n, {stats} FROM splitted WHERE split = 'train' GROUP BY 1),
+pr AS (SELECT *, n / sum(n) OVER () AS prior FROM st),
+j AS (SELECT t.id_anon, t.label, cls, {joint} AS jl FROM splitted t, pr WHERE split = 'test'),
+sc AS (SELECT id_anon, label, 1.0 / (1.0 + exp(max(jl) FILTER (WHERE cls = 0) - max(jl) FILTER (WHERE cls = 1))) AS score FROM j GROUP BY 1, 2),
+ps AS (SELECT *, row_number() OVER (ORDER BY {portable_hash_sql(0, 'id_anon')}, id_anon) - 1 AS pos FROM sc),
+nt AS (SELECT count(*) AS n FROM sc),
+sl AS (SELECT CAST(r.replicate AS INT) AS replicate, s.slot FROM range(1, {N_BOOT_NB + 1}) r(replicate), (SELECT unnest(range(0, (SELECT n FROM nt))) AS slot) s),
+dw AS (SELECT replicate, {portable_hash_sql(42, 'replicate', 'slot')} % (SELECT n FROM nt) AS pos FROM sl),
+dr AS (SELECT replicate, score, label FROM dw JOIN ps USING (pos)),
+{auc_ctes('dr', ['replicate'], 'hb')},
+cm AS (SELECT replicate, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp,
+         count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn, count(*) FILTER (WHERE score < 0.5 AND label = 0) AS tn FROM dr GROUP BY 1),
+lg(replicate, metric, v) AS (SELECT replicate, 'auc', auc FROM hb_auc UNION ALL {long})
+SELECT 'survey' AS model, 'gaussian_nb' AS algorithm, metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS ci_lower,
+  round(quantile_cont(v, 0.975), 6) AS ci_upper, count(v) AS n_boot_effective, 'exact' AS resampling FROM lg GROUP BY metric"""
+
+
+@query("holdout_validate_nb", _holdout_nb_sql())
+def q_holdout_validate_nb(spark, sf):
+    """The hold-out workflow with a learner that SQL can repeat."""
+    s = fx.split(spark, sf).select("id_anon", *NB_FEATS, "label", "split")
+    return wf.holdout_validate(s, "gaussian_nb", NB_FEATS, model="survey", n_boot=N_BOOT_NB)
