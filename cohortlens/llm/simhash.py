@@ -16,11 +16,12 @@ there, so a cluster never comes back as all its pairs.
 Nulls and edges: a null text counts as empty; a text without words has
 fingerprint 0, linked like any other; null ids keep their fingerprint and
 component (the smallest id that is not null, else null); repeated rows stay.
+``keep_one`` goes by the components themselves, not by ids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -55,15 +56,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fingerprint as long) for every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carried: Sequence[str] = ()) -> DataFrame:
+    """(id, fingerprint as long, the ``carried`` columns) for every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.int64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], names=["_id", "_print"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints), *b.columns[2:]], names=["_id", "_print", *carried])
 
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return narrow.mapInArrow(run, f"_id {narrow.schema['_id'].dataType.simpleString()}, _print long")
+    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *carried)
+    kinds = [("_id", narrow.schema["_id"]), ("_print", None), *((c, narrow.schema[c]) for c in carried)]
+    return narrow.mapInArrow(run, ", ".join(f"{c} {f.dataType.simpleString() if f else 'long'}" for c, f in kinds))
 
 
 def _visits(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,22 +161,39 @@ def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(first | second << golay.LENGTH)], names=["anchor"])
 
 
+def rooted(prints: DataFrame, threshold: int) -> DataFrame:
+    """``prints``, a written table of distinct fingerprints in column _print, with the root of each one's component."""
+    roots = components(links(prints.select("_print"), threshold)).select(F.col("node").alias("_print"), "root")
+    return prints.join(roots, "_print", "left").withColumn("root", F.coalesce("root", "_print"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row: 16 hex digits, and the smallest id that links reach."""
     marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     firsts = written(marked.groupBy("_print").agg(F.min("_id").alias("_first")), "prints")
-    roots = components(links(firsts, threshold)).select(F.col("node").alias("_print"), "root")
-    rooted = firsts.join(roots, "_print", "left").withColumn("root", F.coalesce("root", "_print"))
-    smallest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("_print", "component_id")
+    grouped = rooted(firsts, threshold)
+    smallest = grouped.groupBy("root").agg(F.min("_first").alias("component_id"))
+    classes = grouped.join(smallest, "root").select("_print", "component_id")
     return marked.join(classes, "_print").select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each component: the row of its smallest id (rows without any id: one of them)."""
-    classes = written(near_duplicates(docs, id_col=id_col, **options), "components")
-    firsts = classes.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    many = firsts.groupBy("component_id").count().where("count > 1").limit(1).count()
-    kept = docs.join(firsts.select(F.col(id_col).alias("_kept")).distinct(), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates([id_col]) if many else kept
+def keep_one(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id (null ids last).
+
+    An id may be null or repeated, so rows of one id are told apart by digests
+    of the text and of the row; rows alike in all columns are one.
+    """
+    body, own = F.coalesce(F.col(text_col).cast("string"), F.lit("")), ["_body", "_row"]
+    told = docs.withColumns({"_body": F.sha2(body, 256), "_row": F.xxhash64(*docs.columns)})
+    marked = written(fingerprints(told, id_col, text_col, shingle, own), "fingerprints")
+    # of a fingerprint's rows the first, and how many are just like it
+    alike = marked.groupBy("_print", "_id", *own).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.struct(F.col("_id").isNull().alias("_none"), "_id", *own, "_n")
+    firsts = written(alike.groupBy("_print").agg(F.min(first).alias("_first")), "prints")
+    chosen = written(rooted(firsts, threshold).groupBy("root").agg(F.min("_first").alias("_first")).select("_first.*"), "components")
+    match = F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_body") == F.col("_kept_body")) & (F.col("_row") == F.col("_kept_row"))
+    kept = told.join(chosen.select(F.col("_id").alias("_kept"), *[F.col(c).alias("_kept" + c) for c in own]), match, "left_semi")
+    if chosen.where("_n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col, *own])
+    return kept.drop(*own)

@@ -104,3 +104,14 @@ def test_odd_rows_and_keep_one(odd_docs, make):
     twice = make([(1, "a b c d", "en", "s", 0), (1, "a b c d", "en", "s", 0), (2, "a b c d", "en", "s", 0)], DOCS)
     assert [r.doc_id for r in simhash.keep_one(twice).collect()] == [1]
     assert simhash.keep_one(make([], DOCS)).count() == 0
+
+
+def test_keep_one_goes_by_components_not_by_ids(make):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(None, a, "en", "s", 0), (None, b, "en", "s", 0), (None, b, "de", "t", 1), (None, c, "en", "s", 0), (None, c, "en", "s", 0),
+            (7, d, "en", "s", 0), (None, d, "en", "s", 0), (8, a, "en", "s", 0), (3, "x y z", "en", "s", 0), (3, "u v w", "en", "s", 0), (9, "u v w", "en", "s", 0),
+            (None, None, "en", "s", 0), (None, "", "en", "s", 0)]
+    kept = simhash.keep_one(make(rows, DOCS))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(8, a), (None, b), (None, c), (7, d), (3, "x y z"), (3, "u v w"), (None, "")], key=str)
