@@ -1,9 +1,13 @@
 """Token ids of a public byte-level BPE vocabulary, for whole texts.
 
 ``ids(texts)`` are those that the tokenizers library gives for the vocabulary
-file with ``add_special_tokens=False`` (strings of special tokens are ordinary
-text); tests compare the two. The merging itself is done by tiktoken, which
-reads the same file's vocabulary as ranks and is several times faster.
+file with ``add_special_tokens=False``; tests compare the two. That option adds
+no tokens around a text, but the strings of the file's added tokens (such as
+``<|endoftext|>``) that a text holds still become their ids; the operators
+(``Encoder.shared``) do the same. With the library's switch
+``encode_special_tokens`` those strings are ordinary text. The merging itself is
+done by tiktoken, which reads the same file's vocabulary as ranks and is several
+times faster; the stretches between added tokens are encoded each by itself.
 
 A byte-level BPE never merges across the end of a word, so a text may be cut
 wherever white space follows something else. The chunks repeat often: a worker
@@ -36,35 +40,45 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Encodes texts with the vocabulary file at ``path`` (a tokenizers JSON file)."""
+    """Encodes texts with the vocabulary file at ``path`` (a tokenizers JSON file).
+
+    ``encode_special_tokens``: strings of added tokens are ordinary text.
+    """
 
     _shared: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             saved = json.load(f)
-        special, letters = {t["content"] for t in saved["added_tokens"]}, byte_letters()
+        special, letters = {t["content"]: t["id"] for t in saved["added_tokens"]}, byte_letters()
         ranks = {bytes(letters[c] for c in token): n for token, n in saved["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.width = np.zeros(max(ranks.values()) + 1, dtype=np.int64)  # bytes of each token
         for token, n in ranks.items():
             self.width[n] = len(token)
-        self.known: dict[str, bytes] = {}
+        if encode_special_tokens:
+            special = {}
+        elif any(t[k] for t in saved["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"added tokens that take white space or whole words only: {path}")
+        # of two that begin at one place the longer one counts
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.fixed = {c: np.array([n], dtype="<u4").tobytes() for c, n in special.items()}
+        self.known: dict[str, bytes] = dict(self.fixed)
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
-        """The encoder of this Python worker."""
+        """The encoder of this Python worker, with the ids of the tokenizer as loaded."""
         if path not in cls._shared:
-            cls._shared[path] = cls(path)
+            cls._shared[path] = cls(path, encode_special_tokens=False)
         return cls._shared[path]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The uint32 ids of each text."""
-        parts = [self._chunks(t) for t in texts]
+        parts = [self._parts(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known = dict(self.fixed)
         new = set(chain.from_iterable(parts)).difference(self.known)
         # a chunk that begins with white space and doesn't end with it can follow another one
         runs = [c for c in new if c[0].isspace() and not c[-1].isspace()]
@@ -85,6 +99,13 @@ class Encoder:
                 self.known[c] = raw[start:stop]
                 start = stop
 
+    def _parts(self, text: str) -> list[str]:
+        """The chunks of the stretches between added tokens, and those tokens."""
+        stretches = self.special.split(text) if self.special else [text]
+        if len(stretches) == 1:
+            return self._chunks(text)
+        return [c for k, s in enumerate(stretches) for c in ([s] if k % 2 else self._chunks(s))]
+
     @staticmethod
     def _chunks(text: str) -> list[str]:
         """Pieces that put together are the text; each but the first begins with the white space at a cut."""

@@ -133,3 +133,33 @@ def test_length_sums(odd_docs, vocabulary, plain, make, monkeypatch):
 def test_empty(make, vocabulary):
     assert packing.pack(make([], DOCS), vocabulary).count() == 0
     assert lengths.length_sums(make([], DOCS), vocabulary).count() == 0
+
+
+@pytest.fixture(scope="module")
+def as_loaded(vocabulary):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(vocabulary)
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_added_tokens_in_a_text_are_those_of_the_tokenizer_as_loaded(vocabulary, as_loaded, make):
+    end = "<|endoftext|>"
+    assert as_loaded(f"x{end}y") == [87, 50256, 88]
+    rng = random.Random(4)
+    texts = ["", end, f"x{end}y", f"{end} a", f"a {end}", f"a  {end}  b", f"{end}{end}", f"a\n{end}\n\nb", "<|endoftext|", f"<|endof{end}text|>", "<|EndOfText|>", f"é{end}\u3000{end}  "]
+    texts += ["".join(rng.choice([end, "<|", "endoftext", "|>", " ", "\n", "\t", "a", "b1", "'", "é"]) for _ in range(rng.randint(1, 20))) for _ in range(2000)]
+    encoder = Encoder.shared(vocabulary)
+    for _ in range(2):  # anew, and from memory
+        assert all(list(a) == as_loaded(t) for a, t in zip(encoder.ids(texts), texts, strict=True))
+    docs = make([(i, t, "en", "s", 0) for i, t in enumerate(texts[:40])], DOCS)
+    got = {r.doc_id: r for r in packing.pack(docs, vocabulary, with_ids=True).collect()}
+    assert all(bytes(got[i].ids) == np.array(as_loaded(t) + [0], "<u4").tobytes() for i, t in enumerate(texts[:40]))
+    hist = lengths.length_sums(docs, vocabulary).collect()
+    assert {r.length: r.n_docs for r in hist} == Counter(len(as_loaded(t)) for t in texts[:40])
+
+
+def test_remembered_chunks_are_dropped_but_not_added_tokens(vocabulary, as_loaded, monkeypatch):
+    monkeypatch.setattr("cohortlens.llm.encode.REMEMBERED", 2)
+    encoder = Encoder(vocabulary, encode_special_tokens=False)
+    for text in ("a b c d <|endoftext|>", "e f<|endoftext|>g h", "i<|endoftext|>"):
+        assert list(encoder.ids([text])[0]) == as_loaded(text)
