@@ -2,8 +2,9 @@
 
 Everything is DataFrame code. A url's host and path are cut out by string
 functions; the longest rule that fits decides. The rules also label the urls
-they fit, and from those labels boosted trees learn (on a bounded sample) what
-blocked urls look like: lengths, depth, share of digits, character entropy,
+they fit, and from those labels boosted trees learn what blocked urls look like,
+on a bounded sample of distinct urls of each class, where a url weighs as many
+rows as it stands for (its rows / the class's sampling fraction): lengths, depth, share of digits, character entropy,
 numbers of parameters, hyphens and host labels, whether there is a fragment,
 and how often urls of the same host suffix are blocked. The trees judge the
 urls that no rule fits.
@@ -50,7 +51,7 @@ RULES = (
     Rule("block", "net/es/"),
     Rule("block", "net/fr/"),
 )
-#: About so many labelled urls of each class are learnt from.
+#: About so many distinct labelled urls of each class are learnt from.
 SAMPLE = 20_000
 #: Weight of the overall share of blocked urls in a suffix's share.
 PRIOR = 10.0
@@ -110,15 +111,18 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, url_col: str = "url",
     seen = with_features(with_rule(with_parts(named)))
     marked = seen.withColumn("label", F.when(F.col("rule_verdict") == "block", 1.0).when(F.col("rule_verdict") == "allow", 0.0))
     labelled = marked.where("label is not null")
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect()}
     shares, overall = suffix_shares(labelled)
     full = marked.join(shares, "suffix", "left").na.fill({"suffix_share": overall})
     if len(counts) == 2:
+        # all rows of a url are drawn together, as one row with its weight
         part = F.when(F.col("label") == 1, min(1.0, sample / counts[1.0])).otherwise(min(1.0, sample / counts[0.0]))
-        chosen = full.where("label is not null").where(F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1_000_000)) < part * 1_000_000)
+        drawn = labelled.where(F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1_000_000)) < part * 1_000_000)
+        each = drawn.groupBy("url", "label", "suffix", *FEATURES[:-1]).agg((F.count(F.lit(1)) / F.first(part)).alias("_weight"))
+        chosen = each.join(shares, "suffix")
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-        trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=10, maxDepth=3, seed=seed)
-        model = trees.fit(vectors.transform(chosen).select("_features", "label").repartition(4, F.hash("_features")))
+        trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=10, maxDepth=3, seed=seed)
+        model = trees.fit(vectors.transform(chosen).select("_features", "label", "_weight").repartition(4, F.hash("_features")))
         blocked = F.element_at(vector_to_array("probability"), 2)
         full = model.transform(vectors.transform(full)).withColumn("blocked_odds", F.when(F.col("rule").isNull(), blocked))
     else:

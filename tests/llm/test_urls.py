@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -62,3 +63,22 @@ def test_no_python_in_the_plan(make):
 
 def test_empty(make):
     assert urls.judge(make([], PAGES)).count() == 0
+
+
+def test_odds_stay_when_a_class_outgrows_the_sample(make):
+    # urls alike but for letters, one in five of them blocked at random
+    rng = random.Random(1)
+    known = [f"http://s{rng.randrange(10**6):06d}.example.com/{'en' if rng.random() < 0.2 else 'ed'}/" for _ in range(3000)]
+    unknown = [f"http://s{rng.randrange(10**6):06d}.example.cym/ed/" for _ in range(100)]
+    table = make(rows(known + unknown), PAGES)
+    for n in (20_000, 300):
+        odds = [r.blocked_odds for r in urls.judge(table, sample=n).where("rule IS NULL").collect()]
+        assert len(odds) == 100 and sum(o > 0.5 for o in odds) <= 10 and sum(odds) / 100 == pytest.approx(0.2, abs=0.1)
+
+
+def test_repeated_urls_are_one_row_of_the_sample(make, monkeypatch):
+    seen = []
+    fit = urls.GBTClassifier.fit
+    monkeypatch.setattr(urls.GBTClassifier, "fit", lambda self, df: (seen.append(df.agg({"*": "count", "_weight": "sum"}).first()), fit(self, df))[1])
+    urls.judge(make(rows(["http://net/es/1"] * 300 + [f"http://x{i}.com/" for i in range(40)] + ["http://a.org/"]), PAGES)).count()
+    assert (seen[0]["count(1)"], seen[0]["sum(_weight)"]) == (41, 340.0)
