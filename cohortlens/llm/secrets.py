@@ -48,12 +48,16 @@ def _either_case(words: str) -> str:
     return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", words)
 
 
+#: A private key: from its header to the next END line, or over the base64 lines and long base64 runs that follow where another key begins or the text ends first.
+PRIVATE_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+               r"|(?:\s*\n(?:Proc-Type|DEK-Info):[^\n]*)*"
+               r"(?:\s*\n[ \t]*[A-Za-z0-9+/]+={0,2}(?=[ \t\r]*(?:\n|\Z))|(?:\s|\\[nrt])+[A-Za-z0-9+/]{40,}={0,2})*)")
 RULES = (
     Rule("assign", 1, "(" + _either_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
          group=2, least=6, hints=("password", "passwd", "secret", "token", "apikey", "api_key")),
     Rule("access", 1, "AKIA[A-Z0-9]+", least=20, hints=("akia",)),
     Rule("hex", 1, "[0-9a-f]+", least=24),
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hints=("private key-----",)),
+    Rule("private_key", 2, PRIVATE_KEY, hints=("private key-----",)),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hints=("eyj",)),
 )
 BASE = ("assign", "access", "hex")
