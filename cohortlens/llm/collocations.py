@@ -75,16 +75,16 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarra
     return words.dictionary_encode(), owner, follows
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(texts, langs) of about RUN bytes each."""
+def _runs(batch: pa.RecordBatch, run: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(texts, langs) of about ``run`` bytes each."""
     texts, langs = batch.column("_text"), batch.column("_lang")
-    size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)) // RUN
+    size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)) // run
     cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield texts.slice(a, b - a), langs.slice(a, b - a)
 
 
-def _buckets(words: pa.DictionaryArray, langs: pa.Array, owner: np.ndarray, follows: np.ndarray) -> np.ndarray:
+def _buckets(words: pa.DictionaryArray, langs: pa.Array, owner: np.ndarray, follows: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of the pair that begins at each word with a follower."""
     hashes = pd.util.hash_array(np.asarray(words.dictionary.to_pandas(), dtype=object), categorize=False) if len(words.dictionary) else np.zeros(0, np.uint64)
     h = hashes[np.asarray(words.indices)]
@@ -93,22 +93,22 @@ def _buckets(words: pa.DictionaryArray, langs: pa.Array, owner: np.ndarray, foll
     mixed = (h[at] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[at + 1] + (lang[at] << np.uint64(1)))
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    return (mixed >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
 
 
-def pair_buckets(texts: DataFrame, least: int) -> np.ndarray:
-    """For each bucket whether its pairs of words may occur ``least`` times (BUCKETS bits, packed)."""
-    top = min(least, 255)  # counts of 255 stand for more
+def pair_buckets(texts: DataFrame, least: int, buckets: int, size: int) -> np.ndarray:
+    """For each bucket whether its pairs of words may occur ``least`` times (``buckets`` bits, packed)."""
+    top, wide = min(least, 255), min(CELLS, buckets)  # counts of 255 stand for more
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(BUCKETS, dtype=np.uint8)
+        held = np.zeros(buckets, dtype=np.uint8)
         for batch in batches:
-            for some, langs in _runs(batch):
+            for some, langs in _runs(batch, size):
                 words, owner, follows = words_of(some)
                 if len(words):
-                    new = np.bincount(_buckets(words, langs, owner, follows), minlength=BUCKETS)
+                    new = np.bincount(_buckets(words, langs, owner, follows, buckets), minlength=buckets)
                     held = np.minimum(new + held, top).astype(np.uint8)
-        cells = held.reshape(-1, min(CELLS, BUCKETS))
+        cells = held.reshape(-1, wide)
         blocks = np.flatnonzero(cells.any(axis=1))
         if len(blocks):
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([cells[b].tobytes() for b in blocks], pa.binary())],
@@ -124,9 +124,9 @@ def pair_buckets(texts: DataFrame, least: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()),
                                               pa.array([np.packbits(c >= top).tobytes() for c in total.values()], pa.binary())], names=["block", "bits"])
 
-    out = np.zeros((BUCKETS // min(CELLS, BUCKETS), min(CELLS, BUCKETS) // 8), dtype=np.uint8)
+    out = np.zeros((buckets // wide, wide // 8), dtype=np.uint8)
     merged = texts.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, bits binary")
-    for r in merged.where(F.col("bits").isNotNull()).collect():  # at most BUCKETS bits
+    for r in merged.where(F.col("bits").isNotNull()).collect():  # at most buckets bits
         out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out.reshape(-1)
 
@@ -139,18 +139,18 @@ def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(key, return_index=True, return_counts=True)[1:]
 
 
-def windows(texts: DataFrame, least: int) -> DataFrame:
+def windows(texts: DataFrame, least: int, buckets: int = BUCKETS, size: int = RUN) -> DataFrame:
     """(_lang, w1..w4, n): the windows of all word positions, counted within tasks; cut before pairs that are surely too rare."""
-    allowed = texts.sparkSession.sparkContext.broadcast(pair_buckets(texts, least))
+    allowed = texts.sparkSession.sparkContext.broadcast(pair_buckets(texts, least, buckets, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = allowed.value
         for batch in batches:
-            for some, langs in _runs(batch):
+            for some, langs in _runs(batch, size):
                 words, owner, follows = words_of(some)
                 if not len(words):
                     continue
-                pairs = _buckets(words, langs, owner, follows)
+                pairs = _buckets(words, langs, owner, follows, buckets)
                 linked = follows.copy()
                 linked[follows] = bits[pairs >> 3] >> (7 - (pairs & 7)).astype(np.uint8) & 1 == 1
                 ids, lang = np.asarray(words.indices).astype(np.int64), langs.dictionary_encode()
@@ -170,10 +170,10 @@ def windows(texts: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(run, "_lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", n long")
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", **sizes) -> DataFrame:
     """(_lang, words, phrase, f): every phrase of 1 to LONGEST words with ``least`` occurrences, and (0, '') for all words of a language."""
     texts = docs.select(F.col(text_col).cast("string").alias("_text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"))
-    counted = windows(texts, least).groupBy("_lang", *WORDS).agg(F.sum("n").alias("n"))
+    counted = windows(texts, least, **sizes).groupBy("_lang", *WORDS).agg(F.sum("n").alias("n"))
     level = F.bit_count(F.grouping_id()).cast("int")  # 0: all of lang and words kept
     rolled = (counted.rollup("_lang", *WORDS).agg(F.sum("n").alias("f"), level.alias("_cut"))
               .withColumn("words", F.lit(LONGEST) - F.col("_cut")).where("words >= 0"))
@@ -188,9 +188,10 @@ def part(phrase: str, first: int | F.Column, length: int | F.Column) -> F.Column
     return F.array_join(F.slice(F.split(F.col(phrase), " "), first, length), " ")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, keep: int = KEEP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: the first ``keep`` phrases of each language."""
-    counts = written(phrase_counts(docs, least, text_col, lang_col), "phrases")
+def collocations(docs: DataFrame, least: int = LEAST, keep: int = KEEP, text_col: str = "text", lang_col: str = "lang",
+                 **sizes) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the first ``keep`` phrases of each language; ``sizes``: buckets and size (bytes of a run)."""
+    counts = written(phrase_counts(docs, least, text_col, lang_col, **sizes), "phrases")
     phrases = counts.where("words >= 2").select("_lang", "words", "phrase", F.col("f").alias("a"))
     parts = counts.where(f"words between 1 and {LONGEST - 1}").select("_lang", F.col("phrase").alias("_part"), "f")
     cut = F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")
