@@ -40,7 +40,7 @@ from cohortlens.llm.common import written
 
 LONGEST, LEAST, KEEP = 4, 30, 2000
 #: Buckets of the first pass, cells of one block of them, and bytes of text counted together.
-BUCKETS, CELLS, RUN = 1 << 24, 1 << 12, 16_000_000
+BUCKETS, CELLS, RUN = 1 << 24, 1 << 12, 4_000_000
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 _BLANK, _BREAK = 1, 2
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -106,8 +106,8 @@ def pair_buckets(texts: DataFrame, least: int, buckets: int, size: int) -> np.nd
             for some, langs in _runs(batch, size):
                 words, owner, follows = words_of(some)
                 if len(words):
-                    new = np.bincount(_buckets(words, langs, owner, follows, buckets), minlength=buckets)
-                    held = np.minimum(new + held, top).astype(np.uint8)
+                    at, n = np.unique(_buckets(words, langs, owner, follows, buckets), return_counts=True)
+                    held[at] = np.minimum(held[at] + n, top)
         cells = held.reshape(-1, wide)
         blocks = np.flatnonzero(cells.any(axis=1))
         if len(blocks):
