@@ -8,13 +8,16 @@ ROLLUP over (w1, w2, w3, w4) gives the counts of all shorter phrases, and its
 subtotal for a language gives all words; no n-gram length is exploded by itself.
 
 Phrases with fewer than ``least`` occurrences are neither candidates nor parts
-of one that differ in the result, so windows may end early where a pair of words
-is surely rarer: a first pass counts pairs of words in ``BUCKETS`` hashed
-buckets (a fixed size, whatever the corpus), and a window is cut before a pair
-whose bucket holds fewer than ``least``. A bucket never counts less than its
-pairs, so this loses nothing; it only keeps rare windows out of the shuffle
-(less so when the corpus has many times more pairs than buckets). Tasks count
-the windows of about ``RUN`` bytes before they are shuffled.
+of one, so a window may end before a word that would make it too rare. Two
+sieves find where that surely is: the first counts words and pairs, the second
+runs of three and four words whose pairs pass the first. Tasks send 32-bit
+entries of hashed runs with a saturated count; a reducer adds them up hash
+block by hash block, and ``SIEVE`` bits (a fixed size) say which hashes may be
+frequent. Equal hashes only make a run look more frequent, so a sieve loses
+nothing: it keeps rare windows out of the shuffle, and every count still comes
+from the windows and ROLLUP. (With far more frequent runs than bits it would
+keep less out.) Tasks count the windows of about ``RUN`` bytes before they are
+shuffled.
 
 Score: a candidate of f = a occurrences cut into two parts with l and r
 occurrences has floor(2000000 a / (l + r)); its lowest cut counts, ties to the
@@ -39,8 +42,10 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import written
 
 LONGEST, LEAST, KEEP = 4, 30, 2000
-#: Buckets of the first pass, cells of one block of them, and bytes of text counted together.
-BUCKETS, CELLS, RUN = 1 << 24, 1 << 12, 4_000_000
+#: Bits of a sieve, fewest hash blocks (both as powers of two), bytes of text counted together and entries held in a task.
+SIEVE, BLOCKS, RUN, HELD = 27, 12, 4_000_000, 8_000_000
+#: Bits of an entry's hash within its block, and its largest count.
+INSIDE, TOP = 27, 31
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 _BLANK, _BREAK = 1, 2
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -84,50 +89,101 @@ def _runs(batch: pa.RecordBatch, run: int) -> Iterator[tuple[pa.Array, pa.Array]
         yield texts.slice(a, b - a), langs.slice(a, b - a)
 
 
-def _buckets(words: pa.DictionaryArray, langs: pa.Array, owner: np.ndarray, follows: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of the pair that begins at each word with a follower."""
-    hashes = pd.util.hash_array(np.asarray(words.dictionary.to_pandas(), dtype=object), categorize=False) if len(words.dictionary) else np.zeros(0, np.uint64)
-    h = hashes[np.asarray(words.indices)]
-    lang = pd.util.hash_array(np.asarray(langs.to_pandas(), dtype=object), categorize=False)[owner]
-    at = np.flatnonzero(follows)
-    mixed = (h[at] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[at + 1] + (lang[at] << np.uint64(1)))
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
-
-
-def pair_buckets(texts: DataFrame, least: int, buckets: int, size: int) -> np.ndarray:
-    """For each bucket whether its pairs of words may occur ``least`` times (``buckets`` bits, packed)."""
-    top, wide = min(least, 255), min(CELLS, buckets)  # counts of 255 stand for more
+def _hashes(words: pa.DictionaryArray, langs: pa.Array, owner: np.ndarray) -> Iterator[np.ndarray]:
+    """The 64-bit hash of the 1, 2, 3, ... words from each position on (past the end: of whatever comes there)."""
+    own = lambda values: pd.util.hash_array(np.asarray(values.to_pandas(), dtype=object), categorize=False)
+    h, out = own(words.dictionary)[np.asarray(words.indices)], own(langs)[owner]
+    for k in range(LONGEST):
+        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ np.roll(h, -k)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+        yield out
+
+
+def _allowed(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
+    return bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+
+
+def _reach(words: pa.DictionaryArray, langs: pa.Array, owner: np.ndarray, follows: np.ndarray,
+           sieves: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For 1 to LONGEST words: whether they stand in one piece and the sieves so far let all their runs pass, and their hashes.
+
+    The first sieve tells of one and two words, the second of more.
+    """
+    hashes, passes = list(_hashes(words, langs, owner)), []
+    on = np.ones(len(owner), dtype=bool)
+    for k in range(1, LONGEST + 1):
+        if k > 1:
+            # the run without its last word, and the one without its first word
+            on = on & np.append(passes[k - 2][1:], False) & follows
+        if len(sieves) > (k > 2):
+            on = on.copy()
+            on[on] = _allowed(sieves[int(k > 2)], hashes[k - 1][on])
+        passes.append(on)
+    return passes, hashes
+
+
+def sieve(texts: DataFrame, lengths: tuple[int, ...], least: int, before: list[np.ndarray], bits: int = SIEVE, size: int = RUN) -> np.ndarray:
+    """2^bits packed bits by hash: whether runs of ``lengths`` words may occur ``least`` times, among those that earlier sieves let pass."""
+    blocks = max(BLOCKS, (texts.rdd.getNumPartitions() // 16).bit_length())  # a block's entries fit in a task
+    blocks, shared = min(blocks, bits - 3), texts.sparkSession.sparkContext.broadcast(before)
+    shift = np.uint64(64 - blocks - INSIDE)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(held) >> shift, return_counts=True)
+        entries = ((at & np.uint64((1 << INSIDE) - 1)) << np.uint64(5) | np.minimum(n, TOP).astype(np.uint64)).astype("<u4")
+        block = (at >> np.uint64(INSIDE)).astype(np.int64)
+        own, first = np.unique(block, return_index=True)
+        stops = np.append(first[1:], len(block))
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([entries[a:b].tobytes() for a, b in zip(first, stops, strict=True)], pa.binary())],
+                                          names=["block", "entries"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(buckets, dtype=np.uint8)
+        held, n = [], 0
         for batch in batches:
             for some, langs in _runs(batch, size):
                 words, owner, follows = words_of(some)
-                if len(words):
-                    at, n = np.unique(_buckets(words, langs, owner, follows, buckets), return_counts=True)
-                    held[at] = np.minimum(held[at] + n, top)
-        cells = held.reshape(-1, wide)
-        blocks = np.flatnonzero(cells.any(axis=1))
-        if len(blocks):
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([cells[b].tobytes() for b in blocks], pa.binary())],
-                                             names=["block", "counts"])
+                if not len(words):
+                    continue
+                passes, hashes = _reach(words, langs, owner, follows, shared.value)
+                for k in lengths:
+                    held.append(hashes[k - 1][passes[k - 1]])
+                    n += len(held[-1])
+                if n >= HELD:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def full(chunks: list[np.ndarray]) -> bytes:
+        entries = np.sort(np.concatenate(chunks))
+        at = entries >> 5
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        n = entries & TOP
+        n = np.where(n == TOP, least, n)  # a full count stands for any number
+        frequent = at[first][np.add.reduceat(n.astype(np.int64), first) >= least]
+        marks = np.zeros(1 << (bits - blocks), dtype=bool)
+        marks[frequent >> np.uint32(INSIDE - (bits - blocks))] = True
+        return np.packbits(marks).tobytes()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        block, chunks = None, []
         for batch in batches:
-            for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-                own = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                total[b] = np.minimum(total.get(b, np.uint16(0)) + own.astype(np.uint16), top).astype(np.uint8)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()),
-                                              pa.array([np.packbits(c >= top).tobytes() for c in total.values()], pa.binary())], names=["block", "bits"])
-
-    out = np.zeros((buckets // wide, wide // 8), dtype=np.uint8)
-    merged = texts.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, bits binary")
-    for r in merged.where(F.col("bits").isNotNull()).collect():  # at most buckets bits
-        out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+            for b, raw in zip(batch.column("block").to_pylist(), batch.column("entries"), strict=True):
+                if b != block and chunks:
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([full(chunks)], pa.binary())], names=["block", "marks"])
+                    chunks = []
+                block = b
+                chunks.append(np.frombuffer(raw.as_buffer(), dtype="<u4"))
+        if chunks:
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([full(chunks)], pa.binary())], names=["block", "marks"])
+
+    out = np.zeros((1 << blocks, 1 << (bits - blocks - 3)), dtype=np.uint8)
+    dealt = texts.mapInArrow(count, "block long, entries binary").repartition("block").sortWithinPartitions("block")
+    for r in dealt.mapInArrow(add, "block long, marks binary").toLocalIterator():  # 2^bits bits in all
+        out[r["block"]] = np.frombuffer(r["marks"], dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -139,25 +195,25 @@ def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(key, return_index=True, return_counts=True)[1:]
 
 
-def windows(texts: DataFrame, least: int, buckets: int = BUCKETS, size: int = RUN) -> DataFrame:
-    """(_lang, w1..w4, n): the windows of all word positions, counted within tasks; cut before pairs that are surely too rare."""
-    allowed = texts.sparkSession.sparkContext.broadcast(pair_buckets(texts, least, buckets, size))
+def windows(texts: DataFrame, least: int, bits: int = SIEVE, size: int = RUN) -> DataFrame:
+    """(_lang, w1..w4, n): the windows of all word positions, counted within tasks.
+
+    A window is padded from where its piece ends or the sieves say that the run is too rare (a rare first word: all padding).
+    """
+    sieves = [sieve(texts, (1, 2), least, [], bits, size)]
+    sieves.append(sieve(texts, tuple(range(3, LONGEST + 1)), least, sieves, bits, size))
+    shared = texts.sparkSession.sparkContext.broadcast(sieves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = allowed.value
         for batch in batches:
             for some, langs in _runs(batch, size):
                 words, owner, follows = words_of(some)
                 if not len(words):
                     continue
-                pairs = _buckets(words, langs, owner, follows, buckets)
-                linked = follows.copy()
-                linked[follows] = bits[pairs >> 3] >> (7 - (pairs & 7)).astype(np.uint8) & 1 == 1
+                passes, _ = _reach(words, langs, owner, follows, shared.value)
                 ids, lang = np.asarray(words.indices).astype(np.int64), langs.dictionary_encode()
-                columns, on = [np.asarray(lang.indices)[owner].astype(np.int64), ids], np.ones(len(ids), dtype=bool)
-                for k in range(1, LONGEST):
-                    on = on & np.append(linked, np.zeros(k, bool))[k - 1: k - 1 + len(ids)]
-                    columns.append(np.where(on, np.append(ids, np.zeros(k, np.int64))[k:], -1))
+                columns = [np.asarray(lang.indices)[owner].astype(np.int64)]
+                columns += [np.where(on, np.roll(ids, -k), -1) for k, on in enumerate(passes)]
                 at, n = _distinct(columns)
                 spelt = pa.concat_arrays([words.dictionary, pa.array([""], pa.large_string())])  # -1: padding
                 last = len(spelt) - 1
@@ -190,7 +246,7 @@ def part(phrase: str, first: int | F.Column, length: int | F.Column) -> F.Column
 
 def collocations(docs: DataFrame, least: int = LEAST, keep: int = KEEP, text_col: str = "text", lang_col: str = "lang",
                  **sizes) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: the first ``keep`` phrases of each language; ``sizes``: buckets and size (bytes of a run)."""
+    """lang, rank, phrase, a, l, r, n, score: the first ``keep`` phrases of each language; ``sizes``: bits of the sieves and size (bytes of a run)."""
     counts = written(phrase_counts(docs, least, text_col, lang_col, **sizes), "phrases")
     phrases = counts.where("words >= 2").select("_lang", "words", "phrase", F.col("f").alias("a"))
     parts = counts.where(f"words between 1 and {LONGEST - 1}").select("_lang", F.col("phrase").alias("_part"), "f")
