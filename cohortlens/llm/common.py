@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets an operator that returns its input's columns take extra columns of any names.
+
+    While it runs, columns that no ``..._col`` argument names are called ``kept_column_<i>``.
+    """
+    signature = inspect.signature(operator)
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        bound = signature.bind(docs, *args, **options)
+        bound.apply_defaults()
+        given = bound.arguments | bound.arguments.get("options", {})
+        used = {v.lower() for k, v in given.items() if k.endswith("_col")}
+        names = {c if c.lower() in used else f"kept_column_{i}": c for i, c in enumerate(docs.columns)}
+        out = operator(docs.toDF(*names), *args, **options)
+        return out.toDF(*[names.get(c, c) for c in out.columns])
+
+    return run
+
+
 def parts_for(rows: int, per_part: int = ROWS_PER_RANGE) -> int:
     """Partitions that hold about ``per_part`` rows each."""
     return max(1, math.ceil(rows / per_part))

@@ -10,7 +10,10 @@ done by tiktoken, which reads the same file's vocabulary as ranks and is several
 times faster; the stretches between added tokens are encoded each by itself.
 
 A byte-level BPE never merges across the end of a word, so a text may be cut
-wherever white space follows something else. The chunks repeat often: a worker
+wherever white space follows something else. A run of ``LONG`` or more white
+space characters is one word, but for its last character where text follows;
+the tokenizers library encodes it by itself, as tiktoken's pattern search ends
+the process on a run of a million. The chunks repeat often: a worker
 encodes a chunk once while it remembers it, and all new chunks of a batch in
 one call.
 """
@@ -27,9 +30,13 @@ import numpy as np
 REMEMBERED = 200_000
 #: The published pre-tokenizer pattern of this vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern has it (the Unicode property; Python's own class holds more).
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space before a blank or line end: such texts are cut by the pattern below.
-_LOOSE = re.compile(r"\s[ \n]")
-_CUT = re.compile(r"(?<=\S)(?=\s)")
+_LOOSE = re.compile(f"[{SPACE}][ \n]")
+_CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+LONG = 10_000
+_LONG_RUN = re.compile(f"(?<![{SPACE}])[{SPACE}]{{{LONG},}}")
 
 
 def byte_letters() -> dict[str, int]:
@@ -66,6 +73,7 @@ class Encoder:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.fixed = {c: np.array([n], dtype="<u4").tobytes() for c, n in special.items()}
         self.known: dict[str, bytes] = dict(self.fixed)
+        self.path, self._library = path, None
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
@@ -81,13 +89,25 @@ class Encoder:
             self.known = dict(self.fixed)
         new = set(chain.from_iterable(parts)).difference(self.known)
         # a chunk that begins with white space and doesn't end with it can follow another one
-        runs = [c for c in new if c[0].isspace() and not c[-1].isspace()]
+        runs = [c for c in new if c[0] in SPACE and c[-1] not in SPACE]
         self._learn(runs)
+        long = {}
         for c in new.difference(self.known):
-            self.known[c] = np.array(self.bpe.encode_ordinary(c), dtype="<u4").tobytes()
-        look = self.known.__getitem__
+            if len(c) >= LONG - 1 and not c.strip(SPACE):
+                long[c] = self._space(c)
+            else:
+                self.known[c] = np.array(self.bpe.encode_ordinary(c), dtype="<u4").tobytes()
+        look = self.known.__getitem__ if not long else (self.known | long).__getitem__
         return [np.frombuffer(b"".join(map(look, p)), dtype="<u4") for p in parts]
 
+    def _space(self, run: str) -> bytes:
+        """The ids of a long run of white space."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return np.array(self._library.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def _learn(self, runs: list[str]) -> None:
         """Encode the chunks as one text, and cut its ids where the chunks end."""
         if runs:
@@ -103,8 +123,19 @@ class Encoder:
         """The chunks of the stretches between added tokens, and those tokens."""
         stretches = self.special.split(text) if self.special else [text]
         if len(stretches) == 1:
+            return self._stretch(text)
+        return [c for k, s in enumerate(stretches) for c in ([s] if k % 2 else self._stretch(s))]
+
+    def _stretch(self, text: str) -> list[str]:
+        """The chunks of a stretch without added tokens; long runs of white space are chunks of their own."""
+        if len(text) < LONG:
             return self._chunks(text)
-        return [c for k, s in enumerate(stretches) for c in ([s] if k % 2 else self._chunks(s))]
+        out, start = [], 0
+        for m in _LONG_RUN.finditer(text):
+            stop = m.end() - (m.end() < len(text))  # the last one goes with what follows
+            out += self._chunks(text[start: m.start()]) + [text[m.start(): stop]]
+            start = stop
+        return out + self._chunks(text[start:])
 
     @staticmethod
     def _chunks(text: str) -> list[str]:

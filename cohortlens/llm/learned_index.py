@@ -33,8 +33,8 @@ from cohortlens.llm import vectors
 from cohortlens.llm.common import written
 
 SAMPLE, NEIGHBOURS, HIDDEN, TARGET = 6144, 10, 64, 0.95
-#: Rows for each partition, and the most partitions (the sample has 32 vectors for each).
-ROWS, MOST = 1024, 128
+#: The most partitions (the sample has 48 vectors for each).
+MOST = 128
 QUERIES, SHARD = 4096, 250_000
 
 
@@ -196,8 +196,13 @@ class Distances:
         return out
 
 
+def partitions_for(rows: int, taught: int) -> int:
+    """About half the square root of the rows (a power of two), with 48 sample vectors or more for each."""
+    return 1 << int(math.log2(max(1, min(MOST, math.sqrt(rows) / 2, taught / 48))))
+
+
 def nearest(table: DataFrame, is_query: Column, k: int = 10, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding",
-            sample: int = SAMPLE, rows_each: int = ROWS) -> DataFrame:
+            sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` (a condition on _id), the k nearest found and their distances."""
     points = written(vectors.usable(table, id_col, vector_col).where(F.exists("_vec", lambda x: x != 0)), "vectors")
     n = points.count()
@@ -206,8 +211,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, target: float = TAR
     dimension = int(sizes.mode().iloc[0]) if len(drawn) else 1
     taught = np.stack(drawn.loc[sizes == dimension, "_vec"].tolist()).astype(float) if len(drawn) else np.ones((1, 1))
     taught = taught[np.random.default_rng(1).permutation(len(taught))]
-    parts = min(MOST, 1 << max(0, int(math.log2(max(1, n / rows_each))))) if n < 2 * rows_each or len(taught) < 64 else \
-        min(MOST, 1 << int(math.log2(n / rows_each)), 1 << int(math.log2(max(1, len(taught) / 48))))
+    parts = partitions_for(n, len(taught))
     router = learn(taught, parts, k, target)
     points = points.where(F.size("_vec") == dimension)
 

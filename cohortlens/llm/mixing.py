@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import WORD, positions, written
+from cohortlens.llm.common import WORD, own_names, positions, written
 
 #: The offset of a source has so many random bits, so that position x rate + offset stays exact.
 OFFSET_BITS = 20
@@ -84,6 +84,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
                     (F.col("copies") * F.col("_size")).alias("taken")))
 
 
+@own_names
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each row of ``docs``, all its columns, as often as it is taken.
 

@@ -21,6 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import own_names
 from cohortlens.session import fresh_path
 
 
@@ -48,17 +49,22 @@ def _either_case(words: str) -> str:
     return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", words)
 
 
-#: A private key: from its header to the next END line, or over the base64 lines and long base64 runs that follow where another key begins or the text ends first.
-PRIVATE_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
-               r"|(?:\s*\n(?:Proc-Type|DEK-Info):[^\n]*)*"
-               r"(?:\s*\n[ \t]*[A-Za-z0-9+/]+={0,2}(?=[ \t\r]*(?:\n|\Z))|(?:\s|\\[nrt])+[A-Za-z0-9+/]{40,}={0,2})*)")
+#: A private key: its header, then header fields, base64 lines of 16 or more characters (or runs of 40 or more), a shorter last line
+#: that ends with =, before the END line or at the text's end, and the END line; header and END line alone where something else stands between.
+_BASE64, _GAP = "[A-Za-z0-9+/]", r"(?:\s|\\[nrt])"
+PRIVATE_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+               r"(?:\s*\n(?:Proc-Type|DEK-Info):[^\n]*)*"
+               rf"(?:(?:(?:\s*\n[ \t]*|(?:\\[nrt])+){_BASE64}{{16,}}={{0,2}}(?=[ \t\r]*(?:\n|\Z|\\[nrt]|-----END))|{_GAP}*{_BASE64}{{40,}}={{0,2}})+"
+               rf"(?:{_GAP}+{_BASE64}{{1,15}}(?:={{1,2}}(?![A-Za-z0-9+/=])|(?=\s*\Z|{_GAP}*-----END [A-Z ]*PRIVATE KEY)))?)?"
+               rf"(?:{_GAP}*-----END [A-Z ]*PRIVATE KEY-----)?"
+               r"|-----END [A-Z ]*PRIVATE KEY-----")
 RULES = (
     Rule("assign", 1, "(" + _either_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
          group=2, least=6, hints=("password", "passwd", "secret", "token", "apikey", "api_key")),
     Rule("access", 1, "AKIA[A-Z0-9]+", least=20, hints=("akia",)),
     Rule("hex", 1, "[0-9a-f]+", least=24),
-    Rule("private_key", 2, PRIVATE_KEY, hints=("private key-----",)),
-    Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hints=("eyj",)),
+    Rule("private_key", 3, PRIVATE_KEY, hints=("private key-----",)),
+    Rule("web_token", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hints=("eyj",)),
 )
 BASE = ("assign", "access", "hex")
 SPANS = "array<struct<start: long, order: int, end: long, kind: string>>"
@@ -151,21 +157,30 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledg
                         F.sha2(written_spans(F.col("spans"), BASE), 256).alias("base_sha256"), written_spans(F.col("spans")).alias("spans"))
 
 
+def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
+    """``text`` with the spans (by start) replaced; overlapping ones become one mask."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+@own_names
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", ledger: BlobLedger | None = None) -> DataFrame:
     """``docs``, all columns and rows, with every span of a secret in the text replaced by ``mask``.
 
-    Overlapping spans become one mask. Texts without secrets are left as they are (null stays null).
+    Overlapping spans become one mask. Texts without secrets are left as they are (null stays null) and aren't sent to Python;
+    a text with secrets is written in one pass over its spans. Other columns may have any names.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    found = ledger.scan(docs.withColumnRenamed("spans", "_own_spans") if "spans" in docs.columns else docs, text_col)
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        upto = F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], upto, F.lit(mask))).alias("out"))
-
-    masked = F.aggregate("spans", state, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    out = found.withColumn(text_col, F.when(F.size("spans") > 0, masked).otherwise(F.col(text_col))).drop("spans")
-    return out.withColumnRenamed("_own_spans", "spans") if "spans" in docs.columns else out
+
+    @F.pandas_udf("string")
+    def write(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked(t, list(zip(a, b, strict=True)), mask) for t, a, b in zip(texts, starts, ends, strict=True)])
+
+    found, hit = ledger.scan(docs, text_col), F.size("spans") > 0
+    text = F.col(text_col).cast("string")
+    new = write(F.when(hit, text), F.col("spans.start"), F.col("spans.end"))
+    return found.withColumn(text_col, F.when(hit, new).otherwise(text)).drop("spans")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import golay
-from cohortlens.llm.common import parts_for, written
+from cohortlens.llm.common import own_names, parts_for, written
 from cohortlens.llm.graph import components, forest
 
 SEED = 42
@@ -178,6 +178,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_co
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@own_names
 def keep_one(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (null ids last).
 

@@ -163,3 +163,26 @@ def test_remembered_chunks_are_dropped_but_not_added_tokens(vocabulary, as_loade
     encoder = Encoder(vocabulary, encode_special_tokens=False)
     for text in ("a b c d <|endoftext|>", "e f<|endoftext|>g h", "i<|endoftext|>"):
         assert list(encoder.ids([text])[0]) == as_loaded(text)
+
+
+@pytest.mark.parametrize("n", [1, 2, 9_998, 9_999, 10_000, 10_001, 60_000, 2_000_000])
+def test_white_space_runs_of_any_length(vocabulary, as_loaded, n):
+    """Blanks, tabs, line ends and mixes, alone, at both ends and inside, as the tokenizers library encodes them."""
+    encoder = Encoder(vocabulary, encode_special_tokens=False)
+    runs = [" " * n, "\n" * n] if n > 100_000 else [" " * n, "\t" * n, "\n" * n, ("\n  \t\u00a0" * n)[:n]]
+    texts = [t for r in runs for t in ([r, f"a{r}b", f"{r}b c"] if n > 100_000 else [r, f"a{r}b", f"a{r}", f"{r}b c", f"x<|endoftext|>{r}<|endoftext|>{r}!", f"!{r}\x1c{r}1"])]
+    for t, ids in zip(texts, encoder.ids(texts), strict=True):
+        assert ids.tolist() == as_loaded(t)
+
+
+def test_control_characters_are_no_white_space(vocabulary, as_loaded):
+    encoder, texts = Encoder(vocabulary, encode_special_tokens=False), ["!\x1c \n!\x1c", "a\x1c  b\x1d\x1e!", "!\x1f", "\x1cfoo", "\x85 \x85x"]
+    for t, ids in zip(texts + texts, encoder.ids(texts) + encoder.ids(texts), strict=True):
+        assert ids.tolist() == as_loaded(t)
+
+
+def test_pack_a_document_of_white_space(make, vocabulary):
+    rows = [(1, " " * 1_000_000, "en", "s", 0), (2, "word" + "\t" * 1_000_000 + "word", "en", "s", 0), (3, "few words", "en", "s", 0)]
+    got = packing.pack(make(rows, DOCS), vocabulary).collect()
+    check_sequences(got)
+    assert {r.doc_id for r in got} == {1, 2, 3}

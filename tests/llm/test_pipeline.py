@@ -50,3 +50,24 @@ def test_registered():
     named = {q.split("_")[0] for q in entry.queries()}
     assert {f"op{n}" for n in range(1, 11)} <= named
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_odd_rows_and_clashing_columns_go_through_all_stages(spark, odd_docs, make):
+    names = ["_score", "score", "_body", "_row", "_length", "_own", "_size", "spans", "_at", "_copies", "row", "size"]
+    extra = ", ".join(f"{n} string" for n in names)
+    rows = [(*tuple(r)[:5], *[f"{n}-{i}" for n in names]) for i, r in enumerate(odd_docs.collect())] + [
+        (20, "password = hunter2hunter2 here", "en", "b", 30, *[f"{n}-20" for n in names])]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    for start in (make(rows, schema), make([], schema)):
+        docs = written(start, "test-odd")
+        want = {tuple(r[5:]) for r in rows}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs.count()
+            docs = written(stage(spark, docs, SF), "test-odd")
+            assert docs.columns == start.columns, name
+            got = [tuple(r)[5:] for r in docs.collect()]
+            assert set(got) <= want and (before == 0) == (len(got) == 0), name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        check_sequences(pieces)
+        if before:
+            assert "[SECRET]" in {r.doc_id: r.text for r in docs.collect()}.get(20, "[SECRET]")

@@ -82,7 +82,7 @@ def clustered():
 def test_nearest_prunes_and_reaches_the_recall(make, clustered, monkeypatch):
     monkeypatch.setattr(learned_index, "SHARD", 700)
     monkeypatch.setattr(learned_index, "QUERIES", 8)
-    got = found(learned_index.nearest(table(make, clustered), F.col("_id") % 100 == 0, sample=1500, rows_each=300))
+    got = found(learned_index.nearest(table(make, clustered), F.col("_id") % 100 == 0, sample=1500))
     x, hit = clustered.astype(float), 0
     for q in range(0, 6000, 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
@@ -104,3 +104,19 @@ def test_nearest_of_few_and_odd(make):
     same = table(make, np.ones((30, 3)))
     assert found(learned_index.nearest(same, F.col("_id") == 20)) == {20: [(i, 0.0) for i in range(10)]}
     assert math.isclose(found(learned_index.nearest(table(make, [[1.0, 0.0], [0.0, 1.0]]), F.col("_id") == 0))[0][0][1], math.sqrt(2))
+
+
+def test_given_vectors_go_through_partitions(spark):
+    """Even 500 vectors are dealt to several partitions, and recall against brute force is at least 0.9."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = found(learned_index.nearest(rows, F.col("_id") % 100 == 0))
+    ids, x = zip(*[(r.vec_id, r.embedding) for r in rows.orderBy("vec_id").collect()])
+    ids, x = np.array(ids), np.array(x, dtype=float)
+    hit = n = 0
+    for q in range(0, 2000, 100):
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        hit += len({i for i, _ in got[q]} & set(ids[np.argsort(d, kind="stable")[:10]].tolist()))
+        n += 10
+    assert hit / n >= 0.9
+    assert learned_index.partitions_for(2000, 2000) == 16 and learned_index.partitions_for(500, 500) == 8

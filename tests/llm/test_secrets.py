@@ -1,3 +1,4 @@
+import time
 import hashlib
 import re
 
@@ -85,3 +86,26 @@ def test_private_keys_are_masked_with_their_body(make):
     }
     got = {r.doc_id: r.text for r in secrets.redact(make([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)).collect()}
     assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_prose_between_markers_stays(make):
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    prose = "and this is how a key file begins in all manuals of the world; nothing here is secret " * 6
+    texts = {f"see {begin} {prose}{end} z": f"see [SECRET] {prose}[SECRET] z",
+             f"{begin}\nIntroduction\nChapter\nmore": "[SECRET]\nIntroduction\nChapter\nmore"}
+    got = {r.doc_id: r.text for r in secrets.redact(make([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert [got[i] for i in range(2)] == list(texts.values())
+
+
+def test_many_spans_and_long_runs_are_linear(make):
+    digests = "\n".join(f"{i:032x}" for i in range(50_000))
+    key = "-----BEGIN PRIVATE KEY-----" + " \n" * 300_000
+    rows = [(1, digests, "en", "s", 0), (2, "eyJ" * 350_000, "en", "s", 0), (3, key, "en", "s", 0), (4, "eyJ" + "a" * 9 + "." + "b" * 9 + ".c", "en", "s", 0)]
+    start = time.time()
+    got = {r.doc_id: r.text for r in secrets.redact(make(rows, DOCS)).collect()}
+    assert time.time() - start < 60
+    assert got[1] == "\n".join(["[SECRET]"] * 50_000) and got[2] == rows[1][1] and got[3].startswith("[SECRET]") and got[4] == "[SECRET]"
+
+
+def test_overlapping_spans_become_one_mask():
+    assert secrets.masked("abcdefgh", [(1, 4), (2, 3), (3, 6), (6, 7)], "#") == "a##h"
