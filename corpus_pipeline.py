@@ -2,7 +2,9 @@
 
 ``run`` applies the stages to ``documents`` one after the other; each stage's
 rows are written to the shared folder and read again as the next one's input.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents; further columns of any
+name come along unchanged. Null ids, texts, languages and sources, empty texts
+and repeated rows go through all stages; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,10 +18,13 @@ from cohortlens.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier scores below its language's threshold."""
+    """The documents that the classifier scores below its language's threshold.
+
+    A null or empty text is scored like any other; repeated rows go or stay together; an empty table stays empty.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, out="_score")
-    return scored.where(F.col("_score") < toxicity.language_threshold(model)).drop("_score")
+    scored = toxicity.score(docs.select(F.struct(*docs.columns).alias("row"), "text", "lang"), model)
+    return scored.where(F.col("score") < toxicity.language_threshold(model)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +33,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in the text; n_chars changes as the text's length does."""
-    masked = secrets.redact(docs.withColumn("_length", F.length("text")))
-    grown = F.coalesce(F.length("text") - F.col("_length"), F.lit(0))
-    return masked.withColumn("n_chars", (F.col("n_chars") + grown).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """All documents, with secrets masked in the text; n_chars changes as the text's length does (a null n_chars stays null)."""
+    masked = secrets.redact(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    grown = F.coalesce(F.length("text") - F.length("row.text"), F.lit(0))
+    n_chars = (F.col("row.n_chars") + grown).cast(docs.schema["n_chars"].dataType)
+    return masked.select(F.col("row").withField("text", F.col("text")).withField("n_chars", n_chars).alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
