@@ -7,11 +7,15 @@ applying to all rows keeps validation rows out of the fit.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators import ranking
 from cohortlens.operators.ranking import quantile_dict, unpivot
 
 
@@ -80,6 +84,19 @@ def fit_transform_impute(train: DataFrame, target: DataFrame, num_cols: Sequence
     return apply_fill(target, fit_impute(train, num_cols, cat_cols))
 
 
+def cross_impute(df: DataFrame, fold_col: str, folds: Sequence[int], num_cols: Sequence[str], cat_cols: Sequence[str] = ()) -> DataFrame:
+    """Every row once, missing values filled by a fit on the rows of all other folds: one scan applies all folds' fills."""
+    medians = fold_fits(df, num_cols, num_cols, fold_col, folds) if num_cols else {}
+    fills = {int(k): (medians[int(k)]["fills"] if num_cols else {}) | (fit_mode(df.where(F.col(fold_col) != k), cat_cols) if cat_cols else {})
+             for k in folds}
+    filled = {}
+    for c in (*num_cols, *cat_cols):
+        by_fold = [F.when(F.col(fold_col) == k, F.lit(f[c])) for k, f in fills.items() if f[c] is not None]
+        if by_fold:
+            filled[c] = F.coalesce(_q(c), *by_fold)
+    return df.withColumns(filled)
+
+
 def fit_robust_scale(train: DataFrame, cols: Sequence[str]) -> dict:
     """(median, IQR) per column on training rows; IQR 0 (or undefined) -> 1."""
     q = quantile_dict(train, cols, [0.25, 0.5, 0.75])
@@ -98,3 +115,79 @@ def apply_robust_scale(df: DataFrame, fitted: Mapping[str, tuple[float, float]])
 
 def robust_scale(train: DataFrame, target: DataFrame, cols: Sequence[str]) -> DataFrame:
     return apply_robust_scale(target, fit_robust_scale(train, cols))
+
+
+def fold_fits(df: DataFrame, cols: Sequence[str], impute_cols: Sequence[str], fold_col: str, folds: Sequence[int]) -> dict[int, dict]:
+    """For every fold what its training part (the rows of all other folds) gives: {"fills": {col: median}, "scale": {col: (median, IQR)}}.
+
+    The scale is that of the filled columns.  All folds come from one count of
+    (column, value) by fold: a training part's counts are the total less the
+    fold's.  Tables of more than ``ranking.SMALL_DISTINCT`` rows go through rank
+    brackets instead, with one column for each (column, fold) in the same scans.
+    Undefined or zero IQRs are 1, as in ``fit_robust_scale``.
+    """
+    folds, cols = [int(k) for k in folds], list(dict.fromkeys([*cols, *impute_cols]))
+    own = df.select(F.col(fold_col).alias("_fold"), *[_q(c).cast("double").alias(c) for c in cols])
+    if df.count() <= ranking.SMALL_DISTINCT:
+        found = _fold_quantiles(own, cols, set(impute_cols), folds)
+    else:
+        found = _fold_brackets(own, cols, set(impute_cols), folds)
+    out = {}
+    for k in folds:
+        scale = {}
+        for c in cols:
+            med, q1, q2, q3 = found.get((c, k), (None, None, None, None))
+            iqr = q3 - q1 if q1 is not None else None
+            scale[c] = (q2 if q2 is not None else 0.0, iqr if iqr else 1.0)
+        out[k] = {"fills": {c: found.get((c, k), (None,))[0] for c in impute_cols}, "scale": scale}
+    return out
+
+
+def _fold_quantiles(own: DataFrame, cols: list[str], filled: set[str], folds: list[int]) -> dict:
+    """{(column, fold): (median, q25, q50, q75)} from counts by value; a column has at most SMALL_DISTINCT of them."""
+    counts = (unpivot(own, cols, ["_fold"]).select("feature", "_fold", F.when(~F.isnan("value"), F.col("value")).alias("value"))
+              .groupBy("feature", "value", "_fold").agg(F.count(F.lit(1)).alias("n")))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        name, missing = b["feature"].iloc[0], b["value"].isna()
+        values, at = np.unique(b.loc[~missing, "value"].to_numpy(), return_inverse=True)
+        rows = []
+        for k in folds:
+            train = (b["_fold"] != k).to_numpy() & b["_fold"].notna().to_numpy()
+            n = np.bincount(at, weights=(b["n"] * train)[~missing].to_numpy(), minlength=len(values)).astype(np.int64)
+            lost = int((b["n"] * train)[missing].sum())
+            if not n.sum():
+                continue
+            med = _at_share(values, n, 0.5)
+            if name in filled and lost:
+                place = int(np.searchsorted(values, med))
+                n2, v2 = np.insert(n, place, lost), np.insert(values, place, med)
+            else:
+                n2, v2 = n, values
+            rows.append((name, k, med, *[_at_share(v2, n2, p) for p in (0.25, 0.5, 0.75)]))
+        return pd.DataFrame(rows, columns=["feature", "fold", "med", "q1", "q2", "q3"])
+
+    got = counts.groupBy("feature").applyInPandas(run, "feature string, fold int, med double, q1 double, q2 double, q3 double").collect()
+    return {(r["feature"], r["fold"]): (r["med"], r["q1"], r["q2"], r["q3"]) for r in got}
+
+
+def _at_share(values: np.ndarray, counts: np.ndarray, p: float) -> float:
+    """The interpolated quantile of sorted values with counts."""
+    ends = np.cumsum(counts)
+    pos = p * (int(ends[-1]) - 1)
+    lo, hi = (float(values[np.searchsorted(ends, r, side="right")]) for r in (math.floor(pos), math.ceil(pos)))
+    return lo + (hi - lo) * (pos - math.floor(pos))
+
+
+def _fold_brackets(own: DataFrame, cols: list[str], filled: set[str], folds: list[int]) -> dict:
+    """The same for large tables: each training part's column is a column of its own."""
+    def parts(of) -> tuple[DataFrame, dict]:
+        names = {f"c{i}_{k}": (c, k) for i, c in enumerate(cols) for k in folds}
+        return own.select(*[F.when(F.col("_fold") != k, of(c, k)).alias(n) for n, (c, k) in names.items()]), names
+
+    wide, names = parts(lambda c, k: _q(c))
+    med = {names[f]: q for f, _, q in ranking.bracket_quantiles(wide, list(names), [0.5])}
+    value = lambda c: F.when(~F.isnan(_q(c)), _q(c))
+    wide, names = parts(lambda c, k: F.coalesce(value(c), F.lit(med.get((c, k))).cast("double")) if c in filled else _q(c))
+    q = {(names[f], p): x for f, p, x in ranking.bracket_quantiles(wide, list(names), [0.25, 0.5, 0.75])}
+    return {key: (m, *[q.get((key, p)) for p in (0.25, 0.5, 0.75)]) for key, m in med.items()}

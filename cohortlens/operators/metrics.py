@@ -73,7 +73,8 @@ def mann_whitney(df: DataFrame, value_col: str, label_col: str, keys: Sequence[s
     """Two-sided Mann-Whitney U test between label 1 and label 0.
 
     U1 = AUC * n1 * n0 (midranks); tie-corrected normal approximation with
-    continuity correction; p = erfc(z / sqrt 2).
+    continuity correction; p = erfc(z / sqrt 2).  Without rows of one class, or with
+    one value only (no variance), z and p_value are NULL.
     """
     keys = list(keys)
     sc = score_counts(df, value_col, label_col, keys)
@@ -86,9 +87,9 @@ def mann_whitney(df: DataFrame, value_col: str, label_col: str, keys: Sequence[s
     )
     n = F.col("n1") + F.col("n0")
     mu = F.col("n1") * F.col("n0") / 2.0
-    sigma = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))
+    sigma = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.coalesce(F.try_divide(F.col("tie"), n * (n - 1)), F.lit(0.0))))
     u = F.greatest(F.col("u1"), F.col("n1") * F.col("n0") - F.col("u1"))
-    z = (u - mu - 0.5) / sigma
+    z = F.try_divide(u - mu - 0.5, F.when(sigma > 0, sigma))
     p = F.least(F.lit(1.0), F.lit(2.0) * (F.lit(0.5) * erfc_expr(z / math.sqrt(2.0))))
     return agg.select(
         *keys, F.round("u1", 6).alias("u"), F.round(z, 6).alias("z"),

@@ -114,7 +114,8 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
     One scan and one shuffle: values are unpivoted as strings (float NaN turned to
     NULL first), counted per (feature, value) with map-side combine, and the
-    per-feature missing and distinct counts are read off that table.
+    per-feature missing and distinct counts are read off that table.  An empty
+    table has a row for each column: 0 missing and distinct values, NULL percent.
     """
     cols = list(cols or df.columns)
     spark = df.sparkSession
@@ -130,18 +131,20 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     )
     meta = spark.createDataFrame([(c, i, _dtype_name(df.schema[c].dataType)) for i, c in enumerate(cols)],
                                  "feature string, ordinal int, dtype string")
-    return F.broadcast(meta).join(per, "feature").select(
+    missing, distinct = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n_missing", "n_distinct"))
+    return meta.join(per, "feature", "left").select(
         "feature", "ordinal", "dtype",
-        F.col("n_missing").cast("long").alias("n_missing"),
-        F.round(F.col("n_missing") * 100.0 / F.col("_n"), 6).alias("pct_missing"),
-        F.col("n_distinct").cast("long").alias("n_distinct"),
-        (F.col("n_missing") > 0).cast("int").alias("has_missing"),
+        missing.alias("n_missing"),
+        F.round(F.try_divide(missing * 100.0, F.col("_n")), 6).alias("pct_missing"),
+        distinct.alias("n_distinct"),
+        (missing > 0).cast("int").alias("has_missing"),
     )
 
 
 def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std (n-1), min, q25, q50, q75, max per numeric column."""
+    """count, mean, std (n-1), min, q25, q50, q75, max per numeric column; a column without values has count 0 and NULLs."""
     long = unpivot(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
     basic = long.groupBy("feature").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -153,8 +156,8 @@ def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     qw = q.groupBy("feature").agg(
         *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
     )
-    return basic.join(qw, "feature", "left").select(
-        "feature", "count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]
+    return names.join(basic, "feature", "left").join(qw, "feature", "left").select(
+        "feature", F.coalesce("count", F.lit(0)).alias("count"), *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]
     )
 
 
@@ -186,20 +189,26 @@ def top_k_others(df: DataFrame, col: str, k: int, others: str = "others") -> Dat
 
 
 def iqr_outliers(df: DataFrame, col: str) -> DataFrame:
-    """Rows outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR]: bounds, count, %, min, max."""
+    """Rows outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR]: bounds, count, %, min, max.
+
+    NaN counts as missing.  Without values (an all-missing column, an empty table)
+    there are 0 outliers and all else is NULL.
+    """
     q = exact_quantiles(df, [col], [0.25, 0.75]).collect()
     qd = {float(r["p"]): r["q"] for r in q}
     q1, q3 = qd.get(0.25), qd.get(0.75)
-    iqr = q3 - q1
-    lo, hi = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-    x = F.col(col)
-    out = (x < F.lit(lo)) | (x > F.lit(hi))
+    lo, hi = (None, None) if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    x = F.col(col).cast("double")
+    x = F.when(~F.isnan(x), x)
+    bound = lambda v: F.lit(v).cast("double")
+    out = F.coalesce((x < bound(lo)) | (x > bound(hi)), F.lit(False))
+    n_out = F.coalesce(F.sum(out.cast("long")), F.lit(0))
     return df.agg(
         F.lit(col).alias("feature"),
-        F.round(F.lit(q1), 6).alias("q1"), F.round(F.lit(q3), 6).alias("q3"),
-        F.round(F.lit(lo), 6).alias("lower"), F.round(F.lit(hi), 6).alias("upper"),
-        F.sum(out.cast("long")).alias("n_outliers"),
-        F.round(F.sum(out.cast("long")) * 100.0 / F.count(x), 6).alias("pct_outliers"),
+        F.round(bound(q1), 6).alias("q1"), F.round(bound(q3), 6).alias("q3"),
+        F.round(bound(lo), 6).alias("lower"), F.round(bound(hi), 6).alias("upper"),
+        n_out.alias("n_outliers"),
+        F.round(F.try_divide(n_out * 100.0, F.count(x)), 6).alias("pct_outliers"),
         F.round(F.min(F.when(out, x)), 6).alias("min_outlier"),
         F.round(F.max(F.when(out, x)), 6).alias("max_outlier"),
     )
@@ -216,18 +225,18 @@ def outlier_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             shares.append(F.lit(None).cast("double").alias(c))
             continue
         out = (x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))
-        shares.append(F.round(F.sum(out.cast("long")) * 100.0 / F.count(x), 6).alias(c))
+        shares.append(F.round(F.try_divide(F.sum(out.cast("long")) * 100.0, F.count(x)), 6).alias(c))
     return df.agg(*shares).unpivot([], list(cols), "feature", "pct_outliers")
 
 
 def corrected_skewness(x) -> F.Column:
-    """Bias-corrected sample skewness (pandas / DuckDB): g1 * sqrt(n(n-1)) / (n-2)."""
+    """Bias-corrected sample skewness (pandas / DuckDB): g1 * sqrt(n(n-1)) / (n-2); NULL for fewer than 3 values or without variance."""
     n = F.count(x).cast("double")
-    return F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.when((n > 2) & (F.min(x) < F.max(x)), F.try_divide(F.skewness(x) * F.sqrt(n * (n - 1)), n - 2))
 
 
 def skewness_check(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per column: corrected skewness and bands (>1 moderate, >2 high)."""
+    """Per column: corrected skewness and bands (>1 moderate, >2 high); a column without a skewness is NULL and "low"."""
     long = unpivot(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
     s = long.groupBy("feature").agg(corrected_skewness(F.col("value")).alias("skew"))
     a = F.abs("skew")
@@ -324,7 +333,7 @@ def recount_validation(source_counts: DataFrame, transformed_counts: DataFrame)
 
 
 def proportion_drift(df: DataFrame, class_col: str, split_col: str, tolerance_pp: float = 0.5) -> DataFrame:
-    """Class % in all rows, train and test; OK when both within ``tolerance_pp`` points of all."""
+    """Class % in all rows, train and test; OK when both within ``tolerance_pp`` points of all (a part without rows: NULL, DRIFT)."""
     g = df.groupBy(F.col(class_col).alias("class")).agg(
         F.count(F.lit(1)).alias("n_all"),
         F.sum((F.col(split_col) == "train").cast("long")).alias("n_train"),
@@ -334,8 +343,8 @@ def proportion_drift(df: DataFrame, class_col: str, split_col: str, tolerance_pp
     p = g.select(
         "class",
         (F.col("n_all") * 100.0 / F.sum("n_all").over(w)).alias("pct_all"),
-        (F.col("n_train") * 100.0 / F.sum("n_train").over(w)).alias("pct_train"),
-        (F.col("n_test") * 100.0 / F.sum("n_test").over(w)).alias("pct_test"),
+        F.try_divide(F.col("n_train") * 100.0, F.sum("n_train").over(w)).alias("pct_train"),
+        F.try_divide(F.col("n_test") * 100.0, F.sum("n_test").over(w)).alias("pct_test"),
     )
     ok = (F.abs(F.col("pct_train") - F.col("pct_all")) <= tolerance_pp) & (F.abs(F.col("pct_test") - F.col("pct_all")) <= tolerance_pp)
     return p.select(

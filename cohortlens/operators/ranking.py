@@ -219,24 +219,24 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles (``quantile_cont`` semantics) for many columns.
 
-    Returns (by..., feature, p, q).  Missing and NaN values are ignored.  Work is
-    one shuffle to distinct (feature, value) counts, one approximate-percentile
-    pass for bucket bounds, and windows inside buckets; no task holds a whole
-    column, and a value repeated in a third of all rows is one row after the
-    first aggregation.
+    Returns (by..., feature, p, q).  Missing and NaN values are ignored; a column
+    without values has no rows.  Tables of at most ``SMALL_DISTINCT`` rows go
+    through one shuffle of distinct (feature, value) counts.  Larger ones without
+    ``by`` are answered by rank brackets (``bracket_quantiles``), which shuffle only
+    the values next to the wanted ranks; with ``by`` by distinct counts, bucket
+    bounds and windows inside buckets.  No task holds a whole column, and a value
+    repeated in a third of all rows is one row after the first aggregation.
     """
     by = list(by)
+    small = df.count() <= SMALL_DISTINCT
+    if not by and not small:
+        found = bracket_quantiles(df, cols, probs)
+        return df.sparkSession.createDataFrame(found, "feature string, p double, q double")
     long = unpivot(df, cols, by).where(F.col("value").isNotNull() & ~F.isnan("value"))
     keys = [*by, "feature"]
     vc = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
-    # size check: when every group has few distinct values, Spark's exact percentile over the
-    # (value, count) table holds at most that many entries per group - one aggregate suffices
-    # (an HLL estimate from one scan with partial aggregation; both paths are exact, the
-    # check only picks the memory-safe one, so a 25% margin covers the estimate's error)
-    est = long.groupBy(*keys).agg(F.approx_count_distinct("value", 0.02).alias("nd")).agg(F.max("nd")).first()[0]
-    if est is None:
-        return vc.select(*keys, F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("q")).limit(0)
-    if est * 1.25 <= SMALL_DISTINCT:
+    # so few rows: Spark's exact percentile over the (value, count) table holds at most that many entries per group
+    if small:
         arr = F.percentile(F.col("value"), [float(p) for p in probs], F.col("c"))
         res = vc.groupBy(*keys).agg(arr.alias("_qs"))
         pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_qs").alias("q"))
@@ -273,6 +273,99 @@ def exact_quantiles(
     return res.select(*keys, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("q"))
 
 
+#: Accuracy of the sketches that bracket a rank (their error is 1 / accuracy of the rows), values of a bracket that one task
+#: may rank, and columns of one scan.
+SKETCH_ACCURACY, BRACKET_ROWS, SCAN_COLUMNS = 2000, 1_000_000, 40
+
+
+def bracket_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int | None = None,
+                      limit: int | None = None) -> list[tuple[str, float, float]]:
+    """(feature, p, q): exact interpolated quantiles of a large table by rank brackets.
+
+    1. One scan sketches every column around the wanted ranks, which gives each
+       a bracket of two values.
+    2. One scan counts the values below and inside each bracket.  A bracket that
+       misses its ranks is widened; one that still holds more than ``limit`` values
+       is sketched again inside and narrowed.
+    3. Only the values inside are counted by value, shuffled and ranked: about
+       8 / accuracy of the rows for each quantile, a value that is repeated once
+       for each task.
+
+    The driver holds two numbers for each (column, p).  Nulls and NaN take no part;
+    a column without values has no rows.
+    """
+    accuracy, limit = accuracy or SKETCH_ACCURACY, limit or BRACKET_ROWS
+    found: list[tuple[str, float, float]] = []
+    for at in range(0, len(cols), SCAN_COLUMNS):
+        found += _brackets(df, list(cols[at: at + SCAN_COLUMNS]), [float(p) for p in probs], accuracy, limit)
+    return found
+
+
+def _brackets(df: DataFrame, cols: list[str], probs: list[float], accuracy: int, limit: int) -> list[tuple[str, float, float]]:
+    def value(c: str) -> Column:
+        x = F.col(f"`{c}`").cast("double")
+        return F.when(~F.isnan(x), x)
+
+    def sketch(x: Column, shares: list[float]) -> Column:
+        return F.percentile_approx(x, [min(1.0, max(0.0, v)) for v in shares], accuracy)
+
+    margin = 2.0 / accuracy
+    first = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count(value(c)).alias(f"n{i}"), sketch(value(c), [v for p in probs for v in (p - margin, p + margin)]).alias(f"s{i}"))]).first()
+    # of each (column, p): the two ranks, the bracket, values below and inside it
+    state = []
+    for i, c in enumerate(cols):
+        n = first[f"n{i}"]
+        for j, p in enumerate(probs if n else []):
+            pos = p * (n - 1)
+            state.append({"col": c, "p": p, "lo_rank": math.floor(pos), "hi_rank": math.ceil(pos), "frac": pos - math.floor(pos), "n": n,
+                          "low": -math.inf, "high": math.inf, "below": 0, "inside": n, "margin": margin,
+                          "try": (first[f"s{i}"][2 * j], first[f"s{i}"][2 * j + 1])})
+    while todo := [s for s in state if "try" in s]:
+        counted = df.agg(*[e for k, s in enumerate(todo) for e in (
+            F.count(F.when(value(s["col"]) < F.lit(s["try"][0]), 1)).alias(f"b{k}"),
+            F.count(F.when(value(s["col"]).between(F.lit(s["try"][0]), F.lit(s["try"][1])), 1)).alias(f"i{k}"))]).first()
+        again = []
+        for k, s in enumerate(todo):
+            (low, high), below, inside = s.pop("try"), counted[f"b{k}"], counted[f"i{k}"]
+            if below <= s["lo_rank"] and s["hi_rank"] < below + inside:
+                stuck = inside >= s["inside"]
+                s |= {"low": low, "high": high, "below": below, "inside": inside}
+                if inside <= limit or low == high or stuck:
+                    continue
+            else:
+                s["margin"] *= 4  # missed: look wider
+                if s["margin"] > 1:
+                    continue  # the bracket it had holds the ranks
+            again.append(s)
+        if again:
+            inner = df.agg(*[sketch(F.when(value(s["col"]).between(F.lit(s["low"]), F.lit(s["high"])), value(s["col"])),
+                                    [(s["lo_rank"] - s["below"]) / s["inside"] - s["margin"], (s["hi_rank"] + 1 - s["below"]) / s["inside"] + s["margin"]])
+                             .alias(f"s{k}") for k, s in enumerate(again)]).first()
+            for k, s in enumerate(again):
+                s["try"] = (inner[f"s{k}"][0], inner[f"s{k}"][1])
+    out = [(s["col"], s["p"], s["low"]) for s in state if s["low"] == s["high"]]
+    rest = [s for s in state if s["low"] != s["high"]]
+    if rest:
+        out += _ranked_inside(df, rest, value)
+    return out
+
+
+def _ranked_inside(df: DataFrame, brackets: list[dict], value) -> list[tuple[str, float, float]]:
+    """The quantiles from the values inside the brackets, counted by value."""
+    inside = F.array(*[F.when(value(s["col"]).between(F.lit(s["low"]), F.lit(s["high"])), F.struct(F.lit(k).alias("k"), value(s["col"]).alias("value")))
+                       for k, s in enumerate(brackets)])
+    counts = (df.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("_x")).select("_x.k", "_x.value")
+              .groupBy("k", "value").agg(F.count(F.lit(1)).alias("c")))
+    upto = Window.partitionBy("k").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = df.sparkSession.createDataFrame([(k, s["lo_rank"] - s["below"], s["hi_rank"] - s["below"]) for k, s in enumerate(brackets)],
+                                            "k int, _lo long, _hi long")  # one row for each (column, p)
+    ranked = counts.withColumn("_end", F.sum("c").over(upto)).join(F.broadcast(ranks), "k")
+    at = lambda r: (F.col(r) < F.col("_end")) & (F.col(r) >= F.col("_end") - F.col("c"))
+    rows = ranked.groupBy("k").agg(F.max(F.when(at("_lo"), F.col("value"))).alias("lo"), F.max(F.when(at("_hi"), F.col("value"))).alias("hi")).collect()
+    return [(brackets[r["k"]]["col"], brackets[r["k"]]["p"], r["lo"] + (r["hi"] - r["lo"]) * brackets[r["k"]]["frac"]) for r in rows]
+
+
 def quantile_dict(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict:
     """Fitted quantiles as {(feature, p): q}; result size is len(cols) x len(probs)."""
     rows = exact_quantiles(df, cols, probs).collect()

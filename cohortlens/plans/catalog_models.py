@@ -14,7 +14,7 @@ from cohortlens.operators import neighbors, resample
 from cohortlens.operators.metrics import delta_verdict
 from cohortlens.plans import fixtures as fx
 from cohortlens.plans import workflow as wf
-from cohortlens.plans.learners import apply_gaussian_nb, fit_gaussian_nb
+from cohortlens.plans.learners import apply_gaussian_nb, fit_gaussian_nb_folds
 from cohortlens.plans.registry import query
 from cohortlens.sources.tables import load, survey
 
@@ -222,23 +222,29 @@ def q_baseline_vs_extended(spark, sf):
 NB_FEATS = ["x1", "x2", "idade"]
 
 
-def _nb_sql():
-    e = "(SELECT 1e-9 * greatest(" + ", ".join(f"var_pop({c})" for c in NB_FEATS) + ") FROM tr)"
+def _nb_fold_sql(k: int) -> str:
+    e = "(SELECT 1e-9 * greatest(" + ", ".join(f"var_pop({c})" for c in NB_FEATS) + f") FROM folds WHERE fold <> {k})"
     stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) + {e} AS v_{c}" for c in NB_FEATS)
     joint = "ln(prior)" + "".join(
         f" - 0.5 * ln(2.0 * pi() * v_{c}) - (te.{c} - m_{c}) * (te.{c} - m_{c}) / (2.0 * v_{c})" for c in NB_FEATS)
-    return f"""WITH {fx.FOLDS_CTE}, tr AS (SELECT * FROM folds WHERE fold <> 0), te AS (SELECT * FROM folds WHERE fold = 0),
-st AS (SELECT label AS cls, count(*) / CAST((SELECT count(*) FROM tr) AS DOUBLE) AS prior, {stats} FROM tr GROUP BY label),
-j AS (SELECT te.id_anon, st.cls, {joint} AS jl FROM te, st),
-p AS (SELECT id_anon, 1.0 / (1.0 + exp(max(jl) FILTER (WHERE cls = 0) - max(jl) FILTER (WHERE cls = 1))) AS score FROM j GROUP BY id_anon)
-SELECT id_anon, round(score, 6) AS score, CAST(score >= 0.5 AS INT) AS pred FROM p"""
+    return f"""SELECT id_anon, 1.0 / (1.0 + exp(max(jl) FILTER (WHERE cls = 0) - max(jl) FILTER (WHERE cls = 1))) AS score FROM (
+  SELECT te.id_anon, st.cls, {joint} AS jl FROM (SELECT * FROM folds WHERE fold = {k}) te,
+    (SELECT label AS cls, count(*) / CAST((SELECT count(*) FROM folds WHERE fold <> {k}) AS DOUBLE) AS prior, {stats}
+     FROM folds WHERE fold <> {k} GROUP BY label) st) GROUP BY id_anon"""
+
+
+def _nb_sql() -> str:
+    every = " UNION ALL ".join(_nb_fold_sql(k) for k in range(5))
+    return f"WITH {fx.FOLDS_CTE}, p AS ({every}) SELECT id_anon, round(score, 6) AS score, CAST(score >= 0.5 AS INT) AS pred FROM p"
 
 
 @query("gaussian_nb", _nb_sql())
 def q_gaussian_nb(spark, sf):
-    f = fx.folds(spark, sf)
-    fitted = fit_gaussian_nb(f.where("fold != 0"), NB_FEATS, "label", 1e-9)
-    scored = apply_gaussian_nb(f.where("fold = 0"), fitted)
+    """All folds: each one's rows are scored by a fit on the other folds."""
+    f, scored = fx.folds(spark, sf), None
+    for k, fitted in fit_gaussian_nb_folds(f, "fold", range(5), NB_FEATS, "label", 1e-9).items():
+        part = apply_gaussian_nb(f.where(F.col("fold") == k), fitted)
+        scored = part if scored is None else scored.unionByName(part)
     return scored.select("id_anon", F.round("score", 6).alias("score"), (F.col("score") >= 0.5).cast("int").alias("pred"))
 
 

@@ -445,15 +445,21 @@ def q_mode_impute(spark, sf):
     return impute.mode_impute(s, _MODE_COLS)
 
 
-@query("fit_transform_impute", f"""WITH {fx.FOLDS_CTE}
-SELECT id_anon,
-  COALESCE(peso1, (SELECT quantile_cont(peso1, 0.5) FROM folds WHERE fold <> 0)) AS peso1,
-  COALESCE(semanas, (SELECT quantile_cont(semanas, 0.5) FROM folds WHERE fold <> 0)) AS semanas,
-  COALESCE(prenatal, {_mode_sql('prenatal', 'folds', 'fold <> 0')}) AS prenatal
-FROM folds WHERE fold = 0""")
+def _fold_impute_sql() -> str:
+    """Each fold's rows with the fills of the other folds."""
+    parts = " UNION ALL ".join(f"""SELECT id_anon,
+  COALESCE(peso1, (SELECT quantile_cont(peso1, 0.5) FROM folds WHERE fold <> {k})) AS peso1,
+  COALESCE(semanas, (SELECT quantile_cont(semanas, 0.5) FROM folds WHERE fold <> {k})) AS semanas,
+  COALESCE(prenatal, {_mode_sql('prenatal', 'folds', f'fold <> {k}')}) AS prenatal
+FROM folds WHERE fold = {k}""" for k in range(5))
+    return f"WITH {fx.FOLDS_CTE} {parts}"
+
+
+@query("fit_transform_impute", _fold_impute_sql())
 def q_fit_transform_impute(spark, sf):
+    """All folds: each one's rows are filled with what its training part (the other folds) gives."""
     f = fx.folds(spark, sf).select("id_anon", "fold", "peso1", "semanas", "prenatal")
-    out = impute.fit_transform_impute(f.where("fold != 0"), f.where("fold = 0"), ["peso1", "semanas"], ["prenatal"])
+    out = impute.cross_impute(f, "fold", range(5), ["peso1", "semanas"], ["prenatal"])
     return out.select("id_anon", "peso1", "semanas", "prenatal")
 
 

@@ -103,21 +103,50 @@ class GaussianNBSmoothedModel(Model):
 
 
 def fit_gaussian_nb(df: DataFrame, cols: Sequence[str], label: str, var_smoothing: float = 1e-9) -> dict:
-    """Per-class priors, means and population variances (one grouped aggregate + one global)."""
+    """Per-class priors, means and population variances (one grouped aggregate)."""
+    whole = df.withColumn("_nb_fold", F.lit(0))
+    return fit_gaussian_nb_folds(whole, "_nb_fold", [-1], cols, label, var_smoothing)[-1]
+
+
+def _merged(parts: list[tuple[float, float, float]]) -> tuple[float, float, float]:
+    """(count, mean, squared deviations) of several parts together."""
+    n = mean = dev = 0.0
+    for m, a, d in parts:
+        if m:
+            step = a - mean
+            dev += d + step * step * n * m / (n + m)
+            mean += step * m / (n + m)
+            n += m
+    return n, mean, dev
+
+
+def fit_gaussian_nb_folds(df: DataFrame, fold_col: str, folds: Sequence[int], cols: Sequence[str], label: str,
+                          var_smoothing: float = 1e-9) -> dict[int, dict]:
+    """The fit of every fold's training part (all other folds), from one aggregate by (fold, class).
+
+    Counts, means and squared deviations of the parts are put together on the
+    driver: folds x classes x columns numbers, whatever the rows.
+    """
     df = df.where(F.col(label).isin(0, 1))
-    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"),
-                              *[F.avg(c).alias(f"m_{c}") for c in cols],
-                              *[F.var_pop(c).alias(f"v_{c}") for c in cols]).collect()
-    allvar = df.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
-    # features that never vary leave no scale of their own: the smoothing itself is the variance then
-    eps = var_smoothing * max(float(allvar[c] or 0.0) for c in cols) or var_smoothing
-    n = sum(r["_n"] for r in g)
-    classes = {}
-    for r in g:
-        classes[r[label]] = {"prior": r["_n"] / n,
-                             "mean": {c: r[f"m_{c}"] for c in cols},
-                             "var": {c: (r[f"v_{c}"] or 0.0) + eps for c in cols}}
-    return {"cols": list(cols), "classes": classes}
+    g = df.groupBy(F.col(fold_col).alias("_fold"), F.col(label).alias("_cls")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[e for i, c in enumerate(cols) for e in (F.count(c).alias(f"n_{i}"), F.avg(c).alias(f"m_{i}"), F.var_pop(c).alias(f"v_{i}"))]).collect()
+    out = {}
+    for k in folds:
+        rows = [r for r in g if r["_fold"] != k]
+        part = lambda r, i: (r[f"n_{i}"], r[f"m_{i}"] or 0.0, (r[f"v_{i}"] or 0.0) * r[f"n_{i}"])
+        every = [_merged([part(r, i) for r in rows]) for i in range(len(cols))]
+        # features that never vary leave no scale of their own: the smoothing itself is the variance then
+        eps = var_smoothing * max((d / n if n else 0.0) for n, _, d in every) or var_smoothing
+        total, classes = sum(r["_n"] for r in rows), {}
+        for cls in sorted({r["_cls"] for r in rows}):
+            own = [r for r in rows if r["_cls"] == cls]
+            moments = [_merged([part(r, i) for r in own]) for i in range(len(cols))]
+            classes[cls] = {"prior": sum(r["_n"] for r in own) / total,
+                            "mean": {c: (m[1] if m[0] else None) for c, m in zip(cols, moments)},
+                            "var": {c: (m[2] / m[0] if m[0] else 0.0) + eps for c, m in zip(cols, moments)}}
+        out[k] = {"cols": list(cols), "classes": classes}
+    return out
 
 
 def _nb_joint(fitted: dict, cls) -> Column:

@@ -17,11 +17,11 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators import metrics, resample
-from cohortlens.operators.impute import apply_fill, fit_median
+from cohortlens.operators.impute import apply_fill, apply_robust_scale, fit_median, fold_fits
 from cohortlens.plans.learners import (
     GaussianNBSmoothed,
     RobustScaleIQR,
@@ -140,15 +140,46 @@ def _with_pred(scored: DataFrame) -> DataFrame:
     return scored.withColumn("pred", (F.col("score") >= 0.5).cast("int"))
 
 
+def fold_weights(df: DataFrame, learner_name: str, label: str, fold_col: str, folds: Sequence[int]) -> dict[int, tuple[int, Column | None]]:
+    """For every fold the rows of its training part and its weight column, from one count by (fold, class)."""
+    counts = df.groupBy(F.col(fold_col).alias("_fold"), F.col(label).alias("_cls")).agg(F.count(F.lit(1)).alias("n")).collect()
+    out = {}
+    for f in folds:
+        own: dict = {}
+        for r in counts:
+            if r["_fold"] is not None and r["_fold"] != f:
+                own[r["_cls"]] = own.get(r["_cls"], 0) + r["n"]
+        n = sum(own.values())
+        if learner_name in UNWEIGHTED:
+            weight = None
+        elif learner_name == "weighted_boosting":
+            weight = F.when(F.col(label) == 1, F.lit(33.0)).otherwise(F.lit(1.0))
+        else:  # balanced; a missing label is a class of its own
+            weight = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(n / (len(own) * m))) for c, m in own.items()]) if own else F.lit(1.0)
+        out[f] = (n, weight)
+    return out
+
+
 def fold_predictions(df: DataFrame, learner_name: str, features: Sequence[str], params: dict | None = None,
                      label: str = "label", fold_col: str = "fold", k: int = 5, id_col: str = "id_anon",
                      impute: Sequence[str] = (), parallelism: int = 5) -> DataFrame:
-    """Out-of-fold predictions (id, fold, label, score, pred) for every fold (simple CV, no search)."""
+    """Out-of-fold predictions (id, fold, label, score, pred) for every fold (simple CV, no search).
+
+    Medians, scales, class weights and sizes of all training parts come from two
+    jobs (``impute.fold_fits``, ``fold_weights``); each fold then only fits its learner.
+    """
     cached = _cache(df)
+    fits = fold_fits(cached, features, impute, fold_col, range(k))
+    weights = fold_weights(cached, learner_name, label, fold_col, range(k))
 
     def one(f):
-        scored = fit_score(cached.where(F.col(fold_col) != f), cached.where(F.col(fold_col) == f),
-                           learner_name, features, params, label, impute)
+        n, weight = weights[f]
+        ready = apply_robust_scale(apply_fill(cached, fits[f]["fills"]), {c: fits[f]["scale"][c] for c in features})
+        train, test = ready.where(F.col(fold_col) != f), ready.where(F.col(fold_col) == f)
+        if weight is not None:
+            train = train.withColumn("weight", weight)
+        pipe = build_pipeline(learner_name, features, params, label, None if weight is None else "weight", n, scale=False)
+        scored = _with_pred(positive_score(pipe.fit(train).transform(test), learner_name))
         # materialise the fold's predictions while the fold's model is at hand
         return _cache(scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred"))
 
@@ -347,7 +378,7 @@ def expanded_features(base: DataFrame, extra: DataFrame, id_col: str, exclude_ru
     """
     from pyspark.sql.types import NumericType, StringType
 
-    from cohortlens.operators.impute import apply_fill, fit_median
+    from cohortlens.operators.impute import apply_fill, apply_robust_scale, fit_median, fold_fits
     from cohortlens.operators.profile import low_card_value_counts
     from cohortlens.operators.recode import one_hot
     from cohortlens.operators.select import candidate_column_list
