@@ -108,9 +108,8 @@ def univariate_auc(df: DataFrame, label_col: str, numeric: Sequence[str] = (), c
     mean label of their category.  AUC folded to >= 0.5 (``auc_folded``).
 
     With ``n_boot`` > 0 (and ``id_col``), adds a bootstrap percentile interval of the
-    AUC: each row gets a Poisson(1) weight per replicate from the portable hash of
-    (seed, id, replicate), weighted AUCs come from one grouped job over
-    (feature, replicate), and one-class replicates are skipped.
+    AUC: each row gets a Poisson(1) weight per replicate (``replicates.poisson_draws``), the weighted
+    AUCs of all replicates come from one sort of the rows, and one-class replicates are skipped.
     """
     ids = [id_col] if (n_boot and id_col) else []
     parts = []
@@ -135,15 +134,12 @@ def univariate_auc(df: DataFrame, label_col: str, numeric: Sequence[str] = (), c
     )
     if not ids:
         return out
-    from cohortlens.operators.resample import poisson_bootstrap_weights
-
-    w = poisson_bootstrap_weights(long, id_col, n_boot, seed, fast=False)
-    rep = roc_auc(w, "score", label_col, ["feature", "replicate"], n_groups_bound=n_feat * n_boot, weight_col="weight")
-    rep = rep.where(F.col("auc").isNotNull())
-    ci = exact_quantiles(rep.withColumnRenamed("feature", "_f"), ["auc"], [0.025, 0.975], by=["_f"])
-    ciw = ci.groupBy(F.col("_f").alias("feature")).agg(
-        F.round(F.max(F.when(F.col("p") == 0.025, F.col("q"))), 6).alias("ci_lower"),
-        F.round(F.max(F.when(F.col("p") == 0.975, F.col("q"))), 6).alias("ci_upper"))
+    from cohortlens.operators.replicates import poisson_draws, replicate_auc
+
+    rep = replicate_auc(poisson_draws(long, id_col, n_boot, seed), "score", label_col, "feature")
+    # one value a replicate: n_boot of them in a group at most
+    ciw = rep.groupBy("feature").agg(F.round(F.percentile("auc", 0.025), 6).alias("ci_lower"),
+                                     F.round(F.percentile("auc", 0.975), 6).alias("ci_upper"))
     return out.join(ciw, "feature", "left")
 
 
@@ -191,7 +187,17 @@ def holdout_metrics(df: DataFrame, pred_col: str, label_col: str, keys: Sequence
     only positives -> specificity 0, NPV 0, PPV 1 (as the reference).  ``weight_col``
     counts each row with its (e.g. Poisson bootstrap) weight.
     """
-    c = confusion_counts(df, pred_col, label_col, keys, weight_col)
+    return holdout_rates(confusion_counts(df, pred_col, label_col, keys, weight_col), keys)
+
+
+def confusion_flags(pred_col: str, label_col: str) -> dict[str, Column]:
+    """tp, fp, fn, tn as conditions of a row."""
+    p, y = F.col(pred_col), F.col(label_col)
+    return {"tp": (p == 1) & (y == 1), "fp": (p == 1) & (y == 0), "fn": (p == 0) & (y == 1), "tn": (p == 0) & (y == 0)}
+
+
+def holdout_rates(c: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The rates of ``holdout_metrics`` from counts tp, fp, fn, tn."""
     tp, fp, fn, tn = F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")
     n_pos, n_neg = tp + fn, fp + tn
     prec, rec = _div0(tp, tp + fp), _div0(tp, tp + fn)
@@ -231,7 +237,7 @@ def t_cdf(t: float, df: float) -> float:
 
 @functools.lru_cache(maxsize=4096)
 def t_ppf(p: float, df: float) -> float:
-    """Student-t quantile (p in (0.5, 1)): secant steps on the distribution function inside a shrinking bracket."""
+    """Student-t quantile (p in (0.5, 1)): bisection of the distribution function."""
     lo, hi = 0.0, 1.0
     while t_cdf(hi, df) < p:
         lo, hi = hi, 2.0 * hi

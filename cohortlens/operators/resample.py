@@ -117,12 +117,6 @@ def poisson_bootstrap_weights(df: DataFrame, id_col: str, n_replicates: int, see
     return ex.withColumn("weight", poisson_weight(u)).where(F.col("weight") > 0)
 
 
-def poisson_weights_of(df: DataFrame, id_col: str, replicate: int, seed: int = 42) -> DataFrame:
-    """The rows of one replicate of :func:`poisson_bootstrap_weights`, without making the others."""
-    u = (F.abs(F.xxhash64(F.lit(seed), F.col(id_col), F.lit(replicate))) % F.lit(1 << 30)) / float(1 << 30)
-    return df.withColumn("weight", poisson_weight(u)).where(F.col("weight") > 0)
-
-
 def bootstrap_fold_mean(fold_scores: DataFrame, group_cols: Sequence[str], score_col: str, fold_col: str,
                         n_replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Resample the k fold scores of each group B times; mean per replicate; percentile CI.

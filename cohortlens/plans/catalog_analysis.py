@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import portable_hash_sql
-from cohortlens.operators import align, metrics, profile, recode, resample, select
+from cohortlens.operators import align, metrics, profile, recode, replicates, resample, select
 from cohortlens.operators.ranking import unpivot
 from cohortlens.plans import fixtures as fx
 from cohortlens.plans.registry import query
@@ -439,22 +439,20 @@ def q_nested_folds(spark, sf):
     return resample.nested_folds(fx.folds(spark, sf), "label", "id_anon", "fold", 5, 5, seed=7)
 
 
-N_BOOT = 20
-BOOT_CTE = fx.LABELLED_CTE + f""",
-bpos AS (SELECT id_anon, x1, label, row_number() OVER (ORDER BY {portable_hash_sql(0, 'id_anon')}, id_anon) - 1 AS pos FROM lab),
-bn AS (SELECT count(*) AS n FROM lab),
-slots AS (SELECT CAST(r.replicate AS INT) AS replicate, s.slot FROM range(1, {N_BOOT + 1}) r(replicate),
-          (SELECT unnest(range(0, (SELECT n FROM bn))) AS slot) s),
-draw AS (SELECT replicate, slot, {portable_hash_sql(42, 'replicate', 'slot')} % (SELECT n FROM bn) AS pos FROM slots),
-brep AS (SELECT replicate, count(*) AS n, avg(x1) AS mean_x1, CAST(sum(label) AS BIGINT) AS n_pos
-         FROM draw JOIN bpos USING (pos) GROUP BY replicate)"""
+N_BOOT = 1000
+BOOT_CTE = fx.LABELLED_CTE + f""", bl AS (SELECT id_anon, x1, label FROM lab),
+{replicates.exact_draws_ctes('bl', 'id_anon', N_BOOT, 42, 'bs')},
+brep AS (SELECT replicate, CAST(sum(w) AS BIGINT) AS n, sum(w * x1) / sum(w) FILTER (WHERE x1 IS NOT NULL) AS mean_x1,
+  CAST(sum(w * label) AS BIGINT) AS n_pos FROM bs_draw GROUP BY replicate)"""
 
 
 def boot_replicates(spark, sf):
+    """Size, mean of x1 and positives of each exact resample of the labelled rows."""
     lab = fx.labelled(spark, sf).select("id_anon", "x1", "label")
-    drawn = resample.bootstrap_rows(lab, "id_anon", N_BOOT, seed=42)
-    return drawn.groupBy("replicate").agg(F.count(F.lit(1)).alias("n"), F.avg("x1").alias("mean_x1"),
-                                          F.sum("label").cast("long").alias("n_pos"))
+    sums = replicates.replicate_sums(replicates.exact_draws(lab, "id_anon", N_BOOT, seed=42), {
+        "n": F.lit(1), "x1": F.col("x1"), "known": F.col("x1").isNotNull(), "n_pos": F.col("label")})
+    return sums.select("replicate", F.col("n").cast("long").alias("n"), F.try_divide("x1", "known").alias("mean_x1"),
+                       F.col("n_pos").cast("long").alias("n_pos"))
 
 
 @query("bootstrap_rows", f"""WITH {BOOT_CTE}
@@ -597,22 +595,20 @@ SELECT feature, n_pos + n_neg AS n, n_pos, round(auc, 6) AS auc, round(greatest(
 WHERE n_pos + n_neg >= 50 AND n_pos >= 5 AND n_neg > 0"""
 
 
-N_BOOT_UNI = 20
+N_BOOT_UNI = 500
 
 
 def _uni_ci_sql():
-    from cohortlens.operators.resample import _poisson1_cdf
-
-    cdf = _poisson1_cdf()
-    u = f"(CAST({portable_hash_sql(42, 'id_anon', 'r.replicate')} AS DOUBLE) / CAST(1152921504606846976 AS DOUBLE))"
-    pois = "CASE " + " ".join(f"WHEN {u} < {c!r} THEN {k}" for k, c in enumerate(cdf)) + f" ELSE {len(cdf)} END"
+    h = f"({portable_hash_sql(42, 'id_anon')} % {replicates.PRIME})"
     num = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS score, label, id_anon FROM lab WHERE {c} IS NOT NULL"
                              for c in UNI_NUM)
     cat = " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CAST(label AS DOUBLE)) OVER (PARTITION BY {c}) AS score, label, id_anon "
                              f"FROM lab WHERE {c} IS NOT NULL" for c in UNI_CAT)
     return f"""WITH {fx.LABELLED_CTE}, ul AS ({num} UNION ALL {cat}), {auc_ctes('ul', ['feature'], 'ua')},
-bw AS (SELECT ul.feature, ul.score, ul.label, CAST(r.replicate AS INT) AS replicate, {pois} AS w
-       FROM ul, range(1, {N_BOOT_UNI + 1}) r(replicate)),
+bh AS (SELECT id_anon, {h} AS h FROM lab),
+bw0 AS (SELECT id_anon, CAST(r.replicate AS INT) AS replicate, {replicates.weights_sql('h', 'r.replicate', '1.0', 42)} AS w
+        FROM bh, range(1, {N_BOOT_UNI + 1}) r(replicate)),
+bw AS (SELECT feature, score, label, replicate, w FROM ul JOIN bw0 USING (id_anon)),
 bw2 AS (SELECT * FROM bw WHERE w > 0), {auc_ctes('bw2', ['feature', 'replicate'], 'ub', 'w')},
 ci AS (SELECT feature, round(quantile_cont(auc, 0.025), 6) AS ci_lower, round(quantile_cont(auc, 0.975), 6) AS ci_upper
        FROM ub_auc WHERE auc IS NOT NULL GROUP BY feature)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import portable_hash_sql
-from cohortlens.operators import neighbors, resample
+from cohortlens.operators import neighbors, replicates, resample
 from cohortlens.operators.metrics import delta_verdict
 from cohortlens.plans import fixtures as fx
 from cohortlens.plans import workflow as wf
@@ -72,10 +72,12 @@ def q_holdout_validate(spark, sf):
     return wf.holdout_validate(s, "logreg_ridge", FEATS, {"C": 1.0}, model="survey", n_boot=1000, impute=IMPUTE)
 
 
+N_BOOT_COEF = 1000
+
+
 @query("bootstrap_coefficients")
 def q_bootstrap_coefficients(spark, sf):
-    m = wf.MedianImputeExact(IMPUTE).fit(model_table(spark, sf)).transform(model_table(spark, sf))
-    return wf.bootstrap_coefficients(m, FEATS, n_boot=10)
+    return wf.bootstrap_coefficients(model_table(spark, sf), FEATS, n_boot=N_BOOT_COEF)
 
 
 # Descriptions of the survey stand-in features (a small lookup dimension).
@@ -92,8 +94,7 @@ def q_coefficient_report(spark, sf):
     from cohortlens.operators.metrics import ci_excludes
     from cohortlens.operators.select import dictionary_first
 
-    m = wf.MedianImputeExact(IMPUTE).fit(model_table(spark, sf)).transform(model_table(spark, sf))
-    coefs = wf.bootstrap_coefficients(m, FEATS, n_boot=10)
+    coefs = wf.bootstrap_coefficients(model_table(spark, sf), FEATS, n_boot=N_BOOT_COEF)
     desc = spark.createDataFrame([(f, d, "", i) for i, (f, d) in enumerate(FEATURE_DESCRIPTIONS)],
                                  "variavel string, descricao string, bloco string, ordem long")
     named = label_lookup(coefs.withColumnRenamed("feature", "variavel"), dictionary_first(desc))
@@ -356,7 +357,7 @@ def q_simple_cv_nb(spark, sf):
     return wf.simple_cv(fx.folds(spark, sf).select("id_anon", *NB_FEATS, "label", "fold"), "gaussian_nb", NB_FEATS, model="survey")
 
 
-N_BOOT_NB = 200
+N_BOOT_NB = 1000
 
 
 def _holdout_nb_sql() -> str:
@@ -365,20 +366,16 @@ def _holdout_nb_sql() -> str:
 
     stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in NB_FEATS)
     joint = "ln(prior)" + "".join(f" - 0.5 * ln(v_{c}) - (t.{c} - m_{c}) * (t.{c} - m_{c}) / (2.0 * v_{c})" for c in NB_FEATS)
+    cells = {"tp": "score >= 0.5 AND label = 1", "fp": "score >= 0.5 AND label = 0", "fn": "score < 0.5 AND label = 1", "tn": "score < 0.5 AND label = 0"}
     long = " UNION ALL ".join(f"SELECT replicate, '{m}', round({e}, 6) FROM cm" for m, e in _PERF_RATES.items())
     return f"""WITH {fx.SPLIT_CTE},
 st AS (SELECT label AS cls, CAST(count(*) AS DOUBLE) AS n, {stats} FROM splitted WHERE split = 'train' GROUP BY 1),
 pr AS (SELECT *, n / sum(n) OVER () AS prior FROM st),
 j AS (SELECT t.id_anon, t.label, cls, {joint} AS jl FROM splitted t, pr WHERE split = 'test'),
 sc AS (SELECT id_anon, label, 1.0 / (1.0 + exp(max(jl) FILTER (WHERE cls = 0) - max(jl) FILTER (WHERE cls = 1))) AS score FROM j GROUP BY 1, 2),
-ps AS (SELECT *, row_number() OVER (ORDER BY {portable_hash_sql(0, 'id_anon')}, id_anon) - 1 AS pos FROM sc),
-nt AS (SELECT count(*) AS n FROM sc),
-sl AS (SELECT CAST(r.replicate AS INT) AS replicate, s.slot FROM range(1, {N_BOOT_NB + 1}) r(replicate), (SELECT unnest(range(0, (SELECT n FROM nt))) AS slot) s),
-dw AS (SELECT replicate, {portable_hash_sql(42, 'replicate', 'slot')} % (SELECT n FROM nt) AS pos FROM sl),
-dr AS (SELECT replicate, score, label FROM dw JOIN ps USING (pos)),
-{auc_ctes('dr', ['replicate'], 'hb')},
-cm AS (SELECT replicate, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp,
-         count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn, count(*) FILTER (WHERE score < 0.5 AND label = 0) AS tn FROM dr GROUP BY 1),
+{replicates.exact_draws_ctes('sc', 'id_anon', N_BOOT_NB, 42, 'ds')},
+{auc_ctes('ds_draw', ['replicate'], 'hb', 'w')},
+cm AS (SELECT replicate, {', '.join(f"COALESCE(sum(w) FILTER (WHERE {c}), 0) AS {m}" for m, c in cells.items())} FROM ds_draw GROUP BY 1),
 lg(replicate, metric, v) AS (SELECT replicate, 'auc', auc FROM hb_auc UNION ALL {long})
 SELECT 'survey' AS model, 'gaussian_nb' AS algorithm, metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS ci_lower,
   round(quantile_cont(v, 0.975), 6) AS ci_upper, count(v) AS n_boot_effective, 'exact' AS resampling FROM lg GROUP BY metric"""

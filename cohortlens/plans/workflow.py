@@ -13,6 +13,7 @@ import functools
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -20,7 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators import metrics, resample
+from cohortlens.operators import metrics, replicates, resample
 from cohortlens.operators.impute import apply_fill, apply_robust_scale, fit_median, fold_fits
 from cohortlens.plans.learners import (
     GaussianNBSmoothed,
@@ -29,6 +30,7 @@ from cohortlens.plans.learners import (
     make_learner,
     positive_score,
 )
+from cohortlens.plans.many_models import fit_replicates
 from cohortlens.session import fresh_path
 
 
@@ -282,21 +284,18 @@ def holdout_validate(df: DataFrame, learner_name: str, features: Sequence[str],
     """Fit on train, score test; metrics with percentile intervals over B bootstrap resamples of the test rows.
 
     Resamples with one class only are skipped for AUC (``n_boot_effective``).  The caller
-    chooses the ``resampling``, and the result names it: "exact" draws B x n rows, "poisson"
-    gives each test row a Poisson(1) weight per replicate (sizes then vary around n).
+    chooses the ``resampling``, and the result names it: "exact" draws n rows with replacement, "poisson"
+    gives each test row a Poisson(1) weight per replicate (sizes then vary around n).  Neither copies rows.
     """
     if resampling not in ("exact", "poisson"):
         raise ValueError(f"resampling is exact or poisson, not {resampling}")
     scored = fit_score(df.where(F.col(split_col) == "train"), df.where(F.col(split_col) == "test"),
                        learner_name, features, params, label, impute)
     preds = _cache(scored.select(id_col, label, "score", "pred"))
-    if resampling == "exact":
-        drawn, wcol = resample.bootstrap_rows(preds, id_col, n_boot, seed), None
-    else:  # no row index, no join
-        drawn, wcol = resample.poisson_bootstrap_weights(preds, id_col, n_boot, seed), "weight"
-    auc = metrics.roc_auc(drawn, "score", label, ["replicate"], n_groups_bound=n_boot,
-                          weight_col=wcol).select("replicate", "auc")
-    hm = metrics.holdout_metrics(drawn, "pred", label, ["replicate"], weight_col=wcol)
+    draw = replicates.exact_draws if resampling == "exact" else replicates.poisson_draws
+    drawn = draw(preds, id_col, n_boot, seed)
+    auc = replicates.replicate_auc(drawn, "score", label)
+    hm = metrics.holdout_rates(replicates.replicate_sums(drawn, metrics.confusion_flags("pred", label)), ["replicate"])
     per = hm.join(auc, "replicate", "left")
     cols = ["auc", "precision", "recall", "f1", "specificity", "accuracy", "npv", "ppv"]
     long = per.unpivot(["replicate"], cols, "metric", "value").where(F.col("value").isNotNull())
@@ -309,45 +308,20 @@ def holdout_validate(df: DataFrame, learner_name: str, features: Sequence[str],
 
 @releases_caches
 def bootstrap_coefficients(df: DataFrame, features: Sequence[str], label: str = "label", id_col: str = "id_anon",
-                           n_boot: int = 20, C: float = 1.0, seed: int = 42) -> DataFrame:
-    """Refit a ridge logistic regression on B Poisson-weighted resamples; percentile CI per coefficient.
+                           n_boot: int = 1000, C: float = 1.0, seed: int = 42) -> DataFrame:
+    """Refit a ridge logistic regression on B exact resamples; percentile CI per coefficient.
 
-    Each resample is one weighted fit (``weightCol`` = Poisson(1) x balanced
-    weight), given by a column expression on the cached scaled rows.  A failed fit
-    contributes the original coefficients (as the reference does); ``n_failed`` counts them.
+    Every resample has its own medians, scales and balanced class weights; all are fitted
+    together (``many_models.fit_replicates``).  Rows without a label of 0 or 1 take no part.  A resample
+    of one class contributes the original coefficients (as the reference does); ``n_failed`` counts them.
     """
     spark = df.sparkSession
-    base = _cache(resample.balanced_weights(df, label, "cw"))
-    n = base.count()
-    scaled = _cache(Pipeline(stages=[RobustScaleIQR(features), assembler(features)]).fit(base).transform(base))
-
-    def fit(weight_col):
-        lr = make_learner("logreg_ridge", {"C": C}, weight=weight_col, sum_weights=float(n))
-        return list(lr.fit(scaled).coefficients.toArray())
-
-    original = fit("cw")
-    rows = [(0, f, float(c)) for f, c in zip(features, original)]
-    failed = []
-
-    def replicate(b):
-        rep = resample.poisson_weights_of(scaled, id_col, b, seed).withColumn("bw", F.col("weight") * F.col("cw"))
-        try:
-            lr = make_learner("logreg_ridge", {"C": C}, weight="bw", sum_weights=float(n))
-            coefs = list(lr.fit(rep).coefficients.toArray())
-        except FIT_ERRORS:
-            failed.append(b)
-            coefs = original
-        return [(b, f, float(c)) for f, c in zip(features, coefs)]
-
-    # replicate fits are independent: run them concurrently
-    for part in concurrently(replicate, range(1, n_boot + 1), 8):
-        rows += part
-    tab = spark.createDataFrame(rows, "replicate int, feature string, coef double")
-    orig = tab.where("replicate = 0").select("feature", F.round("coef", 6).alias("coef"))
-    boot = tab.where("replicate > 0").groupBy("feature").agg(
-        F.round(F.percentile("coef", 0.025), 6).alias("ci_lower"),
-        F.round(F.percentile("coef", 0.975), 6).alias("ci_upper"))
-    return orig.join(boot, "feature").withColumn("n_failed", F.lit(len(failed)))
+    rows = df.where(F.col(label).isin(0, 1)).select(id_col, label, *features)
+    fits = fit_replicates(replicates.exact_draws(rows, id_col, n_boot, seed), features, label, C)
+    coefs = np.where(fits.fitted[:, None], fits.coef, fits.coef[:1])
+    report = [(f, *[round(float(v), 6) for v in (coefs[0, i], *np.quantile(coefs[1:, i], [0.025, 0.975]))], int((~fits.fitted[1:]).sum()))
+              for i, f in enumerate(features)]
+    return spark.createDataFrame(report, "feature string, coef double, ci_lower double, ci_upper double, n_failed int")
 
 
 @releases_caches
