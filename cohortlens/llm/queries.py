@@ -112,7 +112,7 @@ def op6_classify_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages' urls judged by the rules, and by the boosted trees where no rule fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge(pages, places=urls.SECTIONS).select("page_id", "host", "path", "rule", "verdict")
 
 
 @query("op1_learned_partitions")

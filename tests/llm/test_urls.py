@@ -2,9 +2,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import urls
 
+PAGES_DIR = "/root/testdata/sf0.1"
 PAGES = "page_id long, url string, html string, host string, label string, features string, suffix int"
 
 
@@ -82,3 +84,29 @@ def test_repeated_urls_are_one_row_of_the_sample(make, monkeypatch):
     monkeypatch.setattr(urls.GBTClassifier, "fit", lambda self, df: (seen.append(df.agg({"*": "count", "_weight": "sum"}).first()), fit(self, df))[1])
     urls.judge(make(rows(["http://net/es/1"] * 300 + [f"http://x{i}.com/" for i in range(40)] + ["http://a.org/"]), PAGES)).count()
     assert (seen[0]["count(1)"], seen[0]["sum(_weight)"]) == (41, 340.0)
+
+
+def test_shares_leave_the_own_fold_out(make):
+    page_rows = urls.with_features(urls.with_parts(make(rows([f"http://h{i}.com/{i}{'.a' if i % 3 else '.b'}" for i in range(60)]), PAGES)))
+    labelled = page_rows.withColumn("label", F.when((F.col("ending") == ".a") & (F.length("url") > 16), 1.0).otherwise(0.0))
+    counts, overall = urls.place_counts(labelled)
+    table = labelled.select("fold", "ending", "label").toPandas()
+    for without_own in (True, False):
+        got = urls.with_shares(labelled, counts, overall, without_own).select("fold", "ending", "ending_share").collect()
+        for r in got:
+            others = table[(table["ending"] == r["ending"]) & ((table["fold"] != r["fold"]) | (not without_own))]
+            assert r["ending_share"] == pytest.approx((others["label"].sum() + urls.PRIOR * overall) / (len(others) + urls.PRIOR))
+
+
+def test_held_out_balanced_accuracy_on_pages(spark):
+    # half of the urls that a rule fits are hidden from the trees, then judged by them
+    seen = urls.with_features(urls.with_rule(urls.with_parts(spark.read.parquet(f"{PAGES_DIR}/pages.parquet").select("url"))))
+    ruled = seen.where("rule IS NOT NULL").withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
+    hidden = F.pmod(F.xxhash64("url", F.lit("hidden")), F.lit(2)) == 0
+    learnt = urls.learn(ruled.where(~hidden), places=urls.SECTIONS)  # as the query does
+    got = learnt.odds(ruled.where(hidden)).groupBy("label").agg(
+        F.avg((F.col("blocked_odds") >= learnt.cut).cast("double")).alias("blocked"), F.count("*").alias("n")).collect()
+    share = {r["label"]: r["blocked"] for r in got}
+    assert min(r["n"] for r in got) >= 100
+    print("held-out", got, learnt.cut)  # shown with pytest -s
+    assert (share[1.0] + 1.0 - share[0.0]) / 2 >= 0.95
