@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expr import all_null_guard, eq_flag, in_flag, not_contains_flag_expr
-from cohortlens.operators.ranking import quantile_dict
+from cohortlens.operators.ranking import ordered_positions, quantile_dict
 
+#: More categories than this are one sparse vector column instead of a column each.
 MAX_ONE_HOT_CATEGORIES = 1000
 
 
@@ -22,12 +24,10 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def categories(df: DataFrame, col: str, limit: int = MAX_ONE_HOT_CATEGORIES) -> list:
-    """Sorted distinct non-missing values; fails instead of collecting more than ``limit``."""
-    vals = [r[0] for r in df.where(_q(col).isNotNull()).select(col).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"{col}: more than {limit} categories; not one-hot encodable")
-    return sorted(vals)
+def categories(df: DataFrame, col: str, limit: int = MAX_ONE_HOT_CATEGORIES) -> list | None:
+    """Sorted distinct non-missing values; None instead of collecting more than ``limit``."""
+    vals = [r[0] for r in df.where(_q(col).isNotNull()).select(_q(col)).distinct().limit(limit + 1).collect()]
+    return None if len(vals) > limit else sorted(vals)
 
 
 def one_hot(df: DataFrame, col: str, cats: Sequence, prefix: str | None = None, drop_source: bool = True) -> DataFrame:
@@ -38,12 +38,49 @@ def one_hot(df: DataFrame, col: str, cats: Sequence, prefix: str | None = None,
     return out.drop(col) if drop_source else out
 
 
-def one_hot_full(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
-    return one_hot(df, col, categories(df, col), prefix)
+def one_hot_full(df: DataFrame, col: str, prefix: str | None = None, limit: int = MAX_ONE_HOT_CATEGORIES) -> DataFrame:
+    """A 0/1 column for every category; above ``limit`` categories one sparse vector (``one_hot_sparse``)."""
+    cats = categories(df, col, limit)
+    return one_hot_sparse(df, col, prefix) if cats is None else one_hot(df, col, cats, prefix)
 
 
-def one_hot_drop_first(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
-    return one_hot(df, col, categories(df, col)[1:], prefix)
+def one_hot_drop_first(df: DataFrame, col: str, prefix: str | None = None, limit: int = MAX_ONE_HOT_CATEGORIES) -> DataFrame:
+    """``one_hot_full`` without the first category: its rows are all zeros, like those without a value."""
+    cats = categories(df, col, limit)
+    return one_hot_sparse(df, col, prefix, drop_first=True) if cats is None else one_hot(df, col, cats[1:], prefix)
+
+
+def category_positions(df: DataFrame, col: str) -> DataFrame:
+    """(col, ``position``): every non-missing value with its 0-based place in sort order; no category reaches the driver."""
+    values = df.where(_q(col).isNotNull()).select(_q(col)).distinct()
+    return ordered_positions(values, f"`{col}`").withColumnRenamed("_pos", "position")
+
+
+def one_hot_positions(df: DataFrame, col: str) -> DataFrame:
+    """``df`` with ``position``, the place of its one non-zero entry (NULL for a missing value).
+
+    The dictionary is joined, whatever its size; the join planner broadcasts a small one
+    and splits hot categories of a large one.
+    """
+    return df.join(category_positions(df, col), col, "left")
+
+
+def one_hot_sparse(df: DataFrame, col: str, prefix: str | None = None, drop_first: bool = False, drop_source: bool = True) -> DataFrame:
+    """One sparse vector column ``<prefix>_onehot`` as wide as there are categories, in sort order.
+
+    A missing value (and with ``drop_first`` the first category, which then has no place) is the
+    zero vector.  An empty column gives vectors of width 1.
+    """
+    dictionary = category_positions(df, col)
+    size = dictionary.count() - int(drop_first)
+    place = F.col("position") - int(drop_first)
+    # MLlib's encoder drops the last index: that of the rows without an entry
+    index = F.when(place >= 0, place).otherwise(F.lit(max(1, size))).cast("double")
+    marked = df.join(dictionary, col, "left").withColumn("_index", index)
+    marked = marked.withMetadata("_index", {"ml_attr": {"type": "nominal", "num_vals": max(1, size) + 1}})
+    encoder = OneHotEncoder(inputCol="_index", outputCol=f"{prefix or col}_onehot", dropLast=True)
+    out = encoder.fit(marked).transform(marked).drop("_index", "position")
+    return out.drop(col) if drop_source else out
 
 
 def fit_one_hot_capped(train: DataFrame, col: str, max_categories: int = 20) -> dict:
@@ -56,9 +93,9 @@ def fit_one_hot_capped(train: DataFrame, col: str, max_categories: int = 20) ->
     counts = train.where(_q(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     n_cats = counts.count()
     if n_cats <= max_categories:
-        kept = categories(train, col)
+        kept = categories(train, col, max_categories)
         return {"col": col, "kept": kept, "infrequent": []}
-    ranked = counts.orderBy(F.desc("n"), F.desc(col)).limit(MAX_ONE_HOT_CATEGORIES + max_categories).collect()
+    ranked = counts.orderBy(F.desc("n"), F.desc(col)).limit(max_categories - 1).collect()
     kept = sorted(r[col] for r in ranked[: max_categories - 1])
     infrequent = counts.where(~_q(col).isin(kept)).select(col)
     return {"col": col, "kept": kept, "infrequent": infrequent}

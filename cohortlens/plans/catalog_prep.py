@@ -319,6 +319,15 @@ def q_one_hot_drop_first(spark, sf):
     return recode.one_hot_drop_first(survey(spark, sf).select("id_anon", "segmento"), "segmento")
 
 
+@query("one_hot_sparse", """
+WITH c AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS position FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL))
+SELECT l_orderkey, l_linenumber, position FROM lineitem LEFT JOIN c USING (l_partkey)""", survey_cte=False)
+def q_one_hot_sparse(spark, sf):
+    """More categories than columns can hold: each row's place in the sparse vector."""
+    rows = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return recode.one_hot_positions(rows, "l_partkey").select("l_orderkey", "l_linenumber", "position")
+
+
 @query("one_hot_capped", """
 WITH c AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1),
 nc AS (SELECT count(*) AS k FROM c),

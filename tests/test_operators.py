@@ -157,6 +157,26 @@ def test_one_hot_full_missing_all_zero(spark):
     assert sorted((r.c_x, r.c_y) for r in out) == [(0, 0), (0, 1), (1, 0)]
 
 
+@pytest.mark.parametrize("drop_first", [False, True])
+def test_one_hot_above_the_limit_is_a_sparse_vector(spark, drop_first):
+    d = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "c"), (5, "a")], "id int, c string")
+    encode = recode.one_hot_drop_first if drop_first else recode.one_hot_full
+    got = {r.id: r.c_onehot for r in encode(d, "c", limit=2).collect()}
+    wide = {r.id: r for r in encode(d, "c").collect()}
+    names = ["c_b", "c_c"] if drop_first else ["c_a", "c_b", "c_c"]
+    for i, v in got.items():
+        assert list(v.toArray()) == [float(wide[i][n]) for n in names] and len(v.indices) <= 1
+
+
+def test_one_hot_sparse_of_100_000_categories_and_of_none(spark):
+    wide = spark.range(200_000).select("id", (F.col("id") % 100_000).alias("c"))
+    got = recode.one_hot_full(wide, "c").where("id IN (7, 100007, 99999)").collect()
+    assert {(r.id, r.c_onehot.size, int(r.c_onehot.indices[0])) for r in got} == {(7, 100_000, 7), (100007, 100_000, 7), (99999, 100_000, 99999)}
+    none = spark.createDataFrame([(1, None), (2, None)], "id int, c string")
+    assert [list(r.c_onehot.toArray()) for r in recode.one_hot_sparse(none, "c").collect()] == [[0.0], [0.0]]
+    assert recode.one_hot_sparse(none.limit(0), "c").count() == 0
+
+
 def test_missing_profile_nan_and_distinct(df):
     p = {r.feature: r for r in profile.missing_profile(df).collect()}
     assert p["v"].n_missing == 2  # null and NaN
