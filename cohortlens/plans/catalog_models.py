@@ -102,46 +102,28 @@ def q_coefficient_report(spark, sf):
     return flagged.where("significant = 1")
 
 
-def _smote_fold(train, test, learner, params, k_nb=5, seed=42):
-    """impute + scale fitted on train -> SMOTE the minority of train -> fit -> score test."""
-    imp = wf.MedianImputeExact(IMPUTE).fit(train)
-    tr, te = imp.transform(train), imp.transform(test)
-    sc = wf.RobustScaleIQR(FEATS).fit(tr)
-    tr, te = sc.transform(tr), sc.transform(te)
-    tr = tr.withColumn("fv", F.array(*[F.col(c).cast("double") for c in FEATS]))
-    counts = {r["label"]: r["count"] for r in tr.groupBy("label").count().collect()}
-    n_syn = counts.get(0, 0) - counts.get(1, 0)
-    syn = neighbors.smote(tr.where("label = 1").select("id_anon", "fv"), n_syn, "id_anon", "fv", k_nb, seed)
-    syn_rows = syn.select((-1 - F.col("syn_id")).alias("id_anon"),
-                          *[F.col("vector")[i].alias(c) for i, c in enumerate(FEATS)], F.lit(1).alias("label"))
-    # materialise the augmented training rows once: every fit job below reads them
-    aug = wf._cache(tr.select("id_anon", *FEATS, "label").unionByName(syn_rows))
-    return wf.fit_score(aug, te, learner, FEATS, params, "label", scale=False)
+#: Inverse penalties that the search inside SMOTE tries.
+SMOTE_GRID = {"C": [0.1, 1.0, 10.0, 100.0]}
 
 
 @query("smote_cv")
-@wf.releases_caches
 def q_smote_cv(spark, sf):
-    m = wf._cache(model_table(spark, sf))
-
-    def one(f):
-        s = _smote_fold(m.where(F.col("fold") != f), m.where(F.col("fold") == f), "logreg_ridge", {"C": 1.0})
-        return wf._cache(s.select("id_anon", F.lit(f).alias("fold"), "label", "score", "pred"))
-
-    parts = wf.concurrently(one, range(5), 5)  # independent folds
-    preds = parts[0]
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
-    return wf.summarize_folds(wf.fold_metrics(preds), "survey", "logreg_ridge+smote")
+    """Outer folds; in each an inner search whose training parts are filled up by SMOTE one by one."""
+    return wf.nested_cv(model_table(spark, sf), "logreg_ridge", FEATS, SMOTE_GRID, {"maxIter": 100}, model="survey", parallelism=4,
+                        impute=IMPUTE, smote_k=5)
 
 
 @query("smote_holdout")
 @wf.releases_caches
 def q_smote_holdout(spark, sf):
+    """The same search on the train part; the best model scores the test part."""
     from cohortlens.operators import metrics
 
     s = wf._cache(fx.split(spark, sf).select("id_anon", *FEATS, "label", "split"))
-    scored = _smote_fold(s.where("split = 'train'"), s.where("split = 'test'"), "logreg_ridge", {"C": 1.0})
+    train = resample.stratified_kfold(s.where("split = 'train'"), "label", "id_anon", 5, seed=7, out="inner_fold")
+    best = wf.searched(train, "logreg_ridge", FEATS, SMOTE_GRID, {"maxIter": 100}, parallelism=4, impute=IMPUTE, smote_k=5)
+    scored = wf._cache(wf._with_pred(wf.positive_score(best.transform(s.where("split = 'test'")), "logreg_ridge"))
+                       .select("id_anon", "split", "label", "score", "pred"))
     auc = metrics.roc_auc(scored, "score", "label", ["split"]).select("split", "auc")
     hm = metrics.holdout_metrics(scored, "pred", "label", ["split"])
     return hm.join(auc, "split", "left")

@@ -15,13 +15,14 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.errors import IllegalArgumentException
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.base import _FitMultipleIterator
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators import metrics, replicates, resample
+from cohortlens.operators import metrics, neighbors, replicates, resample
 from cohortlens.operators.impute import apply_fill, apply_robust_scale, fit_median, fold_fits
 from cohortlens.plans.learners import (
     GaussianNBSmoothed,
@@ -113,6 +114,50 @@ def build_pipeline(learner_name: str, features: Sequence[str], params: dict | No
     return Pipeline(stages=stages)
 
 
+class SmotePipeline(Estimator):
+    """impute -> robust scale -> SMOTE -> learner, where only ``fit`` sees synthetic rows.
+
+    In a search every inner training part so has synthetic rows of its own minority (label 1) rows, and
+    validation rows are neither parents nor children of any.  All parameter maps of one training part
+    share its synthetic rows, which are written to the shared folder.  With fewer than two minority rows, or
+    classes of one size, nothing is added.
+    """
+
+    def __init__(self, learner: Estimator | None = None, features: Sequence[str] = (), label: str = "label", id_col: str = "id_anon",
+                 impute: Sequence[str] = (), k: int = 5, seed: int = 42):
+        super().__init__()
+        self.learner, self.features, self.label, self.id_col = learner, list(features), label, id_col
+        self.impute, self.k, self.seed = list(impute), k, seed
+
+    def copy(self, extra=None) -> "SmotePipeline":
+        that = super().copy(extra)
+        that.learner = self.learner.copy(extra)
+        return that
+
+    def resampled(self, dataset: DataFrame) -> tuple[list, DataFrame]:
+        """The fitted preparations and the prepared rows (id, features, label) with the synthetic ones, whose ids are negative."""
+        prepare = Pipeline(stages=[*([MedianImputeExact(self.impute)] if self.impute else []), RobustScaleIQR(self.features)]).fit(dataset)
+        rows = prepare.transform(dataset).select(self.id_col, *[F.col(c).cast("double").alias(c) for c in self.features], self.label)
+        counts = {r[self.label]: r["count"] for r in rows.groupBy(self.label).count().collect()}
+        minority = rows.where(F.col(self.label) == 1).select(self.id_col, F.array(*self.features).alias("_vector"))
+        made = neighbors.smote(minority, counts.get(0, 0) - counts.get(1, 0), self.id_col, "_vector", self.k, self.seed)
+        made = made.select((-1 - F.col("syn_id")).alias(self.id_col), *[F.col("vector")[i].alias(c) for i, c in enumerate(self.features)],
+                           F.lit(1).cast(rows.schema[self.label].dataType).alias(self.label))
+        path = fresh_path(dataset.sparkSession, "resampled")
+        whole = rows.unionByName(made)
+        whole.write.parquet(path)
+        return prepare.stages, dataset.sparkSession.read.schema(whole.schema).parquet(path)
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]):
+        stages, rows = self.resampled(dataset)
+        join = assembler(self.features)
+        ready = join.transform(rows)
+        return _FitMultipleIterator(lambda i: PipelineModel([*stages, join, self.learner.fit(ready, paramMaps[i])]), len(paramMaps))
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        return next(self.fitMultiple(dataset, [{}]))[1]
+
+
 UNWEIGHTED = {"gradient_boosting", "mlp", "gaussian_nb"}
 
 
@@ -217,7 +262,7 @@ def simple_cv(df: DataFrame, learner_name: str, features: Sequence[str], params:
 
 def param_grid(est, learner_name: str, grid: dict, n_rows: int):
     """ParamGridBuilder over the learner stage; C values become regParam = 1 / (C * n)."""
-    learner = est
+    learner = est.learner if isinstance(est, SmotePipeline) else est
     while hasattr(learner, "getStages"):
         learner = learner.getStages()[-1]
     b = ParamGridBuilder()
@@ -229,11 +274,37 @@ def param_grid(est, learner_name: str, grid: dict, n_rows: int):
     return b.build()
 
 
+def searched(train: DataFrame, learner_name: str, features: Sequence[str], grid: dict, params: dict | None = None,
+             label: str = "label", id_col: str = "id_anon", k_inner: int = 5, parallelism: int = 2, impute: Sequence[str] = (),
+             smote_k: int | None = None) -> Model:
+    """The best model of the grid by AUC over the folds of column ``inner_fold``, refitted on all of ``train``.
+
+    With ``smote_k`` the minority of every training part is filled up by SMOTE inside ``fit`` (``SmotePipeline``);
+    otherwise rows are weighted by class.
+    """
+    if smote_k is None:
+        train = _with_weights(train, learner_name, label)
+        n = train.count()
+        pipe = build_pipeline(learner_name, features, params, label, None if learner_name in UNWEIGHTED else "weight", n, impute)
+    else:
+        if learner_name == "gaussian_nb":
+            raise ValueError("gaussian_nb reads columns, not vectors: not with SMOTE")
+        n = 2 * max((r["count"] for r in train.groupBy(label).count().collect()), default=1)
+        learner = make_learner(learner_name, params, label=label, weight=None, n_features=len(features), sum_weights=float(n))
+        pipe = SmotePipeline(learner, features, label, id_col, impute, smote_k)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=param_grid(pipe, learner_name, grid, n) if grid else [{}], foldCol="inner_fold",
+                        evaluator=BinaryClassificationEvaluator(
+                            labelCol=label, rawPredictionCol="score" if learner_name == "gaussian_nb" else "rawPrediction",
+                            numBins=0),  # every score counts, whatever their number
+                        parallelism=parallelism, numFolds=k_inner, seed=7)
+    return cv.fit(train).bestModel
+
+
 @releases_caches
 def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: dict, params: dict | None = None,
               model: str = "M", label: str = "label", id_col: str = "id_anon", k_outer: int = 5, k_inner: int = 5,
-              parallelism: int = 2, impute: Sequence[str] = ()) -> DataFrame:
-    """Outer k folds; inner search by CrossValidator on exact stratified inner folds; refit; score outer fold.
+              parallelism: int = 2, impute: Sequence[str] = (), smote_k: int | None = None) -> DataFrame:
+    """Outer k folds; inner search (``searched``) on exact stratified inner folds; refit; score outer fold.
 
     An outer fold that can't be fitted scores AUC 0.5 and precision/recall/F1 0, as in the
     reference; ``n_failed`` tells how many did. Errors other than fit errors are raised.
@@ -242,18 +313,8 @@ def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: d
     base = _cache(df)
     def outer(f):
         train = base.join(inner.where(F.col("outer_fold") == f).select(id_col, "inner_fold"), id_col)
-        train = _with_weights(train, learner_name, label)
-        n = train.count()
-        weight = None if learner_name in UNWEIGHTED else "weight"
-        pipe = build_pipeline(learner_name, features, params, label, weight, n, impute)
-        grid_maps = param_grid(pipe, learner_name, grid, n) if grid else [{}]
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid_maps, foldCol="inner_fold",
-                            evaluator=BinaryClassificationEvaluator(
-                                labelCol=label, rawPredictionCol="score" if learner_name == "gaussian_nb" else "rawPrediction",
-                                numBins=0),  # every score counts, whatever their number
-                            parallelism=parallelism, numFolds=k_inner, seed=7)
         try:
-            best = cv.fit(train).bestModel
+            best = searched(train, learner_name, features, grid, params, label, id_col, k_inner, parallelism, impute, smote_k)
             scored = _with_pred(positive_score(best.transform(base.where(F.col("fold") == f)), learner_name))
             return f, _cache(scored.select(id_col, F.lit(f).alias("fold"), label, "score", "pred"))
         except FIT_ERRORS:
@@ -273,7 +334,7 @@ def nested_cv(df: DataFrame, learner_name: str, features: Sequence[str], grid: d
         spark = df.sparkSession
         fm = fm.unionByName(spark.createDataFrame([(f, 0.5, 0.0, 0.0, 0.0) for f in failed],
                                                   "fold int, auc double, precision double, recall double, f1 double"))
-    return summarize_folds(fm, model, learner_name).withColumn("n_failed", F.lit(len(failed)))
+    return summarize_folds(fm, model, learner_name + ("+smote" if smote_k else "")).withColumn("n_failed", F.lit(len(failed)))
 
 
 @releases_caches

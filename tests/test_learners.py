@@ -50,3 +50,32 @@ def test_workflows_release_their_caches(spark, table):
     wf.simple_cv(table, "logreg_ridge", ["zimc"], {"C": 1.0}).collect()
     after = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
     assert after <= before
+
+
+def test_synthetic_rows_stay_inside_their_training_part(spark, table, monkeypatch):
+    from cohortlens.operators import neighbors
+    from cohortlens.operators.resample import stratified_kfold
+
+    seen, smote = [], neighbors.smote
+
+    def watched(minority, *args, **options):
+        out = smote(minority, *args, **options)
+        seen.append(({r.id_anon for r in minority.select("id_anon").collect()},
+                     {v for r in out.select("base_id", "neighbor_id").collect() for v in r}, out.count()))
+        return out
+
+    monkeypatch.setattr(neighbors, "smote", watched)
+    rows = stratified_kfold(table.where("id_anon % 10 = 0").drop("fold"), "label", "id_anon", 3, seed=7, out="inner_fold").cache()
+    best = wf.searched(rows, "logreg_ridge", ["zimc", "x1"], {"C": [0.1, 10.0]}, k_inner=3, smote_k=5)
+    ids = {f: {r.id_anon for r in rows.where((F.col("label") == 1) & (F.col("inner_fold") != f)).collect()} for f in range(3)}
+    whole = {r.id_anon for r in rows.where("label = 1").collect()}
+    # one SMOTE for each inner training part, shared by both parameter maps, and one for the refit
+    assert sorted(map(sorted, [s[0] for s in seen])) == sorted(map(sorted, [*ids.values(), whole]))
+    assert all(parents <= own and n > 0 for own, parents, n in seen)
+    assert best.transform(rows).count() == rows.count()  # scoring adds none
+
+
+def test_smote_pipeline_without_a_minority_adds_nothing(spark, table):
+    pipe = wf.SmotePipeline(None, ["zimc", "x1"])
+    _, rows = pipe.resampled(table.where("label = 0"))
+    assert rows.where("id_anon < 0").count() == 0 and rows.count() == table.where("label = 0").count()
