@@ -13,9 +13,11 @@ from cohortlens.functions.hashing import portable_hash_sql
 from cohortlens.operators import neighbors, replicates, resample
 from cohortlens.operators.metrics import delta_verdict
 from cohortlens.plans import fixtures as fx
+from cohortlens.plans import search
 from cohortlens.plans import workflow as wf
 from cohortlens.plans.learners import apply_gaussian_nb, fit_gaussian_nb_folds
 from cohortlens.plans.registry import query
+from cohortlens.session import fresh_path
 from cohortlens.sources.tables import load, survey
 
 FEATS = ["x1", "x2", "peso1", "peso2", "semanas", "tempo", "idade"]
@@ -339,6 +341,64 @@ def q_simple_cv_nb(spark, sf):
     return wf.simple_cv(fx.folds(spark, sf).select("id_anon", *NB_FEATS, "label", "fold"), "gaussian_nb", NB_FEATS, model="survey")
 
 
+#: The learner of the search that SQL can repeat, with its whole grid.
+SEARCH_GRID = {"gaussian_nb": search.GRIDS["gaussian_nb"]}
+
+
+def _search_nb_sql() -> str:
+    """Nested search of Gaussian NB's smoothing: every (outer, inner, point) fit from the rows left over, then each best point refitted.
+
+    The engine smooths scaled features, by a share of their largest variance; here that is brought back to each feature's own scale.
+    """
+    from cohortlens.plans.catalog_analysis import auc_ctes
+
+    def scored(name: str, rows: str, part: str, train: str, valid: str, points: str) -> str:
+        """CTE ``name``: (part, vs, fold of the row, label, score) of the valid rows of every part and point."""
+        own = part.split(", ")
+        same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in own)
+        stats = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in NB_FEATS)
+        iqr = ", ".join(f"COALESCE(NULLIF(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 0), 1) AS i_{c}, var_pop({c}) AS t_{c}" for c in NB_FEATS)
+        eps = "greatest(" + ", ".join(f"t_{c} / (i_{c} * i_{c})" for c in NB_FEATS) + ")"
+        var = {c: f"(v_{c} + p.vs * {eps} * i_{c} * i_{c})" for c in NB_FEATS}
+        joint = "ln(s.n / z.n)" + "".join(f" - 0.5 * ln({var[c]}) - (r.{c} - m_{c}) * (r.{c} - m_{c}) / (2.0 * {var[c]})" for c in NB_FEATS)
+        return f"""{name}_st AS (SELECT {part}, label AS cls, CAST(count(*) AS DOUBLE) AS n, {stats} FROM {rows} WHERE {train} GROUP BY ALL),
+{name}_iq AS (SELECT {part}, CAST(count(*) AS DOUBLE) AS n, {iqr} FROM {rows} WHERE {train} GROUP BY ALL),
+{name}_j AS (SELECT {', '.join('r.' + c for c in own)}, p.vs, p.position, r.id_anon, r.label, s.cls, {joint} AS jl
+  FROM (SELECT * FROM {rows} WHERE {valid}) r JOIN {name}_st s ON {same('r', 's')} JOIN {name}_iq z ON {same('r', 'z')} JOIN {points}),
+{name} AS (SELECT {part}, vs, position, id_anon, label, 1.0 / (1.0 + exp(max(jl) FILTER (WHERE cls = 0) - max(jl) FILTER (WHERE cls = 1))) AS score
+  FROM {name}_j GROUP BY ALL)"""
+
+    vs = SEARCH_GRID["gaussian_nb"]["var_smoothing"]
+    points = "(VALUES " + ", ".join(f"({i}, CAST({v!r} AS DOUBLE))" for i, v in enumerate(vs)) + ") p(position, vs) ON true"
+    return f"""WITH {fx.FOLDS_CTE},
+ex AS (SELECT CAST(o.k AS INT) AS f, folds.*, {portable_hash_sql(7, 'folds.id_anon')} AS h FROM folds JOIN range(0, 5) o(k) ON folds.fold <> o.k),
+nest AS (SELECT *, CAST((row_number() OVER (PARTITION BY f, label ORDER BY h, id_anon) - 1) % 5 AS INT) AS inf FROM ex),
+parts AS (SELECT nest.*, CAST(g.k AS INT) AS g FROM nest, range(0, 5) g(k)),
+{scored('sc', 'parts', 'f, g', 'inf <> g', 'inf = g', points)},
+{auc_ctes('sc', ['f', 'g', 'vs', 'position'], 'ia')},
+mean AS (SELECT f, vs, position, avg(auc) AS inner_auc FROM ia_auc GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY round(inner_auc, 12) DESC, position) AS r FROM mean),
+outr AS (SELECT folds.*, CAST(o.k AS INT) AS f FROM folds, range(0, 5) o(k)),
+{scored('os', 'outr', 'f', 'fold <> f', 'fold = f', "(SELECT f AS bf, vs, position FROM best WHERE r = 1) p ON p.bf = r.f")},
+{auc_ctes('os', ['f'], 'oa')},
+cm AS (SELECT f, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp,
+         count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn FROM os GROUP BY 1)
+SELECT f AS outer_fold, vs AS var_smoothing, round(inner_auc, 6) AS inner_auc, round(auc, 6) AS auc,
+  round(CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0 END, 6) AS precision,
+  round(CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0.0 END, 6) AS recall,
+  round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1
+FROM best JOIN oa_auc USING (f) JOIN cm USING (f) WHERE best.r = 1"""
+
+
+@query("search_nb", _search_nb_sql())
+def q_search_nb(spark, sf):
+    """Nested search over a whole grid, through the table of jobs: the best point of every outer fold and its metrics."""
+    rows = fx.folds(spark, sf).select("id_anon", *NB_FEATS, "label", "fold")
+    out = search.search_cv(rows, SEARCH_GRID, NB_FEATS, fresh_path(spark, "search"), model="survey", parallelism=8)
+    return out.select(F.col("outer").alias("outer_fold"), F.get_json_object("params", "$.var_smoothing").cast("double").alias("var_smoothing"),
+                      *[F.round(c, 6).alias(c) for c in ("inner_auc", "auc", "precision", "recall", "f1")])
+
+
 N_BOOT_NB = 1000
 
 

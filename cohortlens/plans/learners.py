@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.impute import apply_robust_scale, fit_robust_scale
+from cohortlens.plans.boosting import HistogramBooster
 
 
 class RobustScaleIQR(Estimator):
@@ -193,10 +194,9 @@ def make_learner(name: str, params: dict | None = None, features: str = "feature
     if name == "gradient_boosting":
         return GBTClassifier(**common, maxIter=p.get("maxIter", 50), stepSize=p.get("stepSize", 0.1),
                              maxDepth=p.get("maxDepth", 3), seed=p.get("seed", 42))
-    if name == "weighted_boosting":
-        gb = GBTClassifier(**common, maxIter=p.get("maxIter", 50), stepSize=p.get("stepSize", 0.1),
-                           maxDepth=p.get("maxDepth", 3), seed=p.get("seed", 42))
-        return gb.setWeightCol(weight or "weight")
+    if name in ("weighted_boosting", "balanced_boosting"):
+        return HistogramBooster(**common, weightCol=weight, maxIter=p.get("maxIter", 50), stepSize=p.get("stepSize", 0.1),
+                                maxDepth=p.get("maxDepth", 3), max_leaves=p.get("max_leaves"), reg_lambda=p.get("reg_lambda", 1.0))
     if name == "linear_svm":
         svc = LinearSVC(**common, regParam=1.0 / (p.get("C", 1.0) * sum_weights), maxIter=p.get("maxIter", 50),
                         tol=p.get("tol", 1e-4), standardization=False)

@@ -280,8 +280,10 @@ def searched(train: DataFrame, learner_name: str, features: Sequence[str], grid:
     """The best model of the grid by AUC over the folds of column ``inner_fold``, refitted on all of ``train``.
 
     With ``smote_k`` the minority of every training part is filled up by SMOTE inside ``fit`` (``SmotePipeline``);
-    otherwise rows are weighted by class.
+    otherwise rows are weighted by class.  The histogram boosters have no MLlib parameters: search them by ``search.search_cv``.
     """
+    if learner_name in ("weighted_boosting", "balanced_boosting"):
+        raise TypeError(f"{learner_name} is searched by search.search_cv")
     if smote_k is None:
         train = _with_weights(train, learner_name, label)
         n = train.count()
