@@ -143,3 +143,22 @@ def test_one_class_replicates_keep_the_table_s_coefficients(spark):
     rows = [(i, float(i), 1 if i == 0 else 0) for i in range(20)]
     got = wf.bootstrap_coefficients(spark.createDataFrame(rows, "id long, x double, label int"), ["x"], id_col="id", n_boot=30).collect()
     assert 0 < got[0]["n_failed"] < 30 and got[0]["ci_lower"] <= got[0]["coef"] <= got[0]["ci_upper"]
+
+
+def test_counts_equal_the_polynomial_in_whole_numbers():
+    plan = rp.Plan(7, 3, 0.9)
+    a, cuts = plan.coefficients(), plan.cuts()
+    keys = np.array([0, 1, 2, 12345, rp.PRIME - 2, rp.PRIME - 1], dtype=np.uint64)
+    for h, row in zip(keys.tolist(), rp._counts(keys, a, cuts)):
+        x = [(((int(a[3][b]) * h + int(a[2][b])) * h + int(a[1][b])) * h + int(a[0][b])) % rp.PRIME for b in range(7)]
+        assert row.tolist() == [sum(v >= c for c in cuts) for v in x]
+
+
+def test_replicates_start_from_the_table_s_fit(exact, monkeypatch):
+    """Few scans weigh the rows by all replicates, and few of them sum Hessians."""
+    scans, sums = [], many_models._sums
+    monkeypatch.setattr(many_models, "_sums", lambda rows, plan, n, theta, cw, curved=True: scans.append((len(theta), curved)) or sums(
+        rows, plan, n, theta, cw, curved))
+    many_models.fit_replicates(exact, ["x", "gaps"], "label", 1.0)
+    whole = [curved for n, curved in scans if n > 1]
+    assert len(whole) <= 8 and sum(whole) <= 2
