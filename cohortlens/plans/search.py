@@ -8,8 +8,9 @@ the table alone.
 
 What all jobs of a training part share is fitted once: medians and scales of all
 inner parts of an outer fold come from one count by fold (``impute.fold_fits``),
-class weights from another.  Jobs of one outer fold are fitted at the same time,
-``together`` of them, and their AUCs come from one grouped job.
+class weights from another, and all fits of naive Bayes from one count of moments.
+Jobs of one outer fold are fitted at the same time, ``together`` of them, and their
+AUCs come from one grouped job.
 
 The folder belongs to one table of rows and one list of features: give other data
 another folder or another ``model``.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import metrics, neighbors, resample
 from cohortlens.operators.impute import apply_fill, apply_robust_scale, fold_fits
 from cohortlens.plans import workflow as wf
-from cohortlens.plans.learners import GaussianNBSmoothed, assembler, make_learner, positive_score
+from cohortlens.plans.learners import GaussianNBSmoothed, apply_gaussian_nb, assembler, make_learner, nb_fit, nb_moments, positive_score
 from cohortlens.sources.io import resume_skip_done, result_upsert
 
 #: The searched values of every learner.  ``maxDepth`` 30 is MLlib's deepest tree and stands for "no limit".
@@ -138,6 +139,21 @@ class _Parts:
         self.classes = {k: {r[label] for r in cells if r[fold_col] != k} for k in self.folds}
         self.weights: dict[str, dict] = {}
         self.lock = threading.Lock()
+        self.moments: list | None = None
+
+    def naive_bayes(self, fold: int, var_smoothing: float) -> dict:
+        """The fit of a fold's training part, from moments that all folds share; ValueError where it has not both classes."""
+        if len(self.classes[fold]) < 2:
+            raise ValueError(f"one class only outside fold {fold}")
+        with self.lock:
+            if self.moments is None:
+                self.moments = nb_moments(self.df, self.fold_col, self.features, self.label)
+        return nb_fit(self.moments, fold, self.features, var_smoothing, self.fits[fold]["fills"], self.fits[fold]["scale"])
+
+    def ready(self, fold: int) -> DataFrame:
+        """All rows, filled and scaled by a fold's training part."""
+        fit = self.fits[fold]
+        return apply_robust_scale(apply_fill(self.df, fit["fills"]), {c: fit["scale"][c] for c in self.features})
 
     def part(self, fold: int, algorithm: str) -> tuple[DataFrame, DataFrame, int, str | None]:
         """(train, valid, rows of train, name of its weight column or None); ValueError where train has not both classes."""
@@ -147,15 +163,30 @@ class _Parts:
             if algorithm not in self.weights:
                 self.weights[algorithm] = wf.fold_weights(self.df, algorithm, self.label, self.fold_col, self.folds)
         n, weight = self.weights[algorithm][fold]
-        fit = self.fits[fold]
-        ready = apply_robust_scale(apply_fill(self.df, fit["fills"]), {c: fit["scale"][c] for c in self.features})
-        ready = ready.withColumn("_vector", F.array(*[F.col(c).cast("double") for c in self.features]))
+        ready = self.ready(fold).withColumn("_vector", F.array(*[F.col(c).cast("double") for c in self.features]))
         if weight is not None:
             ready = ready.withColumn("weight", weight)
         own = F.col(self.fold_col)
         return ready.where(own != fold), ready.where(own == fold), n, None if weight is None else "weight"
 
 
+def _naive_bayes_scores(parts: _Parts, jobs: Sequence, label: str) -> list[DataFrame]:
+    """(inner, point, label, score) of naive Bayes jobs: a validation part is read once for all its points."""
+    out = []
+    for inner in dict.fromkeys(job["inner"] for job in jobs):
+        try:
+            fits = {job["point"]: parts.naive_bayes(inner, json.loads(job["params"]).get("var_smoothing", 1e-9)) for job in jobs if job["inner"] == inner}
+        except wf.FIT_ERRORS:
+            continue
+        rows = parts.ready(inner).where(F.col(parts.fold_col) == inner)
+        names = {f"_s{i}": point for i, point in enumerate(fits)}
+        for name, point in names.items():
+            rows = apply_gaussian_nb(rows, fits[point], name)
+        scores = F.explode(F.array(*[F.struct(F.lit(point).alias("point"), F.col(name).alias("score")) for name, point in names.items()]))
+        out.append(rows.select(F.col(label).alias("label"), scores.alias("_s")).select(F.lit(inner).alias("inner"), "_s.point", "label", "_s.score"))
+    return out
+
+
 def _job_rows(parts: _Parts, group: Sequence, features, label: str, id_col: str, parallelism: int) -> list[tuple]:
     """Results of some jobs of one outer fold: fitted at the same time, all scored by one grouped job."""
     def fitted(job):
@@ -166,7 +197,9 @@ def _job_rows(parts: _Parts, group: Sequence, features, label: str, id_col: str,
             return None
         return scored.select(F.lit(job["inner"]).alias("inner"), F.lit(job["point"]).alias("point"), F.col(label).alias("label"), "score")
 
-    scored = [s for s in wf.concurrently(fitted, group, parallelism) if s is not None]
+    shared = [job for job in group if job["algorithm"] == "gaussian_nb"]
+    own = [job for job in group if job["algorithm"] != "gaussian_nb"]
+    scored = _naive_bayes_scores(parts, shared, label) + [s for s in (wf.concurrently(fitted, own, parallelism) if own else []) if s is not None]
     aucs = {}
     if scored:
         every = metrics.roc_auc(functools.reduce(DataFrame.unionByName, scored), "score", "label", ["inner", "point"], len(group))
@@ -208,14 +241,19 @@ def search_cv(df: DataFrame, grids: Mapping[str, Mapping], features: Sequence[st
         todo.setdefault(r["outer"], {}).setdefault(r["algorithm"], []).append(r)
     if todo:
         inner = wf._cache(resample.nested_folds(base, label, id_col, "fold", k_outer, k_inner, seed=7))
-    for outer, algorithms in todo.items():
+
+    def search_fold(outer: int) -> None:
         rows = wf._cache(base.drop("fold").join(inner.where(F.col("outer_fold") == outer).select(id_col, "inner_fold"), id_col))
         parts = _Parts(rows, features, impute, label, "inner_fold", range(k_inner))
-        for own in algorithms.values():
+        for own in todo[outer].values():
             for i in range(0, len(own), together):
-                store(_job_rows(parts, own[i:i + together], features, label, id_col, parallelism), JOB_SCHEMA, jobs_at, JOB_KEYS)
+                store(_job_rows(parts, own[i:i + together], features, label, id_col, within), JOB_SCHEMA, jobs_at, JOB_KEYS)
         rows.unpersist()
 
+    # at most ``parallelism`` fits at the same time, over outer folds first
+    within = max(1, parallelism // max(1, len(todo)))
+    wf.concurrently(search_fold, list(todo), parallelism)
+
     # ---- outer folds that the table lacks
     wanted = jobs.select(*FOLD_KEYS).distinct()
     open_folds = sorted(tuple(r) for r in resume_skip_done(wanted, stored(spark, folds_at, FOLD_SCHEMA), FOLD_KEYS).collect())
@@ -228,8 +266,13 @@ def search_cv(df: DataFrame, grids: Mapping[str, Mapping], features: Sequence[st
             chosen, result, failed = best.get(key), FAILED_FOLD, 1
             if chosen is not None:
                 try:
-                    train, valid, n, weight = ready.part(key[2], key[1])
-                    scored = part_scores(train, valid, key[1], json.loads(chosen["params"]), features, label, id_col, n, weight)
+                    params = json.loads(chosen["params"])
+                    if key[1] == "gaussian_nb":
+                        fitted = ready.naive_bayes(key[2], params.get("var_smoothing", 1e-9))
+                        scored = wf._with_pred(apply_gaussian_nb(ready.ready(key[2]).where(F.col("fold") == key[2]), fitted))
+                    else:
+                        train, valid, n, weight = ready.part(key[2], key[1])
+                        scored = part_scores(train, valid, key[1], params, features, label, id_col, n, weight)
                     scored = wf._cache(scored.select(id_col, F.lit(key[2]).alias("fold"), label, "score", "pred"))
                     m = wf.fold_metrics(scored, label).first()
                 except wf.FIT_ERRORS:
