@@ -72,3 +72,12 @@ def test_baseline_and_extended_fits_run_at_the_same_time(spark, monkeypatch):
 
     monkeypatch.setattr(wf, "fold_predictions", met)
     assert catalog_models.q_baseline_vs_extended(spark, SF0001).count() == 4
+
+
+def test_large_folds_are_fitted_one_after_another(rows, monkeypatch):
+    assert wf.at_once(54_000_000, 5) == 1 and wf.at_once(120_000, 5) == 5
+    workers, run = [], wf.concurrently
+    monkeypatch.setattr(wf, "concurrently", lambda fn, items, n: workers.append(n) or run(fn, items, n))
+    monkeypatch.setattr(wf, "ROWS_AT_ONCE", 1300)  # two training parts of 600 rows
+    wf.fold_predictions(rows.withColumnRenamed("inner_fold", "fold"), "logreg_ridge", ["a", "b"], k=3, impute=["a"])
+    assert workers == [2]
