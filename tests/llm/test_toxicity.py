@@ -127,3 +127,48 @@ def test_a_repeated_id_is_collected_once(make):
     assert len(got) == len(set(learnt)) and got["weight"].sum() == len(learnt)
     small = toxicity.labelled_sample(docs, labels, "toxic", "doc_id", "text", "lang", 4000, chars=60_000)
     assert small["text"].str.len().sum() < 150_000
+
+
+def test_texts_over_400_000_characters_are_learnt_from(make):
+    rows = [(i, "x" * 400_001 + " grobian", "en", "s", 0) if i % 20 == 0 else (i, f"good day number {i}", "en", "s", 0) for i in range(80)]
+    model = toxicity.train(make(rows, DOCS), make([(i, 1, int(i % 20 == 0)) for i in range(80)], LABELS))
+    assert model.score(rows[0][1]) > 0.5 > model.score(rows[1][1])
+
+
+def test_thresholds_come_from_all_labelled_rows(make):
+    rows, marks = corpus(900)
+    learnt = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 != 2]
+    swedish = {y: [i for i in learnt if marks[i][2] == y][:25] for y in (0, 1)}  # a fifth of them is too few for a threshold
+    rows = [(i, t, "sv" if i in swedish[0] + swedish[1] else None, s, n) for i, t, _, s, n in rows]
+    assert list(toxicity.train(make(rows, DOCS), make(marks, LABELS)).thresholds) == ["sv"]
+
+
+def test_averaged_passes_over_parts_learn_as_well(make, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_ROWS", 120)
+    rows, marks = corpus(900)
+    docs, labels = make(rows, DOCS), make(marks, LABELS)
+    model, again = toxicity.train(docs, labels), toxicity.train(docs, labels)
+    assert np.array_equal(model.embedding, again.embedding) and model.thresholds == again.thresholds
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(model.score(rows[i][1]) >= 0.3) == marks[i][2] for i in held]) > 0.93
+
+
+def test_parts_hold_every_labelled_row_once(make):
+    rows, marks = corpus(300)
+    docs, labels = make(rows + rows[:50] + [(301, None, None, None, 0)], DOCS), make([*marks, (301, 1, 0), (None, 1, 1)], LABELS)
+    parts = toxicity.pack(toxicity.distinct_rows(toxicity.labelled(docs, labels, "toxic", "doc_id", "text", "lang")), 4).collect()
+    learnt = [i for i in [*range(300), 301] if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert {r.part for r in parts} == {0, 1, 2, 3} and len(parts) == len(learnt)
+    assert sum(r.weight for r in parts) == len(learnt) + sum(i < 50 for i in learnt)
+    words = sorted(toxicity._words(r).tolist() for r in parts)
+    assert words == sorted(toxicity.word_buckets(rows[i][1] if i < 300 else None).tolist() for i in learnt)
+
+
+def test_thresholds_by_runs_are_those_of_one_sort(make, monkeypatch):
+    rng = np.random.default_rng(0)
+    scores, labels, times = rng.integers(0, 50, 600) / 50, rng.integers(0, 2, 600), rng.integers(1, 5, 600)
+    langs = rng.choice(["en", "de", "fr", None, "sv"], 600, p=[0.4, 0.3, 0.17, 0.1, 0.03]).tolist()
+    monkeypatch.setattr(toxicity, "parts_for", lambda rows: 5)
+    scored = make(list(zip(langs, labels.tolist(), times.astype(float).tolist(), scores.tolist(), strict=True)), "lang string, y int, weight double, score double")
+    want = toxicity.calibrate(scores, labels, langs, 0.3, weights=times)
+    assert toxicity.best_thresholds(scored, 0.3) == pytest.approx(want) and set(want) == {"en", "de", "fr"}
