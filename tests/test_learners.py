@@ -79,3 +79,13 @@ def test_smote_pipeline_without_a_minority_adds_nothing(spark, table):
     pipe = wf.SmotePipeline(None, ["zimc", "x1"])
     _, rows = pipe.resampled(table.where("label = 0"))
     assert rows.where("id_anon < 0").count() == 0 and rows.count() == table.where("label = 0").count()
+
+
+def test_boosting_query_fits_the_reference_rounds(monkeypatch):
+    from cohortlens.plans import catalog_models
+
+    seen, make = [], wf.make_learner
+    monkeypatch.setattr(wf, "make_learner", lambda *a, **o: seen.append(make(*a, **o)) or seen[-1])
+    wf.build_pipeline("gradient_boosting", ["x1"], catalog_models.LEARNER_PARAMS["gradient_boosting"])
+    assert seen[0].getMaxIter() == 100 and seen[0].getStepSize() == 0.1 and seen[0].getMaxDepth() == 3
+    assert wf.make_learner("gradient_boosting").getMaxIter() == 100
