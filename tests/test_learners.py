@@ -89,3 +89,14 @@ def test_boosting_query_fits_the_reference_rounds(monkeypatch):
     wf.build_pipeline("gradient_boosting", ["x1"], catalog_models.LEARNER_PARAMS["gradient_boosting"])
     assert seen[0].getMaxIter() == 100 and seen[0].getStepSize() == 0.1 and seen[0].getMaxDepth() == 3
     assert wf.make_learner("gradient_boosting").getMaxIter() == 100
+
+
+def test_network_query_fits_the_reference_layers_and_passes(monkeypatch):
+    from cohortlens.plans import catalog_models, search
+
+    seen, make = [], wf.make_learner
+    monkeypatch.setattr(wf, "make_learner", lambda *a, **o: seen.append(make(*a, **o)) or seen[-1])
+    wf.build_pipeline("mlp", ["x1", "x2"], catalog_models.LEARNER_PARAMS["mlp"])
+    seen.append(make("mlp", n_features=2))
+    assert [(list(m.getLayers()), m.getMaxIter()) for m in seen] == 2 * [([2, 64, 2], 500)]
+    assert catalog_models.LEARNER_PARAMS["mlp"]["hidden"] in search.GRIDS["mlp"]["hidden"]
