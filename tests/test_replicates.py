@@ -162,3 +162,26 @@ def test_replicates_start_from_the_table_s_fit(exact, monkeypatch):
     many_models.fit_replicates(exact, ["x", "gaps"], "label", 1.0)
     whole = [curved for n, curved in scans if n > 1]
     assert len(whole) <= 12 and sum(whole) <= 4, whole
+
+
+def test_features_of_few_values_are_weighed_once(spark, monkeypatch):
+    """The intervals are those of the sorted rows; only features of many values are sorted."""
+    from cohortlens.operators import metrics
+
+    k = F.col("id")
+    rows = spark.range(700).select(
+        k.alias("i"), F.when(k % 9 != 0, k % 5 - 2.0).alias("few"), F.when(k % 4 == 0, F.lit(float("nan"))).otherwise(k % 3 * -0.0).alias("odd"),
+        (F.xxhash64("id") % 1000).cast("double").alias("many"), F.when(k % 11 != 0, F.concat(F.lit("c"), (k % 6).cast("string"))).alias("cat"),
+        F.when(k % 13 != 0, (F.xxhash64("id", F.lit(2)) % 3 == 0).cast("int")).alias("y")).cache()
+    sorted_rows, real = [], rp.replicate_auc
+
+    def watched(draws, score, label, key):
+        sorted_rows.append({r[0] for r in draws.rows.select(key).distinct().collect()})
+        return real(draws, score, label, key)
+
+    monkeypatch.setattr(rp, "replicate_auc", watched)
+    run = lambda: metrics.univariate_auc(rows, "y", ["few", "odd", "many"], ["cat"], n_boot=40, id_col="i").orderBy("feature").collect()
+    got = run()
+    monkeypatch.setattr(metrics, "FEW_SCORES", 0)
+    assert got == run() and len(got) == 4 and all(r.ci_lower is not None for r in got)
+    assert sorted_rows == [{"many"}, {"few", "odd", "many", "cat"}]
