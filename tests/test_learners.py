@@ -100,3 +100,34 @@ def test_network_query_fits_the_reference_layers_and_passes(monkeypatch):
     seen.append(make("mlp", n_features=2))
     assert [(list(m.getLayers()), m.getMaxIter()) for m in seen] == 2 * [([2, 64, 2], 500)]
     assert catalog_models.LEARNER_PARAMS["mlp"]["hidden"] in search.GRIDS["mlp"]["hidden"]
+
+
+def test_holdout_rows_are_read_once(spark, table, monkeypatch):
+    """Medians, scales, weights and the fit's passes read the kept rows, and all of them come from the train part."""
+    reads, one = spark.sparkContext.accumulator(0), F.udf(lambda x: (reads.add(1), x)[1], "double")
+    s = fx.split(spark, SF001).select("id_anon", "zimc", "x1", "label", "split").cache()
+    s.count()
+    fitted, real = [], wf.fold_fits
+    monkeypatch.setattr(wf, "fold_fits", lambda *a: fitted.append(real(*a)) or fitted[-1])
+    wf.holdout_validate(s.withColumn("x1", one("x1")), "logreg_ridge", ["zimc", "x1"], n_boot=5, impute=["x1"]).collect()
+    assert reads.value == s.count()
+    train = wf.MedianImputeExact(["x1"]).fit(s.where("split = 'train'"))
+    scale = wf.RobustScaleIQR(["zimc", "x1"]).fit(train.transform(s.where("split = 'train'")))
+    assert [(f[0]["fills"], f[0]["scale"]) for f in fitted] == [(train.fills, scale.fitted)]
+
+
+def test_nested_cv_repeats_no_rows(spark, table, monkeypatch):
+    """The outer folds' training parts are the rows themselves; with repeated ids they are joined as before."""
+    from cohortlens.operators import resample
+
+    seen, real = [], wf.searched
+    monkeypatch.setattr(wf, "searched", lambda train, *a, **o: seen.append((train, o["kept"])) or real(train, *a, **o))
+    rows = table.where("id_anon % 8 = 0").cache()
+    inner = resample.nested_folds(rows, "label", "id_anon")
+    wf.nested_cv(rows, "logreg_ridge", ["zimc", "x1"], {"C": [1.0]}).collect()
+    assert len(seen) == 5 and all(kept for _, kept in seen)
+    got = {tuple(sorted((r.id_anon, r.inner_fold) for r in train.select("id_anon", "inner_fold").collect())) for train, _ in seen}
+    assert got == {tuple(sorted((r.id_anon, r.inner_fold) for r in inner.where(F.col("outer_fold") == f).collect())) for f in range(5)}
+    seen.clear()
+    wf.nested_cv(rows.unionByName(rows.limit(20)), "logreg_ridge", ["zimc", "x1"], {"C": [1.0]}).collect()
+    assert len(seen) == 5 and not any(kept for _, kept in seen)

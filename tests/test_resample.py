@@ -86,3 +86,14 @@ def test_large_groups_take_more_hash_bits(spark, monkeypatch):
     monkeypatch.setattr(ranking, "HASH_BUCKET_BITS", 0)
     monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 10)
     assert want == {r.id_anon: r.fold for r in resample.stratified_kfold(df, "c", "id_anon").collect()}
+
+
+def test_inner_folds_without_repeated_rows(spark):
+    """One array a row holds the inner folds that the exploded rows have; null classes and folds, and folds beyond the outer ones."""
+    k = F.col("id")
+    f = spark.range(900).select(k.alias("id_anon"), F.when(k % 17 != 0, (k % 4 == 0).cast("int")).alias("label"),
+                                F.when(k % 23 != 0, (F.xxhash64("id") % 3 + 2).cast("int")).alias("fold"))
+    want = {(r.outer_fold, r.id_anon): r.inner_fold for r in resample.nested_folds(f, "label", "id_anon", k_outer=4, k_inner=3).collect()}
+    rows = resample.inner_folds(f, "label", "id_anon", k_outer=4, k_inner=3).collect()
+    assert len(rows) == 900
+    assert {(o, r.id_anon): i for r in rows for o, i in enumerate(r.inner) if i is not None} == want
